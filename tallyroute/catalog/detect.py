@@ -95,7 +95,7 @@ _OCCURRENCES = (
     "SELECT query_id, e + length(regexp_extract(substr(l, e + 1), " + _GAP + ", 0)) AS at,"
     " (k = 1 OR before <> '') AND (k = n OR after <> '') AND NOT regexp_matches(before, '[\\p{L}\\p{N}_]$')"
     " AND NOT regexp_matches(after, '^[\\p{L}\\p{N}_]') AS whole FROM (SELECT query_id, l, k, len(h) AS n, g[k] AS before, g[k + 1] AS after,"
-    " list_sum(list_transform(list_slice(g, 1, k), lambda x: length(x))) + list_sum(list_transform(list_slice(h, 1, k), lambda x: length(x))) AS e"
+    " CAST(list_sum(list_transform(list_slice(g, 1, k), lambda x: length(x))) + list_sum(list_transform(list_slice(h, 1, k), lambda x: length(x))) AS BIGINT) AS e"
     f" FROM (SELECT query_id, l, string_split_regex(l, {Q.text(P.COMRADE)}) AS g, regexp_extract_all(l, {Q.text(P.COMRADE)}) AS h,"
     f" unnest(range(1, len(regexp_extract_all(l, {Q.text(P.COMRADE)})) + 1)) AS k FROM views))"
 )
