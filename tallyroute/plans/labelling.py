@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vocab
 from ..functions.vectors import Vector, rank_labels, round6, sum_vectors
@@ -45,6 +45,18 @@ def text_views(
     return df, TextViews(text, "_lower", "_stripped", "_tidy", entities, location)
 
 
+def computed_once(
+    df: DataFrame, keep: Sequence[str], computed: Sequence[str | Column]
+) -> DataFrame:
+    """Keep Spark from moving later filters into the work behind ``computed``.
+
+    A filter on a projected column is pushed below the projection, and with it
+    goes a second copy of the whole expression. A filter on generated columns
+    stays put, so the one-row ``inline`` makes every label be worked out once.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*computed))))
+
+
 def detector_flags(
     df: DataFrame, text: str = "query", detectors: Sequence[Detector] | None = None, **views
 ) -> DataFrame:
@@ -52,10 +64,12 @@ def detector_flags(
     detectors = default_detectors() if detectors is None else detectors
     keep = df.columns
     df, view = text_views(df, text, **views)
-    return df.selectExpr(*keep, *[
-        f"coalesce({flag}, false) as {d.name}_{name}"
+    flags = {
+        f"{d.name}_{name}": f"coalesce({flag}, false)"
         for d in detectors for name, flag in d.flags(view).items()
-    ])
+    }
+    flagged = df.selectExpr(*keep, *[f"{e} as {n}" for n, e in flags.items()])
+    return computed_once(flagged, keep, list(flags))
 
 
 def label_votes(
@@ -74,9 +88,8 @@ def label_votes(
     keep = df.columns
     flagged = detector_flags(df, text, detectors, **views)
     vectors = [d.vector({f: f"{d.name}_{f}" for f in d.weights}) for d in detectors]
-    return flagged.selectExpr(
-        *keep, *[f"{round6(v)} as {name}" for v, name in zip(reducer(vectors), VOTES)]
-    )
+    votes = [f"{round6(v)} as {name}" for v, name in zip(reducer(vectors), VOTES)]
+    return computed_once(flagged.selectExpr(*keep, *votes), keep, VOTES)
 
 
 def label_queries(df: DataFrame, text: str = "query", top: int | None = None, **options) -> DataFrame:
@@ -85,10 +98,6 @@ def label_queries(df: DataFrame, text: str = "query", top: int | None = None, **
     ranked = rank_labels(VOTES)
     if top is not None:
         ranked = f"slice({ranked}, 1, {top})"
-    return (
-        label_votes(df, text, **options)
-        .selectExpr(*keep, f"{ranked} as _ranked")
-        .selectExpr(
-            *keep, "_ranked.label as labels", "transform(_ranked.rank, r -> 0D - r) as votes"
-        )
-    )
+    rows = label_votes(df, text, **options).selectExpr(*keep, f"{ranked} as _ranked")
+    votes = F.expr("transform(_ranked.rank, r -> 0D - r)").alias("votes")
+    return computed_once(rows, keep, [F.col("_ranked.label").alias("labels"), votes])
