@@ -9,7 +9,6 @@ from ..functions.labels import select_from_vector, top_from_vector
 from ..functions.vectors import normalize_vector, sum_vectors
 from ..operators import detectors as D
 from ..plans.labelling import VOTES, detector_flags, label_queries, label_votes
-from ..session import spread
 from ..sources.tables import label_table
 from . import oracle as Q
 from .registry import Inputs, add
@@ -23,11 +22,11 @@ def _flags(c: Inputs) -> DataFrame:
 
 
 def _votes(c: Inputs) -> DataFrame:
-    return label_votes(spread(c.corpus, "query_id"), gazetteer=c.gazetteer)
+    return label_votes(c.corpus, gazetteer=c.gazetteer)
 
 
 def _ranked(c: Inputs, **options) -> DataFrame:
-    return label_queries(spread(c.corpus, "query_id"), gazetteer=c.gazetteer, **options)
+    return label_queries(c.corpus, gazetteer=c.gazetteer, **options)
 
 
 def add_flag(key: str, expression: str, oracle: str, name: str = "flag", needs: str = "views") -> None:

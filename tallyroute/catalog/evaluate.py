@@ -12,7 +12,7 @@ from ..operators.detectors import Detector, default_detectors
 from ..operators.lookup import pair_predictions
 from ..plans.evaluation import balanced_sample, evaluate, evaluate_predictions, predictions_from_responses
 from ..plans.labelling import VOTES, label_queries, label_votes
-from ..session import new_path, spread
+from ..session import new_path
 from ..streaming.requests import (
     progress_totals, read_stream, run_stream, skip_failed, with_progress,
 )
@@ -30,7 +30,7 @@ _RESPONSE = (
 
 def responses(c: Inputs) -> DataFrame:
     """Response records in every accepted shape; every fiftieth one is missing."""
-    votes = label_votes(spread(c.corpus, "query_id"), gazetteer=c.gazetteer)
+    votes = label_votes(c.corpus, gazetteer=c.gazetteer)
     from ..functions.vectors import rank_labels
     ranked = votes.withColumn("r", F.expr(rank_labels(VOTES)))
     return ranked.selectExpr(

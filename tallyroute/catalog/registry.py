@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cleaning import clean_table, drop_null_rows, fill_and_trim, quarantine, typed_table
 from ..operators.ordering import with_batch_ids
+from ..session import spread
 from ..sources.gazetteer import build_gazetteer
 from . import corpus as C
 
@@ -26,13 +27,17 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return C.table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def events(self) -> DataFrame:
+        return spread(self.table("events"), "event_id")
+
     @cached_property
     def corpus(self) -> DataFrame:
-        return C.request_corpus(self.table("events"))
+        return C.request_corpus(self.events)
 
     @cached_property
     def dirty(self) -> DataFrame:
-        return C.dirty_corpus(self.table("events"))
+        return C.dirty_corpus(self.events)
 
     @cached_property
     def present(self) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import patterns as P, text as T, vocab
 from ..operators import entities as N, statistics as S
+from ..operators.keywords import document_keywords
 from ..operators.userfn import apply_rows
 from ..plans.analysis import analysis_table, analyze, process, sentence_report
 from ..session import spread
 from ..sources import sinks
 from . import oracle as Q
-from .registry import Inputs, add
+from .registry import ORACLES, Inputs, add
 from .tables import HASH, _hash
 
 
@@ -62,16 +63,20 @@ add("t9_stop_words",
 
 
 def t10_keywords(c: Inputs) -> DataFrame:
-    docs = _docs(c).withColumn("k", F.expr(T.tokens("text")))
-    return docs.selectExpr("doc_id", f"array_join({T.keywords('k', 'lang')}, ' ') as keywords").filter("keywords <> ''")
+    return document_keywords(c.documents, "doc_id", "text", "lang").selectExpr(
+        "doc_id", "array_join(keywords, ' ') as keywords")
 
 
-add("t10_keywords", t10_keywords,
+_KEYWORDS = (
     "SELECT doc_id, string_agg(tok, ' ' ORDER BY r) AS keywords FROM (SELECT doc_id, tok, row_number() OVER"
     " (PARTITION BY doc_id ORDER BY n DESC, first) AS r FROM (SELECT doc_id, lower(tok) AS tok, count(*) AS n, min(pos) AS first"
     f" FROM (SELECT doc_id, lang, unnest(k) AS tok, generate_subscripts(k, 1) AS pos FROM {_TOK})"
     f" WHERE (lang <> 'en' OR lower(tok) NOT IN ({Q.items(vocab.STOP_WORDS['en'])})) AND length(lower(tok)) > 2"
     " GROUP BY doc_id, lower(tok))) WHERE r <= 10 GROUP BY doc_id")
+add("t10_keywords", t10_keywords, _KEYWORDS)
+add("t10_keywords_in_row",
+    lambda c: _docs(c).withColumn("k", F.expr(T.tokens("text"))).selectExpr(
+        "doc_id", f"array_join({T.keywords('k', 'lang')}, ' ') as keywords").filter("keywords <> ''"), _KEYWORDS)
 add("t10_keywords_requests",
     lambda c: analyze(c.records).selectExpr("query_id", "array_join(keywords, ' ') as keywords"),
     Q.sql(f"SELECT query_id, {Q.joined('keywords', ' ')} AS keywords FROM analyzed", "analyzed"))
@@ -272,4 +277,8 @@ add("a22_text_means", lambda c: S.text_means(analysis_table(c.records)),
 add("a23_composite_success",
     lambda c: S.composite_success(
         analyze(c.dirty).selectExpr("word_count > 0 as a", "size(keywords) > 0 as b", "lang <> 'unknown' as c", "sentiment is not null as d"),
-        ["a", "b", "c", "d"]))
+        ["a", "b", "c", "d"]),
+    ORACLES["t24_empty_text"].replace("SELECT query_id, CASE WHEN coalesce(query, '') = ''", (
+        "SELECT count(*) * 4 AS tests, CAST(sum(p) AS BIGINT) AS passed, round(100.0::DOUBLE * sum(p) / (count(*) * 4), 6) AS success_rate,"
+        " 100.0::DOUBLE * sum(p) / (count(*) * 4) >= 80 AS suite_passed FROM (SELECT (word_count > 0)::INT + (keyword_count > 0)::INT"
+        " + (lang <> 'unknown')::INT + 1 AS p FROM (SELECT query_id, CASE WHEN coalesce(query, '') = ''"), 1) + "))")

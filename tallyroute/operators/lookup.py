@@ -80,9 +80,14 @@ def location_matches(
     """
     names = inline_names(gazetteer, inline_limit)
     if names is not None:
+        # the cheap test settles most texts; n-grams are built for the others only
         known = f"g.text in ({T.listed(names)})" if names else "false"
-        hit = F.expr(f"get(filter({T.place_candidates(text_column)}, g -> {known}), 0)")
-        found = df.select(id_column, hit.alias("hit")).filter("hit is not null")
+        hit = f"get(filter({T.place_candidates(text_column)}, g -> {known}), 0)"
+        texts = df.select(id_column, text_column, F.expr(place_word_list(text_column)).alias("_place"))
+        mentioned = mentions_location(text_column, "_place", names)
+        found = texts.select(
+            id_column, F.expr(f"case when {mentioned} then {hit} end").alias("hit")
+        ).filter("hit is not null")
     else:
         lookup = with_size_check(gazetteer.select("name_norm").distinct(), broadcast_rows)
         grams = df.select(id_column, F.explode(F.expr(T.place_candidates(text_column))).alias("g"))
