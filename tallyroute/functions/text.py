@@ -70,6 +70,11 @@ def has_phrase(text: str, terms: Iterable[str]) -> str:
     return f"({contains_any(text, terms)} and {matches(text, P.whole(terms))})"
 
 
+def has_word(words: str, terms: Iterable[str]) -> str:
+    """True when any of the single-word terms is one of the text's words."""
+    return f"arrays_overlap({words}, array({listed(dict.fromkeys(terms))}))"
+
+
 def terms_found(text: str, terms: Iterable[str]) -> str:
     """The terms that occur in the text, in vocabulary order."""
     return f"filter(array({listed(terms)}), t -> contains({text}, t))"
@@ -133,6 +138,15 @@ def ngrams(parts: str, longest: int = vocab.MAX_NGRAM) -> str:
     return let("w", parts, f"case when size(w) > 0 then {grams} else {empty(GRAMS)} end")
 
 
+def word_list(text_lower: str) -> str:
+    """Runs of word characters, in order (with empty strings at odd ends)."""
+    return f"split({_spaced_words(text_lower)}, ' ')"
+
+
+def _spaced_words(text_lower: str) -> str:
+    return f"regexp_replace({text_lower}, {quote(P.NOT_WORD + '+')}, ' ')"
+
+
 def place_words(text: str) -> str:
     """The text's words without accents, separated by single spaces.
 
@@ -140,7 +154,7 @@ def place_words(text: str) -> str:
     a candidate name.
     """
     composed, base = P.accent_map()
-    spaced = f"regexp_replace(lower({text}), {quote(P.NOT_WORD + '+')}, ' ')"
+    spaced = _spaced_words(f"lower({text})")
     return f"trim(translate({spaced}, {quote(composed)}, {quote(base)}))"
 
 

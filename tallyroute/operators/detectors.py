@@ -25,6 +25,7 @@ class TextViews:
     lower: str
     stripped: str              # lower, white space trimmed at the ends
     tidy: str                  # lower, white space collapsed
+    words: str                 # lower, the list of its words
     entities: str | None = None
     location: str | None = None    # boolean: a gazetteer name occurs
 
@@ -32,7 +33,8 @@ class TextViews:
     def of(text: str, entities: str | None = None, location: str | None = None) -> TextViews:
         lower = f"lower({text})"
         return TextViews(
-            text, lower, T.trim_space(lower), T.collapse_space(lower), entities, location
+            text, lower, T.trim_space(lower), T.collapse_space(lower), T.word_list(lower),
+            entities, location,
         )
 
 
@@ -69,7 +71,7 @@ def command_flags(v: TextViews) -> Flags:
 
 def reminder_words(v: TextViews) -> str:
     phrases = T.contains_any(v.lower, P.REMINDER_PHRASES)
-    return f"({phrases} or {T.has_phrase(v.lower, P.REMINDER_WORDS)})"
+    return f"({phrases} or {T.has_word(v.words, P.REMINDER_WORDS)})"
 
 
 def syntax_flags(v: TextViews) -> Flags:
@@ -173,7 +175,7 @@ def self_reference(v: TextViews) -> str:
     relation = T.matches(v.lower, P.SELF_RELATION)
     return (
         f"({T.contains_any(v.lower, P.SELF_NEEDLES)}"
-        f" or {T.has_phrase(v.lower, P.SELF_WORDS)}"
+        f" or {T.has_word(v.words, P.SELF_WORDS)}"
         f" or ({T.contains_any(v.lower, vocab.RELATIONS)} and {relation}))"
     )
 
@@ -206,9 +208,14 @@ def location_flags(v: TextViews) -> Flags:
 # --- D6: quantities -----------------------------------------------------------------
 
 def quantity_flags(v: TextViews) -> Flags:
+    def term(terms: tuple[str, ...]) -> str:
+        kept = P.distinct_phrases(terms)
+        single = T.has_word(v.words, [t for t in kept if " " not in t])
+        return f"({single} or {T.has_phrase(v.lower, [t for t in kept if ' ' in t])})"
+
     return {
-        "keyword": T.has_phrase(v.lower, vocab.QUANTITY_TERMS),
-        "comparative": T.has_phrase(v.lower, vocab.COMPARATIVES),
+        "keyword": term(vocab.QUANTITY_TERMS),
+        "comparative": term(vocab.COMPARATIVES),
         "regex": _or(T.matches(v.lower, p) for p in P.QUANTITY_FORMS),
     }
 
@@ -216,7 +223,7 @@ def quantity_flags(v: TextViews) -> Flags:
 # --- D7: assistant identity --------------------------------------------------------
 
 def second_person(v: TextViews) -> str:
-    return T.has_phrase(v.lower, vocab.SECOND_PERSON)
+    return T.has_word(v.words, vocab.SECOND_PERSON)
 
 
 def comrade(v: TextViews) -> str:

@@ -29,7 +29,10 @@ def text_views(
     """
     location = None
     views = TextViews.of(text)
-    added = {"_lower": views.lower, "_stripped": views.stripped, "_tidy": views.tidy}
+    added = {
+        "_lower": views.lower, "_stripped": views.stripped, "_tidy": views.tidy,
+        "_words": views.words,
+    }
     if gazetteer is not None:
         location = "_location"
         names = inline_names(gazetteer, inline_limit)
@@ -42,7 +45,7 @@ def text_views(
             df = df.join(found, id_column, "left")
             df = df.withColumn("_location", F.coalesce("_location", F.lit(False)))
     df = df.withColumns({n: F.expr(e) for n, e in added.items()})
-    return df, TextViews(text, "_lower", "_stripped", "_tidy", entities, location)
+    return df, TextViews(text, "_lower", "_stripped", "_tidy", "_words", entities, location)
 
 
 def computed_once(
