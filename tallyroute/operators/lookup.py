@@ -9,6 +9,8 @@ from ..functions import text as T, vocab
 # Rows up to which a lookup side is broadcast or written into the plan.
 BROADCAST_ROWS = 200_000
 INLINE_NAMES = 20_000
+# Copies of a large lookup side, to spread its hot keys.
+SALTS = 16
 
 
 def fits(df: DataFrame, rows: int) -> bool:
@@ -89,14 +91,19 @@ def location_matches(
             id_column, F.expr(f"case when {mentioned} then {hit} end").alias("hit")
         ).filter("hit is not null")
     else:
-        lookup = with_size_check(gazetteer.select("name_norm").distinct(), broadcast_rows)
-        grams = df.select(id_column, F.explode(F.expr(T.place_candidates(text_column))).alias("g"))
+        known = gazetteer.select(F.col("name_norm").alias("gram")).distinct()
+        grams = df.select(
+            id_column, F.explode(F.expr(T.place_candidates(text_column))).alias("g")
+        ).filter("g.text <> ''").select(id_column, "g", F.col("g.text").alias("gram"))
+        if fits(known, broadcast_rows):
+            hits = grams.join(F.broadcast(known), "gram")
+        else:
+            # a phrase of every third text is one join key, so keys are salted
+            salts = F.array(*[F.lit(i) for i in range(SALTS)])
+            salted = grams.withColumn("salt", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int"))
+            hits = salted.join(known.withColumn("salt", F.explode(salts)), ["gram", "salt"])
         first = F.struct((-F.col("g.n")).alias("rank"), "g.pos", "g.n", "g.text")
-        found = (
-            grams.filter("g.text <> ''")
-            .join(lookup, F.col("g.text") == F.col("name_norm"))
-            .groupBy(id_column).agg(F.min(first).alias("hit"))
-        )
+        found = hits.groupBy(id_column).agg(F.min(first).alias("hit"))
     return found.select(
         id_column,
         F.col("hit.text").alias("location"),

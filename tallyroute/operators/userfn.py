@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as TY
 
 from ..functions import text as T
+from .lookup import with_size_check
 
 Row = dict[str, Any]
 
@@ -55,12 +56,13 @@ def apply_groups(
     A group of any size is cut into slices of about ``rows_per_call`` rows (one
     slice for small groups), so no task ever holds a whole hot group. ``fn``
     returns partial rows with the key; ``merge`` are the aggregates that
-    combine them.
+    combine them. Only groups above ``rows_per_call`` are looked up, and there
+    are at most rows / rows_per_call of those.
     """
-    sizes = df.groupBy(key).agg(F.count("*").alias("_rows"))
-    slices = sizes.select(key, F.ceil(F.col("_rows") / rows_per_call).alias("_slices"))
-    sliced = df.join(slices, key).withColumn(
-        "_slice", F.pmod(F.xxhash64(salt_by), F.col("_slices"))
+    sizes = df.groupBy(key).agg(F.count("*").alias("_rows")).filter(f"_rows > {rows_per_call}")
+    hot = sizes.select(key, F.expr(f"ceil(_rows / {rows_per_call})").alias("_slices"))
+    sliced = df.join(with_size_check(hot), key, "left").withColumn(
+        "_slice", F.pmod(F.xxhash64(salt_by), F.coalesce("_slices", F.lit(1)))
     )
 
     def call(part: pd.DataFrame) -> pd.DataFrame:

@@ -13,11 +13,13 @@ SHARED_FOLDER = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where it is unset (single-process tests) a temporary folder is made and
-    remembered in the session.
+    Only where it is unset in local mode (tests) a temporary folder is made and
+    remembered in the session; executors on other machines could not read one.
     """
     folder = spark.conf.get(SHARED_FOLDER, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SHARED_FOLDER} to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="tallyroute-")
         spark.conf.set(SHARED_FOLDER, folder)
     return folder.rstrip("/")
