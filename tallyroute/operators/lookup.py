@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, vocab
 
@@ -23,6 +25,18 @@ def with_size_check(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if fits(small, rows) else small
 
 
+def computed_once(
+    df: DataFrame, keep: Sequence[str], computed: Sequence[str | Column]
+) -> DataFrame:
+    """Keep Spark from moving later filters into the work behind ``computed``.
+
+    A filter on a projected column is pushed below the projection, and with it
+    goes a second copy of the whole expression. A filter on generated columns
+    stays put, so the one-row ``inline`` makes every label be worked out once.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*computed))))
+
+
 def known_locations(
     df: DataFrame, column: str, gazetteer: DataFrame, rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -85,11 +99,11 @@ def location_matches(
         # the cheap test settles most texts; n-grams are built for the others only
         known = f"g.text in ({T.listed(names)})" if names else "false"
         hit = f"get(filter({T.place_candidates(text_column)}, g -> {known}), 0)"
-        texts = df.select(id_column, text_column, F.expr(place_word_list(text_column)).alias("_place"))
+        keep = [id_column, text_column]
+        texts = df.select(*keep, F.expr(place_word_list(text_column)).alias("_place"))
         mentioned = mentions_location(text_column, "_place", names)
-        found = texts.select(
-            id_column, F.expr(f"case when {mentioned} then {hit} end").alias("hit")
-        ).filter("hit is not null")
+        texts = computed_once(texts.selectExpr(*keep, f"{mentioned} as _hit"), keep, ["_hit"])
+        found = texts.filter("_hit").select(id_column, F.expr(hit).alias("hit"))
     else:
         known = gazetteer.select(F.col("name_norm").alias("gram")).distinct()
         grams = df.select(

@@ -129,4 +129,4 @@ def until_critical(df: DataFrame, id_column: str = "query_id", word: str = "crit
         df.filter(F.lower("error").contains(word))
         .agg(F.min(id_column).alias("stop")).scalar()
     )
-    return df.filter(stop.isNull() | (F.col(id_column) <= stop))
+    return df.filter(F.col(id_column) <= F.coalesce(stop, F.lit(2**63 - 1)))

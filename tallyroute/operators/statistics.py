@@ -19,17 +19,17 @@ def rounded(column: Column) -> Column:
 
 
 def by_domain(df: DataFrame) -> DataFrame:
-    """Requests and distinct labels per domain (A1).
+    """Requests and distinct labels per domain (A1), in one scan.
 
-    One aggregation on the exploded (domain, label) pairs and one on the rows;
-    both are a handful of rows per task after the partial step.
+    Each request counts at its first label, so exploding does not inflate it.
     """
-    counts = df.groupBy("knowledge_domain").agg(F.count("*").alias("query_count"))
-    labels = (
-        _one_per_label(df).groupBy("knowledge_domain", "label").agg(F.lit(1).alias("_one"))
-        .groupBy("knowledge_domain").agg(F.count("*").alias("unique_workers_count"))
+    rows = df.select(
+        "knowledge_domain", F.posexplode_outer("workers_list").alias("pos", "label")
+    )
+    return rows.groupBy("knowledge_domain").agg(
+        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("query_count"),
+        F.countDistinct("label").alias("unique_workers_count"),
     )
-    return counts.join(labels, "knowledge_domain", "left").fillna(0, ["unique_workers_count"])
 
 
 def label_lists_by_domain(df: DataFrame) -> DataFrame:
@@ -87,18 +87,21 @@ def row_count(df: DataFrame) -> DataFrame:
 # --- per chunk ---------------------------------------------------------------------
 
 def chunk_profile(df: DataFrame) -> DataFrame:
-    """Size, mean length, distinct domains and labels, assignments per ``batch_id``."""
-    labels = (
-        _one_per_label(df).select("batch_id", "label").distinct()
-        .groupBy("batch_id").agg(F.count("*").alias("unique_workers"))
-    )
-    base = df.groupBy("batch_id").agg(
+    """Size, mean length, distinct domains and labels, assignments per ``batch_id``.
+
+    A chunk has a fixed size, so the sets gathered per chunk are bounded and one
+    aggregation does it all.
+    """
+    def distinct(values: Column) -> Column:
+        return F.size(values).cast("bigint")
+
+    return df.groupBy("batch_id").agg(
         F.count("*").alias("chunk_size"),
         rounded(F.avg(F.length("query"))).alias("avg_query_length"),
-        F.countDistinct("knowledge_domain").alias("unique_domains"),
+        distinct(F.collect_set("knowledge_domain")).alias("unique_domains"),
         F.sum(F.size("workers_list")).alias("total_assignments"),
+        distinct(F.array_distinct(F.flatten(F.collect_set("workers_list")))).alias("unique_workers"),
     )
-    return base.join(labels, "batch_id", "left").fillna(0, ["unique_workers"])
 
 
 def chunk_domains(df: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vocab
 from ..functions.vectors import Vector, rank_labels, round6, sum_vectors
 from ..operators.detectors import Detector, TextViews, default_detectors
 from ..operators.lookup import (
-    INLINE_NAMES, inline_names, location_matches, mentions_location, place_word_list,
+    INLINE_NAMES, computed_once, inline_names, location_matches, mentions_location,
+    place_word_list,
 )
 
 Reducer = Callable[[Sequence[Vector]], list[str]]
@@ -48,18 +49,6 @@ def text_views(
     return df, TextViews(text, "_lower", "_stripped", "_tidy", "_words", entities, location)
 
 
-def computed_once(
-    df: DataFrame, keep: Sequence[str], computed: Sequence[str | Column]
-) -> DataFrame:
-    """Keep Spark from moving later filters into the work behind ``computed``.
-
-    A filter on a projected column is pushed below the projection, and with it
-    goes a second copy of the whole expression. A filter on generated columns
-    stays put, so the one-row ``inline`` makes every label be worked out once.
-    """
-    return df.select(*keep, F.inline(F.array(F.struct(*computed))))
-
-
 def detector_flags(
     df: DataFrame, text: str = "query", detectors: Sequence[Detector] | None = None, **views
 ) -> DataFrame:
