@@ -43,7 +43,13 @@ add_flag("d1b_reminder_words", D.reminder_words(VIEWS), Q.FLAGS["syntax_reminder
 _TIME = D.time_flags(VIEWS)
 add_flag("d2a_time_patterns", _TIME["regex"], Q.FLAGS["time_regex"])
 add_flag("d2b_time_keywords", _TIME["keyword"], Q.FLAGS["time_keyword"])
-add_flag("d2c_time_indicators", _TIME["indicator"], Q.FLAGS["time_indicator"])
+# the corpus itself has no indicator word, so one domain's requests get a "how long"
+_ASKED = "query || CASE WHEN knowledge_domain = 'BRCD' THEN ' mất   bao   lâu' ELSE '' END"
+add("d2c_time_indicators",
+    lambda c: c.corpus.selectExpr("query_id", f"{_ASKED} as asked").selectExpr(
+        "query_id", f"{D.time_flags(D.TextViews.of('asked'))['indicator']} as flag"),
+    Q.sql(f"SELECT query_id, {Q.has('t', vocab.TIME_INDICATORS['vietnamese'])} AS flag"
+          f" FROM (SELECT query_id, {Q.tidy(f'lower({_ASKED})')} AS t FROM corpus)", "corpus"))
 _EN = D.time_flags(VIEWS, "english")
 _EN_SQL = {
     "regex": Q.any_rx("l", P.time_patterns("english")),

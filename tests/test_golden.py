@@ -112,7 +112,7 @@ SINGLE = [
     (D.self_reference, ["tôi đi", "cháux", "vợ  mày"], ["tôim", "xem phim", "mày"]),
     (D.short_definition, ["adsl là gì vậy"], ["adsl là gìx"]),
     (lambda v: D.quantity_flags(v)["regex"], ["hạng 3", "50 %a"], ["50%", "tophat 3"]),
-    (lambda v: D.quantity_flags(v)["keyword"], ["max 3", "thống kê"], ["netmind", "maximum"]),
+    (lambda v: D.quantity_flags(v)["keyword"], ["max 3", "thống kê"], ["admin", "maximum"]),
     (lambda v: D.time_flags(v)["regex"], ["9:05", "thứ tư", "năm 2024"], ["123:456", "3024"]),
     (D.simple_question, ["a b?", "nó là gì"], [" ".join(["a"] * 13) + "?", " ".join(["là gì"] * 9)]),
 ]
