@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import patterns as P, text as T, vocab
-from ..functions.labels import category_of, map_labels, same_set
+from ..functions import text as T, vocab
+from ..functions.labels import map_labels, same_set
 from ..operators import cleaning, filters, lookup, ordering as O, statistics as S, validation as K
 from ..plans.evaluation import balanced_sample
 from ..plans.labelling import detector_flags
@@ -451,7 +451,6 @@ add("x1_concatenate",
     lambda c: _rec(filters.by_domain(c.records, "BRCD")).unionByName(_rec(filters.by_label(c.records, "MEETING"))),
     Q.sql(f"SELECT {_REC} FROM records WHERE knowledge_domain = 'BRCD' UNION ALL"
           f" SELECT {_REC} FROM records WHERE list_contains(workers_list, 'MEETING')", "records"))
-_MAPPED = "mapped"
 add("x2_label_sets",
     lambda c: c.records.withColumn("m", F.expr(map_labels("workers_list"))).selectExpr(
         "query_id", "array_join(sort_array(array_union(workers_list, m)), '|') as either",
