@@ -25,8 +25,9 @@ DISCOUNT = 0.75
 BUCKET_BITS = 21
 # labels are broadcast up to this many rows; beyond it the join shuffles
 LABEL_BOUND = 4_000_000
-# documented bound of the sample that fits the three-feature logistic curve
+# documented bound of the sample that fits the logistic curve over FEATURES
 CURVE_ROWS = 50_000
+FEATURES = ("mean", "second", "three", "length")
 HELD_OUT_FOLD, CURVE_FOLD = 0, 1
 # words whose ratio a task remembers before it starts afresh
 WORD_CACHE = 600_000
@@ -133,7 +134,8 @@ class _Scorer:
         self.model, self.known = model, {}
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Per text: the mean word ratio, the second highest, and the mean of the three highest."""
+        """FEATURES of each text: the mean word ratio, the second highest, the mean of the
+        three highest, and the log of the number of words, among which those were the highest."""
         if len(self.known) > WORD_CACHE:
             self.known = {}
         # bytes.split cuts at the six contract spaces
@@ -145,7 +147,7 @@ class _Scorer:
             part = fresh[at : at + 20_000]
             names = [w.decode("utf-8", "surrogatepass") for w in part]
             self.known |= zip(part, self.model.word_ratios(names).tolist())
-        out = np.zeros((len(texts), 3))
+        out = np.zeros((len(texts), len(FEATURES)))
         for row, (words, ratio, places) in enumerate(zip(split, ratios, missing)):
             if words:
                 if places:
@@ -153,27 +155,31 @@ class _Scorer:
                 high = np.zeros(3)
                 top = ratio if len(ratio) <= 3 else np.partition(ratio, len(ratio) - 3)[-3:]
                 high[: len(top)] = np.sort(top)[::-1]
-                out[row] = min(1.0, max(-1.0, ratio.mean())), high[1], high.mean()
+                out[row] = min(1.0, max(-1.0, ratio.mean())), high[1], high.mean(), np.log1p(len(words))
         return out
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge; both classes weigh the same."""
+def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 2e-5) -> np.ndarray:
+    """Logistic weights, the constant first, by Newton steps with a small ridge.
+
+    Without both classes the curve is flat, on the side of the class there is
+    (the ordinary one if there is none).
+    """
     if len(y) == 0 or y.min() == y.max():
-        return np.array([0.0 if len(y) == 0 or y[0] else -4.0, 1.0, 0.1, 0.1])
-    x = np.column_stack((np.ones(len(x)), x))
-    each = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    ridge = penalty * np.diag([0, 1, 1, 1]) / 100
-    weights = np.zeros(4)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        slope = x.T @ (each * (p - y)) + ridge @ weights
-        bend = (x * (each * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(4)
+        return np.array([4.0 if len(y) and y[0] else -4.0, *[0.0] * x.shape[1]])
+    middle, spread = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack((np.ones(len(x)), (x - middle) / spread))
+    ridge = penalty * np.diag([0.0, *[1.0] * x.shape[1]])
+    weights = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ weights, -30, 30)))
+        slope = z.T @ (p - y) / len(y) + ridge @ weights
+        bend = (z * (p * (1 - p) / len(y))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(weights))
         step = np.linalg.solve(bend, slope)
         weights -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
-    return weights
+    return np.array([weights[0] - (weights[1:] * middle / spread).sum(), *(weights[1:] / spread)])
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label: str) -> DataFrame:
@@ -193,7 +199,7 @@ def train(
     """Counts over all labelled rows outside the held-out and curve folds, then the curve.
 
     Words are counted map-side and by one shuffle; the letter counts that reach
-    the driver have at most 2^BUCKET_BITS rows. Only the curve of four numbers
+    the driver have at most 2^BUCKET_BITS rows. Only the curve of five numbers
     is fitted on a bounded sample (CURVE_ROWS labelled rows by hash).
     """
     rows = _training_rows(docs, labels, id_column, text_column, label)
@@ -210,14 +216,14 @@ def train(
     table = counted.toArrow()
     model = build_model({n: table.column(n).to_numpy() for n in table.column_names})
     sample = rows.filter(F.col("fold") == CURVE_FOLD).select("labelled", "toxic", "text")
-    features = saved(map_batches(sample, _feature_rows(docs.sparkSession.sparkContext.broadcast(model)), _FEATURES), "curve")
+    features = saved(map_batches(sample, _feature_rows(docs.sparkSession.sparkContext.broadcast(model)), _FEATURE_ROWS), "curve")
     few = features.orderBy(F.xxhash64("id"), "id").limit(CURVE_ROWS).toArrow()
-    x = np.column_stack([few.column(n).to_numpy() for n in ("mean", "second", "three")])
+    x = np.column_stack([few.column(n).to_numpy() for n in FEATURES])
     model.curve = fit_curve(x, few.column("toxic").to_numpy().astype(float))
     return model
 
 
-_FEATURES = "id string, toxic int, mean double, second double, three double"
+_FEATURE_ROWS = "id string, toxic int, " + ", ".join(f"{n} double" for n in FEATURES)
 
 
 def _feature_rows(model):
@@ -229,7 +235,7 @@ def _feature_rows(model):
                 part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.string()), part.column(1), *map(pa.array, x.T)],
-                    ["id", "toxic", "mean", "second", "three"],
+                    ["id", "toxic", *FEATURES],
                 )
     return run
 
