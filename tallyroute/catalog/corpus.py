@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import vocab
 
-_NAME = "".join(vocab.ASSISTANT_NAME).capitalize()
+# the assistant of the registered queries; requests write its name joined
+ASSISTANT = "orbit desk"
 
-_QUERY = f"""CASE event_id % 24
+_QUERY = """CASE event_id % 24
     WHEN 0 THEN 'Thống kê số lượng trạm 4G ở nation ' || CAST(user_id % 30 AS STRING)
     WHEN 1 THEN 'Dịch vụ ' || event_type || ' là gì?'
     WHEN 2 THEN '/remind me to call ' || event_type
     WHEN 3 THEN 'please /task finish ' || event_type
     WHEN 4 THEN 'the folder contains /tasks for ' || event_type
     WHEN 5 THEN 'schedule /meeting tomorrow'
-    WHEN 6 THEN '{_NAME} là gì'
+    WHEN 6 THEN 'Orbitdesk là gì'
     WHEN 7 THEN 'Bạn làm được gì?'
     WHEN 8 THEN 'Số điện thoại của tôi là 09' || LPAD(CAST(user_id AS STRING), 8, '0')
     WHEN 9 THEN 'Thông tin nhân viên ' || LPAD(CAST(event_id AS STRING), 6, '0')

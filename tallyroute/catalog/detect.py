@@ -8,25 +8,29 @@ from ..functions import patterns as P, text as T, vocab
 from ..functions.labels import select_from_vector, top_from_vector
 from ..functions.vectors import normalize_vector, sum_vectors
 from ..operators import detectors as D
+from ..operators.lookup import location_matches
 from ..plans.labelling import VOTES, detector_flags, label_queries, label_votes
+from ..sources.gazetteer import build_gazetteer
 from ..sources.tables import label_table
 from . import oracle as Q
+from .corpus import ASSISTANT
 from .registry import Inputs, add
 from .texts import tagged
 
 VIEWS = D.TextViews.of("query")
+DETECTORS = D.default_detectors(ASSISTANT)
 
 
 def _flags(c: Inputs) -> DataFrame:
-    return detector_flags(c.corpus, gazetteer=c.gazetteer)
+    return detector_flags(c.corpus, DETECTORS, gazetteer=c.gazetteer)
 
 
 def _votes(c: Inputs) -> DataFrame:
-    return label_votes(c.corpus, gazetteer=c.gazetteer)
+    return label_votes(c.corpus, DETECTORS, gazetteer=c.gazetteer)
 
 
 def _ranked(c: Inputs, **options) -> DataFrame:
-    return label_queries(c.corpus, gazetteer=c.gazetteer, **options)
+    return label_queries(c.corpus, DETECTORS, gazetteer=c.gazetteer, **options)
 
 
 def add_flag(key: str, expression: str, oracle: str, name: str = "flag", needs: str = "views") -> None:
@@ -78,7 +82,7 @@ add_flag("d3b_question_start", D.question_start(VIEWS),
 add_flag("d3c_question_end", D.question_end(VIEWS),
          "list_filter(" + Q.listed(vocab.QUESTION_ENDINGS) + f", lambda w: regexp_matches(s, w || {Q.text(P.question_end(''))}))[1]", "word")
 add_flag("d3d_short_definition", D.short_definition(VIEWS), Q._SHORT)
-add_flag("d3e_names_assistant", D.names_assistant(VIEWS), Q._NAMED)
+add_flag("d3e_names_assistant", D.names_assistant(VIEWS, ASSISTANT), Q._NAMED)
 add("d4a_person_name",
     lambda c: tagged(c).selectExpr("query_id", f"coalesce({D.person_name('entities')}, '') as kind"),
     Q.sql("SELECT query_id, coalesce(kind, '') AS kind FROM corpus LEFT JOIN (SELECT query_id, CASE WHEN arg_min(n, span) < 2 THEN 'single'"
@@ -91,7 +95,7 @@ _Q = D.quantity_flags(VIEWS)
 add_flag("d6a_quantity_terms", _Q["keyword"], Q.FLAGS["quantity_keyword"])
 add_flag("d6b_comparatives", _Q["comparative"], Q.FLAGS["quantity_comparative"])
 add_flag("d6c_numeric_forms", _Q["regex"], Q.FLAGS["quantity_regex"])
-add_flag("d7a_assistant_name", D.names_assistant(VIEWS), Q._NAMED)
+add_flag("d7a_assistant_name", D.names_assistant(VIEWS, ASSISTANT), Q._NAMED)
 add_flag("d7b_second_person", D.second_person(VIEWS), Q.rx("l", P.whole(vocab.SECOND_PERSON)))
 add_flag("d7c_comrade", D.comrade(VIEWS), Q.rx("l", P.whole([P.COMRADE])))
 # with entities: an occurrence counts unless a person span starts within one character
@@ -120,7 +124,7 @@ _NAMES = {"d1": "syntax", "d2": "time", "d3": "documents", "d4": "person", "d5":
 
 def _detector(name: str):
     def build(c: Inputs) -> DataFrame:
-        chosen = [d for d in D.default_detectors() if d.name == name]
+        chosen = [d for d in DETECTORS if d.name == name]
         return label_votes(c.corpus, detectors=chosen, gazetteer=c.gazetteer).select("query_id", *VOTES)
 
     return build
@@ -131,7 +135,7 @@ for _key, _name in _NAMES.items():
     add(f"{_key}_{_name}_detector", _detector(_name), Q.sql(
         "SELECT query_id, " + ", ".join(f"{Q.six(_slots.get(i, '0::DOUBLE'))} AS vote_{i}" for i in range(8)) + " FROM flags", "flags"))
 add("d7_assistant_simple_only",
-    lambda c: c.corpus.selectExpr("query_id", f"{D.assistant_flags(VIEWS, require_simple=True)['address']} as flag"),
+    lambda c: c.corpus.selectExpr("query_id", f"{D.assistant_flags(VIEWS, ASSISTANT, require_simple=True)['address']} as flag"),
     Q.sql(f"SELECT query_id, {Q.FLAGS['assistant_address']} AND {_SIMPLE} AS flag FROM views", "views"))
 
 # --- votes -------------------------------------------------------------------------------
@@ -161,6 +165,43 @@ add("v4_label_requests", lambda c: _ranked(c).selectExpr("query_id", "query", *_
 add("v4_label_requests_joined",
     lambda c: _ranked(c, inline_limit=0).selectExpr("query_id", "query", *_SHOW),
     Q.sql(f"SELECT query_id, query, {_SHOW_SQL} FROM ranked", "ranked"))
+# ids that repeat or are missing: the text alone decides where a name occurs
+_SPARSE = "case when query_id % 7 = 0 then null else query_id % 10 end"
+for _route, _limit in (("", 20_000), ("_joined", 0)):
+    add(f"v4_repeated_ids{_route}",
+        lambda c, n=_limit: label_votes(
+            c.corpus.selectExpr(f"{_SPARSE} as query_id", "query"), DETECTORS, gazetteer=c.gazetteer, inline_limit=n
+        ).groupBy("query_id", "query").agg(F.count("*").alias("n"), F.max("vote_3").alias("vote_3")),
+        Q.sql(f"SELECT {_SPARSE} AS query_id, query, count(*) AS n, max(vote_3) AS vote_3 FROM votes GROUP BY 1, 2", "votes"))
+# names longer than six words, made of the names themselves
+_LONG = "'the far country that is called ' || lower(replace(n_name, '_', ' '))"
+for _route, _limit in (("", 20_000), ("_joined", 0)):
+    add(f"j2_long_names{_route}",
+        lambda c, n=_limit: location_matches(
+            c.corpus.selectExpr("query_id", "'to The far country that is called ' || split(query, ' ')[0] as query"), "query_id", "query",
+            build_gazetteer(c.table("nation").selectExpr(f"{_LONG} as name")), inline_limit=n),
+        Q.sql(f"SELECT query_id, name AS location, 8 AS n_tokens, 1 AS position FROM corpus JOIN (SELECT {_LONG} AS name FROM nation)"
+              " ON 'the far country that is called ' || replace(lower(string_split(query, ' ')[1]), '_', ' ') = name", "corpus"))
+
+# the label path over real texts
+def _texts(c: Inputs) -> dict[str, DataFrame]:
+    return {
+        "documents": c.documents.selectExpr("doc_id as query_id", "text as query"),
+        "conversations": c.table("conversations").selectExpr("conv_id * 1000 + turn as query_id", "text as query"),
+    }
+
+
+_SOURCES = {
+    "documents": "SELECT doc_id AS query_id, text AS query, '' AS knowledge_domain, '' AS worker FROM documents",
+    "conversations": "SELECT conv_id * 1000 + turn AS query_id, text AS query, '' AS knowledge_domain, '' AS worker FROM conversations",
+}
+for _source, _body in _SOURCES.items():
+    add(f"v4_{_source}",
+        lambda c, s=_source: label_queries(_texts(c)[s], DETECTORS, gazetteer=c.gazetteer).selectExpr("query_id", *_SHOW),
+        Q.sql(f"SELECT query_id, {_SHOW_SQL} FROM ranked", "ranked").replace(f"corpus AS ({Q.TABLES['corpus'][1]})", f"corpus AS ({_body})"))
+    add(f"d_{_source}_flags",
+        lambda c, s=_source: detector_flags(_texts(c)[s], DETECTORS, gazetteer=c.gazetteer).selectExpr("query_id", *Q.FLAGS),
+        Q.sql("SELECT query_id, " + ", ".join(Q.FLAGS) + " FROM flags", "flags").replace(f"corpus AS ({Q.TABLES['corpus'][1]})", f"corpus AS ({_body})"))
 add("v5_top_labels", lambda c: _ranked(c, top=2).selectExpr("query_id", *_SHOW),
     Q.sql("SELECT query_id, array_to_string(list_slice(labels, 1, 2), '|') AS labels,"
           " array_to_string(list_transform(list_slice(votes, 1, 2), lambda v: printf('%.6f', v)), '|') AS votes FROM ranked", "ranked"))
@@ -192,6 +233,6 @@ add("v9_available_labels", v9_available, Q.sql(
     f"SELECT idx, label, coalesce(wins, 0) AS wins FROM (VALUES {_LABEL_VALUES}) d(idx, label)"
     " LEFT JOIN (SELECT labels[1] AS label, count(*) AS wins FROM ranked GROUP BY 1) USING (label)", "ranked"))
 add("v10_empty_guard",
-    lambda c: label_votes(c.dirty).selectExpr(
+    lambda c: label_votes(c.dirty, DETECTORS).selectExpr(
         "query_id", "coalesce(query, '') = '' as rejected", " + ".join(VOTES) + " = 0 as all_zero").filter("rejected"),
     Q.sql("SELECT query_id, true AS rejected, true AS all_zero FROM dirty WHERE coalesce(query, '') = ''", "dirty"))

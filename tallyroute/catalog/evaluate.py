@@ -10,16 +10,20 @@ from ..operators import evaluation as E, ordering as O, userfn as U, validation
 from ..operators.cleaning import typed_table
 from ..operators.detectors import Detector, default_detectors
 from ..operators.lookup import pair_predictions
-from ..plans.evaluation import balanced_sample, evaluate, evaluate_predictions, predictions_from_responses
+from ..plans.evaluation import (
+    balanced_sample, evaluate, evaluate_predictions, evaluation_job, predictions_from_responses,
+)
 from ..plans.labelling import VOTES, label_queries, label_votes
 from ..session import new_path
 from ..streaming.requests import (
-    progress_totals, read_stream, run_stream, skip_failed, with_progress,
+    progress_totals, read_stream, run_batches, run_stream, skip_failed, write_batch,
 )
 from . import corpus as C, oracle as Q
 from .registry import Inputs, add
 from .tables import HASH, QUOTAS, _hash
 
+DETECTORS = default_detectors(C.ASSISTANT)
+
 _RESPONSE = (
     "case query_id % 4 when 0 then to_json(named_struct('labels', labels, 'votes', votes))"
     " when 1 then to_json(named_struct('workers', slice(labels, 1, 3)))"
@@ -30,7 +34,7 @@ _RESPONSE = (
 
 def responses(c: Inputs) -> DataFrame:
     """Response records in every accepted shape; every fiftieth one is missing."""
-    votes = label_votes(c.corpus, gazetteer=c.gazetteer)
+    votes = label_votes(c.corpus, DETECTORS, gazetteer=c.gazetteer)
     from ..functions.vectors import rank_labels
     ranked = votes.withColumn("r", F.expr(rank_labels(VOTES)))
     return ranked.selectExpr(
@@ -57,6 +61,19 @@ add("v8_parse_responses", lambda c: predictions(c).selectExpr("query_id", *_LIST
     Q.sql(f"SELECT query_id, {_LISTS_SQL} FROM predictions", "predictions"))
 
 
+# failed responses predict nothing; only texts and lists of texts are labels
+_STATUS = (
+    "case query_id % 4 when 0 then '{\"success\": false, \"error\": \"busy\", \"labels\": [\"REMINDER_AGENT\"]}'"
+    " when 1 then '{\"workers\": 5, \"result\": \"REMINDER_AGENT\"}'"
+    " when 2 then '{\"success\": true, \"workers\": [\"MEETING_AGENT\", 5, \"[odd]\"]}'"
+    " else concat('{\"success\": true, \"predicted_workers\": [\"', worker, '\"]}') end"
+)
+add("v8_response_status", lambda c: predictions_from_responses(c.corpus.selectExpr("query_id", f"{_STATUS} as response")).selectExpr(
+    "query_id", "array_join(predicted, '|') as predicted", "coalesce(error, '') as error"),
+    Q.sql("SELECT query_id, CASE query_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'REMINDER' WHEN 2 THEN 'MEETING_AGENT|[odd]'"
+          f" ELSE {Q.mapped('[worker]')}[1] END AS predicted, CASE WHEN query_id % 4 = 0 THEN 'busy' ELSE '' END AS error FROM corpus", "corpus"))
+
+
 def _paired(c: Inputs) -> DataFrame:
     expected = c.requests.select("query_id", "query", "knowledge_domain", F.col("workers_list").alias("expected"))
     return pair_predictions(expected, predictions(c))
@@ -85,13 +102,13 @@ add("e6_label_prf", lambda c: E.rounded_scores(E.label_scores(counts_of(c))),
     Q.sql(f"SELECT {_PRF} FROM label_scores", "label_scores"))
 add("e7_macro_average", lambda c: E.macro_average(E.label_scores(counts_of(c))),
     Q.sql("SELECT " + ", ".join(f"round(avg({x}), 6) AS average_{x}" for x in ("precision", "recall", "f1")) + " FROM label_scores", "label_scores"))
-_SAME = "list_sort(list_distinct(expected)) = list_sort(list_distinct(predicted))"
-add("e8_exact_set_accuracy", lambda c: E.exact_set_accuracy(_paired(c)),
+_SAME = "list_sort(list_distinct(expected_mapped)) = list_sort(list_distinct(predicted))"
+add("e8_exact_set_accuracy", lambda c: E.exact_set_accuracy(matches_of(c)),
     Q.sql(f"SELECT count(*) AS total_predictions, count(*) FILTER ({_SAME}) AS correct_predictions,"
-          f" round(count(*) FILTER ({_SAME}) / count(*), 6) AS exact_match_accuracy FROM pairs WHERE success", "pairs"))
-add("e9_hit_rates", lambda c: E.hit_rates(_paired(c)),
+          f" round(count(*) FILTER ({_SAME}) / count(*), 6) AS exact_match_accuracy FROM matches WHERE success", "matches"))
+add("e9_hit_rates", lambda c: E.hit_rates(matches_of(c)),
     Q.sql("SELECT label, count(*) AS total, count(*) FILTER (h) AS correct, round(count(*) FILTER (h) / count(*), 6) AS hit_rate FROM ("
-          "SELECT label, list_contains(predicted, label) AS h FROM (SELECT predicted, unnest(list_distinct(expected)) AS label FROM pairs WHERE success)) GROUP BY label", "pairs"))
+          "SELECT label, list_contains(predicted, label) AS h FROM (SELECT predicted, unnest(list_distinct(expected_mapped)) AS label FROM matches WHERE success)) GROUP BY label", "matches"))
 _RUN = ("count(*) AS total_queries, count(*) FILTER (success) AS successful_tests, count(*) FILTER (NOT success) AS failed_tests,"
         " round(count(*) FILTER (success) / count(*), 6) AS success_rate")
 add("e10_run_statistics", lambda c: E.run_statistics(_paired(c)), Q.sql(f"SELECT {_RUN} FROM pairs", "pairs"))
@@ -100,11 +117,10 @@ add("e11_batch_statistics",
     Q.sql(f"SELECT query_id // 100 AS batch_id, {_RUN} FROM pairs GROUP BY 1", "pairs"))
 
 
-def e12_job(c: Inputs) -> DataFrame:
-    """Sample, label, consolidate, compare, and score each label."""
+def e12_job(c: Inputs) -> dict[str, DataFrame]:
+    """Sample, label, consolidate, compare; every output of the job."""
     sample = balanced_sample(c.requests, QUOTAS, order=_hash())
-    found = evaluate(sample, gazetteer=c.gazetteer)
-    return E.rounded_scores(E.label_scores(E.label_counts(found)))
+    return evaluation_job(evaluate(sample, DETECTORS, gazetteer=c.gazetteer))
 
 
 _E12 = (
@@ -112,12 +128,19 @@ _E12 = (
     " (SELECT query_id, {map} AS m FROM requests) WHERE {cat} <> 'OTHER' QUALIFY row_number() OVER (PARTITION BY {cat} ORDER BY {hash}, query_id)"
     " <= CASE {cat} WHEN 'DOC_SEARCH' THEN 400 WHEN 'FUNCTION_CALLING' THEN 300 ELSE 100000 END) s JOIN ranked USING (query_id)"
 ).format(p=Q.mapped("list_slice(labels, 1, 2)"), cat=Q.category("m"), map=Q.mapped("workers_list"), hash=HASH)
-add("e12_evaluation_job", e12_job, Q.sql(
+add("e12_evaluation_job", lambda c: e12_job(c)["labels"], Q.sql(
     f"SELECT {_PRF} FROM (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM ("
     "SELECT label, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM ("
     "SELECT label, count(*) FILTER (list_contains(e, label) AND list_contains(p, label)) AS tp,"
     " count(*) FILTER (NOT list_contains(e, label)) AS fp, count(*) FILTER (NOT list_contains(p, label)) AS fn FROM ("
     f"SELECT e, p, unnest(list_distinct(list_concat(e, p))) AS label FROM ({_E12})) GROUP BY label)))", "requests", "ranked"))
+_E12_HIT = "CASE WHEN p[1] = e[1] THEN 1 ELSE 0 END"
+add("e12_job_accuracy", lambda c: e12_job(c)["accuracy"], Q.sql(
+    f"SELECT count(*) AS total_queries, count(*) AS successful_requests, 1::DOUBLE AS success_rate, round(avg({_E12_HIT}), 6) AS exact_match_accuracy,"
+    f" round(avg(CASE WHEN list_contains(p, e[1]) THEN 1 ELSE 0 END), 6) AS partial_match_accuracy FROM ({_E12})", "requests", "ranked"))
+add("e12_job_categories", lambda c: e12_job(c)["categories"], Q.sql(
+    f"SELECT {Q.category('e')} AS category, count(*) AS total, round(avg({_E12_HIT}), 6) AS exact_accuracy,"
+    f" round(avg(CASE WHEN list_contains(p, e[1]) THEN 1 ELSE 0 END), 6) AS partial_accuracy FROM ({_E12}) GROUP BY 1", "requests", "ranked"))
 add("e13_best_labels", lambda c: E.best_labels(E.label_scores(counts_of(c))),
     Q.sql(f"SELECT {_PRF} FROM label_scores ORDER BY round(f1, 6) DESC, label LIMIT 5", "label_scores"))
 add("s15_evaluation_report",
@@ -140,7 +163,7 @@ def r1_labelled(c: Inputs) -> DataFrame:
     out, state = new_path(c.spark, "stream"), new_path(c.spark, "state")
     broken = "case when query like 'xyz%' then 'unreadable request' end"
     run_stream(_stream(c), lambda s: skip_failed(
-        label_queries(s, gazetteer=c.gazetteer, top=2).withColumn("error", F.expr(broken))
+        label_queries(s, DETECTORS, gazetteer=c.gazetteer, top=2).withColumn("error", F.expr(broken))
     ).selectExpr("query_id", "array_join(labels, '|') as labels"), out, state)
     return c.spark.read.parquet(out)
 
@@ -149,26 +172,45 @@ add("r1_stream_labels", r1_labelled, Q.sql(
     "SELECT query_id, array_to_string(list_slice(labels, 1, 2), '|') AS labels FROM ranked WHERE query NOT LIKE 'xyz%'", "ranked"))
 
 
+def r1_labelled_joined(c: Inputs) -> DataFrame:
+    """The same labels with the gazetteer joined, batch by batch."""
+    out, state = new_path(c.spark, "stream"), new_path(c.spark, "state")
+    run_batches(_stream(c), lambda s: label_queries(
+        s, DETECTORS, gazetteer=c.gazetteer, inline_limit=0, top=2
+    ).selectExpr("query_id", "array_join(labels, '|') as labels"), out, state)
+    return c.spark.read.parquet(out).drop("batch_id")
+
+
+add("r1_stream_labels_joined", r1_labelled_joined, Q.sql(
+    "SELECT query_id, array_to_string(list_slice(labels, 1, 2), '|') AS labels FROM ranked", "ranked"))
+
+
 def r2_persisted(c: Inputs) -> DataFrame:
-    """Each micro-batch is persisted once: a second run over the same input adds nothing."""
+    """A batch that is delivered twice is persisted once, and a second run adds nothing."""
     out, state = new_path(c.spark, "stream"), new_path(c.spark, "state")
+
+    def checked(s: DataFrame) -> DataFrame:
+        return K.validate(typed_table(s)).selectExpr("query_id", "is_valid", "size(warnings) as n_warnings", "size(workers_list) as n_labels")
+
     for _ in range(2):
-        run_stream(_stream(c), lambda s: K.validate(typed_table(s)).select("query_id", "is_valid"), out, state)
-    return c.spark.read.parquet(out)
+        run_batches(_stream(c), checked, out, state)
+    write_batch(c.corpus, 0, checked, out)
+    return c.spark.read.parquet(out).drop("batch_id")
 
 
-add("r2_stream_persist", r2_persisted, Q.sql("SELECT query_id, true AS is_valid FROM corpus", "corpus"))
+add("r2_stream_persist", r2_persisted, Q.sql(
+    "SELECT query_id, true AS is_valid, 0 AS n_warnings, CAST(len(workers_list) AS INTEGER) AS n_labels FROM requests", "requests"))
 
 
 def r3_progress(c: Inputs) -> DataFrame:
-    out, state = new_path(c.spark, "stream"), new_path(c.spark, "state")
-    query = run_stream(_stream(c), lambda s: with_progress(
-        s.selectExpr("query_id", "case when query like 'xyz%' then 'bad' end as error")), out, state)
-    return c.spark.createDataFrame([progress_totals(query)], "processed bigint, successful bigint, failed bigint")
+    out, state, counters = (new_path(c.spark, n) for n in ("stream", "state", "counters"))
+    run_batches(_stream(c), lambda s: s.selectExpr(
+        "query_id", "case when query like 'xyz%' then 'bad' end as error"), out, state, counters)
+    return progress_totals(c.spark, counters)
 
 
 add("r3_stream_progress", r3_progress, Q.sql(
-    "SELECT count(*) AS processed, count(*) FILTER (query NOT LIKE 'xyz%') AS successful, count(*) FILTER (query LIKE 'xyz%') AS failed FROM corpus", "corpus"))
+    "SELECT CAST(count(*) AS BIGINT) AS processed, count(*) FILTER (query NOT LIKE 'xyz%') AS successful, count(*) FILTER (query LIKE 'xyz%') AS failed FROM corpus", "corpus"))
 
 # --- user functions -------------------------------------------------------------------------
 
@@ -184,6 +226,15 @@ add("u1_apply_rows", lambda c: U.apply_rows(c.records, _shout, "query_id bigint,
           " CASE WHEN NOT regexp_matches(knowledge_domain, '^[A-Z_]+$') THEN 'odd domain ' || knowledge_domain END AS error FROM records", "records"))
 
 
+# ids past 2^53 and null ids come back as they went in
+_LARGE = "case when event_id % 5 = 0 then null else 9007199254740993 + event_id end"
+add("u1_large_ids", lambda c: U.apply_rows(
+    c.events.selectExpr("event_id", f"{_LARGE} as big", "event_type"),
+    lambda row: {"event_id": row["event_id"], "big": row["big"], "kind": row["event_type"].upper()},
+    "event_id bigint, big bigint, kind string"),
+    f"SELECT event_id, {_LARGE} AS big, upper(event_type) AS kind, CAST(NULL AS VARCHAR) AS error FROM events")
+
+
 def _chunk(part: pd.DataFrame) -> pd.DataFrame:
     lengths = part["query"].str.len()
     return pd.DataFrame({"batch_id": [part["batch_id"].iloc[0]], "n": [len(part)], "chars": [int(lengths.sum())]})
@@ -199,16 +250,27 @@ def _group(part: pd.DataFrame) -> pd.DataFrame:
                          "longest": [int(lengths.max())]})
 
 
-def _grouped(c: Inputs, rows: int) -> DataFrame:
+def _grouped(c: Inputs, slices: int) -> DataFrame:
     return U.apply_groups(
         c.records.select("query_id", "query", "knowledge_domain"), "knowledge_domain", _group,
         "knowledge_domain string, n bigint, longest bigint",
-        [F.sum("n").alias("n"), F.max("longest").alias("longest")], rows_per_call=rows)
+        [F.sum("n").alias("n"), F.max("longest").alias("longest")], slices=slices)
 
 
 _GROUPED = Q.sql("SELECT knowledge_domain, count(*) AS n, max(length(query)) AS longest FROM records GROUP BY 1", "records")
-add("u3_apply_groups", lambda c: _grouped(c, 50_000), _GROUPED)
-add("w4_group_batches", lambda c: _grouped(c, 100), _GROUPED)
+add("u3_apply_groups", lambda c: _grouped(c, 16), _GROUPED)
+add("w4_group_batches", lambda c: _grouped(c, 64), _GROUPED)
+
+
+def _sums(part: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"knowledge_domain": [part["knowledge_domain"].iloc[0]], "n": [len(part)],
+                         "total": [int(part["query"].str.len().sum())]})
+
+
+add("u3_group_means", lambda c: U.apply_groups(
+    c.records.select("query_id", "query", "knowledge_domain"), "knowledge_domain", _sums,
+    "knowledge_domain string, n bigint, total bigint", [F.round(F.sum("total") / F.sum("n"), 6).alias("mean_length")]),
+    Q.sql("SELECT knowledge_domain, round(avg(length(query)), 6) AS mean_length FROM records GROUP BY 1", "records"))
 
 
 def _make_annotator():
@@ -235,7 +297,7 @@ add("u4_annotator_default",
 
 def u5_custom(c: Inputs) -> DataFrame:
     web = Detector("web", lambda v: {"url": matches(v.lower, "ip$|adsl")}, {"url": {4: 1.0}})
-    return label_votes(c.corpus, detectors=[*default_detectors(), web], gazetteer=c.gazetteer).select("query_id", "vote_4")
+    return label_votes(c.corpus, detectors=[*DETECTORS, web], gazetteer=c.gazetteer).select("query_id", "vote_4")
 
 
 add("u5_custom_detector", u5_custom, Q.sql(
@@ -257,5 +319,5 @@ def _most(i: int) -> str:
 
 
 add("u6_custom_reducer",
-    lambda c: label_votes(c.corpus, reducer=_strongest, gazetteer=c.gazetteer).select("query_id", *VOTES),
+    lambda c: label_votes(c.corpus, DETECTORS, reducer=_strongest, gazetteer=c.gazetteer).select("query_id", *VOTES),
     Q.sql("SELECT query_id, " + ", ".join(f"{_most(i)} AS vote_{i}" for i in range(8)) + " FROM flags", "flags"))

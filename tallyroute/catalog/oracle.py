@@ -8,7 +8,7 @@ vocabularies, covers, run-length counts) that the Spark expressions take.
 from __future__ import annotations
 
 from ..functions import patterns as P, vocab
-from .corpus import CORPUS, DIRTY, projection
+from .corpus import ASSISTANT, CORPUS, DIRTY, projection
 
 
 def text(value: str) -> str:
@@ -128,7 +128,7 @@ _STARTS = " OR ".join(
     f"s = {text(w)} OR starts_with(s, {text(w + ' ')})" for w in vocab.QUESTION_STARTS
 )
 _SHORT = rx("s", P.SHORT_DEFINITION)
-_NAMED = rx("l", P.assistant_name(vocab.ASSISTANT_NAME))
+_NAMED = rx("l", P.assistant_name(ASSISTANT))
 
 FLAGS = {
     **{f"syntax_{c}": _command(c) for c in vocab.COMMANDS},
@@ -266,7 +266,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
              f" WHERE CASE {_STOP} ELSE true END AND length(lower(tok)) > 2"
              " GROUP BY query_id, lower(tok))"),
     "user_names": (("tops",), "SELECT query_id, bool_or(" + rx("tok", P.USERNAME)
-                   + ") AS named FROM tops WHERE r <= 10 GROUP BY query_id"),
+                   + ") AS named FROM tops GROUP BY query_id"),
     "grams": (("corpus",),
               "SELECT query_id, n, i, " + norm(
                   "array_to_string(list_slice(w, i, i + n - 1), ' ')"

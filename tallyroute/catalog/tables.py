@@ -15,7 +15,8 @@ from ..session import new_path
 from ..sources import sinks
 from ..sources.gazetteer import count_locations, list_locations
 from ..sources.tables import TableLayout, domain_table, label_table, read_requests, rename
-from . import oracle as Q
+from ..operators.detectors import default_detectors
+from . import corpus as C, oracle as Q
 from .registry import Inputs, add
 
 SEED = 7
@@ -25,7 +26,7 @@ def _hash(df_id: str = "query_id"):
     return O.portable_hash(df_id, SEED)
 
 
-HASH = f"((query_id * 2654435761 + {SEED}) % 4294967296)"
+HASH = f"(((query_id % 2147483648) * 2654435761 + {SEED}) % 4294967296)"
 
 
 # --- sources ---------------------------------------------------------------------
@@ -121,7 +122,7 @@ def s7_export(c: Inputs) -> DataFrame:
     whole = None
     for fmt, path in done.items():
         if fmt.endswith("_error"):
-            part = _flat(c.records).limit(1).select(
+            part = c.spark.range(1).select(
                 F.lit(fmt).alias("format"), F.lit(0).cast("bigint").alias("records"),
                 F.lit(0).cast("bigint").alias("id_sum"), F.lit(path).alias("note"))
         else:
@@ -272,7 +273,7 @@ add("f5_successful_rows", lambda c: filters.succeeded(_with_errors(c)).select("q
 
 
 def _timed(c: Inputs) -> DataFrame:
-    flags = detector_flags(c.corpus)
+    flags = detector_flags(c.corpus, default_detectors(C.ASSISTANT))
     return flags.withColumn("detected", F.expr("time_regex or time_keyword or time_indicator"))
 
 
@@ -408,7 +409,7 @@ add("a15_detection_rates", lambda c: S.detection_rates(_timed(c)),
 
 def _confidence(c: Inputs) -> DataFrame:
     from ..plans.labelling import label_votes
-    return label_votes(c.corpus).withColumn("confidence", F.col("vote_5"))
+    return label_votes(c.corpus, default_detectors(C.ASSISTANT)).withColumn("confidence", F.col("vote_5"))
 
 
 add("a16_confidence_bands", lambda c: S.confidence_bands(_confidence(c)),

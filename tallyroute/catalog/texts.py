@@ -32,9 +32,9 @@ add("t2_collapse_space", lambda c: _expr(_docs(c), "doc_id", f"{T.collapse_space
     f"SELECT doc_id, {Q.tidy('text')} AS tidy FROM documents")
 add("t3_truncate",
     lambda c: _expr(_docs(c), "doc_id", f"length({T.clip(T.collapse_space('text'))}) as kept_length",
-                    f"md5({T.clip(T.collapse_space('text'), 1000)}) as head_md5"),
+                    f"md5({T.clip(T.collapse_space('text'))}) as kept_md5"),
     f"SELECT doc_id, CAST(length(substr({Q.tidy('text')}, 1, 10000)) AS INTEGER) AS kept_length,"
-    f" md5(substr({Q.tidy('text')}, 1, 1000)) AS head_md5 FROM documents")
+    f" md5(substr({Q.tidy('text')}, 1, 10000)) AS kept_md5 FROM documents")
 add("t4_tokens",
     lambda c: _expr(_docs(c), "doc_id", f"size({T.tokens('text')}) as n_tokens", f"array_join({T.tokens('text')}, ' ') as tokens"),
     f"SELECT doc_id, CAST(len(k) AS INTEGER) AS n_tokens, {Q.joined('k', ' ')} AS tokens FROM (SELECT doc_id, {Q.tokens('text')} AS k FROM documents)")

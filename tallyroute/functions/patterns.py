@@ -115,8 +115,9 @@ def question_end(ending: str) -> str:
 SHORT_DEFINITION = whole(vocab.SHORT_DEFINITIONS)
 
 
-def assistant_name(words: tuple[str, ...]) -> str:
-    return whole([f"{SPACE}*".join(re.escape(w) for w in words)])
+def assistant_name(name: str) -> str:
+    """A plain phrase, its words joined or spaced."""
+    return whole([f"{SPACE}*".join(re.escape(w) for w in name.lower().split())])
 
 
 # --- people ------------------------------------------------------------------
@@ -151,7 +152,7 @@ QUANTITY_FORMS = (
 
 # --- assistant identity --------------------------------------------------------
 
-COMRADE = f"{vocab.COMRADE[0]}{SPACE}+{vocab.COMRADE[1]}"
+COMRADE = spaced(vocab.COMRADE)
 COMRADE_GAP = (
     f"^{SPACE}*([{''.join(vocab.COMRADE_PUNCTUATION).replace('-', '')}-]{SPACE}*)*"
     f"([{''.join(vocab.COMRADE_QUOTES)}]{SPACE}*)?"

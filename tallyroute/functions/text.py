@@ -158,7 +158,7 @@ def place_words(text: str) -> str:
     return f"trim(translate({spaced}, {quote(composed)}, {quote(base)}))"
 
 
-def place_candidates(text: str, longest: int = vocab.MAX_NGRAM) -> str:
+def place_candidates(text: str, longest: int) -> str:
     """n-grams of the text in gazetteer spelling (``struct<n,pos,text>``)."""
     parts = f"array_remove(split({place_words(text)}, ' '), '')"
     spelled = collapse_space("translate(g.text, '_', ' ')")

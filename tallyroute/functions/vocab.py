@@ -22,9 +22,6 @@ DOMAINS = (
     "CORE_MOBILE", "PCTT", "VBQL", "GENERAL",
 )
 
-# words of the assistant's name; they may be written joined or spaced
-ASSISTANT_NAME = ("net", "mind")
-
 # raw label -> consolidated label; labels not listed stay as they are
 LABEL_GROUPS = {
     "REGION_IDENTIFIER_AGENT": "FUNCTION_CALLING",
@@ -184,7 +181,7 @@ QUANTITY_PATTERN_TERMS = (
 
 # --- assistant identity ---
 SECOND_PERSON = ("bạn", "cậu", "ngươi", "mày")
-COMRADE = ("đồng", "chí")
+COMRADE = "đồng chí"
 COMRADE_PUNCTUATION = (":", ",", "-", "—", "–", ".", "…")
 COMRADE_QUOTES = ('"', "“", "”", "'", "‘", "’")
 SIMPLE_QUESTIONS = (

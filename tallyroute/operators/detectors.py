@@ -129,12 +129,13 @@ def short_definition(v: TextViews) -> str:
     return T.has_phrase(v.stripped, vocab.SHORT_DEFINITIONS)
 
 
-def names_assistant(v: TextViews, name: tuple[str, ...] = vocab.ASSISTANT_NAME) -> str:
-    hint = f"contains({v.lower}, {T.quote(name[0])})"
+def names_assistant(v: TextViews, name: str) -> str:
+    """The assistant's ``name``, a plain phrase whose words may be joined or spaced."""
+    hint = f"contains({v.lower}, {T.quote(name.lower().split()[0])})"
     return f"({hint} and {T.matches(v.lower, P.assistant_name(name))})"
 
 
-def doc_flags(v: TextViews, name: tuple[str, ...] = vocab.ASSISTANT_NAME) -> Flags:
+def doc_flags(v: TextViews, name: str) -> Flags:
     ends = T.matches(v.stripped, P.question_end(P.any_of(vocab.QUESTION_ENDINGS)))
     closing = f"({T.contains_any(v.stripped, vocab.QUESTION_ENDINGS)} and {ends})"
     return {
@@ -160,11 +161,11 @@ def person_name(entities: str) -> str:
 
 
 def user_name(v: TextViews) -> str:
-    """A keyword of the text is an encoded user name.
+    """A token that can be a keyword is an encoded user name, wherever it stands.
 
-    Keywords are worked out only when some token has the right shape.
+    Tokens are worked out only when some part of the text has the right shape.
     """
-    keys = T.keywords("tk", "lang")
+    keys = T.keyword_tokens("tk", "lang")
     check = f"exists({keys}, k -> {T.matches('k', P.USERNAME)})"
     check = T.let("lang", T.language_of("td"), check)
     found = T.let("td", v.tidy, T.let("tk", T.tokens("td"), check))
@@ -232,7 +233,7 @@ def comrade(v: TextViews) -> str:
     Offsets come from splitting the text at the address form: the pieces and
     the matches alternate, so their lengths add up to each match's end.
     """
-    anywhere = f"contains({v.lower}, {T.quote(vocab.COMRADE[0])})"
+    anywhere = f"contains({v.lower}, {T.quote(vocab.COMRADE.split()[0])})"
     if v.entities is None:
         return f"({anywhere} and {T.matches(v.lower, P.whole([P.COMRADE]))})"
 
@@ -272,7 +273,7 @@ def simple_question(v: TextViews) -> str:
 
 def assistant_flags(
     v: TextViews,
-    name: tuple[str, ...] = vocab.ASSISTANT_NAME,
+    name: str,
     require_simple: bool = False,
 ) -> Flags:
     address = f"({names_assistant(v, name)} or {second_person(v)} or {comrade(v)})"
@@ -282,11 +283,14 @@ def assistant_flags(
 # --- the default set ------------------------------------------------------------------
 
 def default_detectors(
+    assistant: str,
     language: str = "vietnamese",
-    assistant: tuple[str, ...] = vocab.ASSISTANT_NAME,
     require_simple: bool = False,
 ) -> list[Detector]:
-    """The seven detectors with their fixed weights (slot: weight per flag)."""
+    """The seven detectors with their fixed weights (slot: weight per flag).
+
+    ``assistant`` is the name the deployed assistant goes by.
+    """
     if language not in vocab.TIME_KEYWORDS:
         raise ValueError(f"unsupported language: {language}")
     one = 1.0

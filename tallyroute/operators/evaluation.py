@@ -1,7 +1,9 @@
 """Label-quality evaluation.
 
 Input rows pair expected and predicted label lists (see ``pair_predictions``):
-``expected`` raw labels, ``predicted`` consolidated labels, ``success``.
+``expected`` raw labels, ``predicted`` consolidated labels, ``success``. Every
+comparison is made in consolidated labels: ``with_matches`` adds the consolidated
+expectation as ``expected_mapped``.
 """
 
 from __future__ import annotations
@@ -97,18 +99,18 @@ def best_labels(scores: DataFrame, k: int = 5) -> DataFrame:
     return rounded_scores(scores).orderBy(F.desc("f1"), "label").limit(k)
 
 
-def exact_set_accuracy(df: DataFrame) -> DataFrame:
-    hit = F.expr(same_set("expected", "predicted"))
-    return df.filter("success").agg(
+def exact_set_accuracy(matches: DataFrame) -> DataFrame:
+    hit = F.expr(same_set("expected_mapped", "predicted"))
+    return matches.filter("success").agg(
         F.count("*").alias("total_predictions"), F.count_if(hit).alias("correct_predictions"),
         rounded(ratio(F.count_if(hit), F.count("*"))).alias("exact_match_accuracy"),
     )
 
 
-def hit_rates(df: DataFrame) -> DataFrame:
+def hit_rates(matches: DataFrame) -> DataFrame:
     """Share of rows expecting a label that also predict it."""
-    rows = df.filter("success").select(
-        "predicted", F.explode(F.array_distinct("expected")).alias("label")
+    rows = matches.filter("success").select(
+        "predicted", F.explode(F.array_distinct("expected_mapped")).alias("label")
     )
     hit = F.expr("array_contains(predicted, label)")
     return rows.groupBy("label").agg(

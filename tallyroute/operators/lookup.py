@@ -62,24 +62,61 @@ def place_word_list(text: str) -> str:
 def mentions_location(text: str, words: str, names: list[str]) -> str:
     """True when some n-gram of the text is one of ``names``; per row, no join.
 
-    ``words`` is a column holding ``place_word_list`` of the text. Only positions that hold the first word of some name start n-grams, and
-    only up to the longest name. A text with underscores, which turn into
-    spaces inside a candidate, takes the general route over all n-grams.
+    ``words`` is a column holding ``place_word_list`` of the text. Only positions
+    that hold the first word of some name start n-grams, and only up to the
+    longest name. A text with underscores, which turn into spaces inside a
+    candidate, takes the general route over all n-grams.
     """
     if not names:
         return "false"
     known = T.listed(names)
     heads = T.listed(sorted({n.split(" ")[0] for n in names}))
-    longest = min(vocab.MAX_NGRAM, max(n.count(" ") + 1 for n in names))
+    longest = longest_name(names)
     named = (
         f"exists(sequence(1, {longest}),"
         f" n -> array_join(slice({words}, i + 1, n), ' ') in ({known}))"
     )
     plain = f"exists({words}, w -> w in ({heads})) and exists(sequence(0, size({words}) - 1), i -> get({words}, i) in ({heads}) and {named})"
-    general = f"exists({T.place_candidates(text)}, g -> g.text in ({known}))"
+    general = f"exists({T.place_candidates(text, longest)}, g -> g.text in ({known}))"
     return f"coalesce(case when contains({text}, '_') then {general} else {plain} end, false)"
 
 
+def longest_name(names: list[str]) -> int:
+    return max((n.count(" ") + 1 for n in names), default=1)
+
+
+def text_key(text: str) -> Column:
+    """A text's identity in a join; 256 bits, so no two texts share one."""
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
+def matched_texts(df: DataFrame, text_column: str, gazetteer: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(``_text_key``, ``hit``) of the distinct texts with a name of a large gazetteer.
+
+    Candidates are as long as the longest name. Where the first words of all
+    names are few enough to broadcast, other candidates go before any shuffle.
+    """
+    known = gazetteer.select(F.col("name_norm").alias("gram")).filter("gram <> ''").distinct()
+    longest = known.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
+    texts = df.select(text_key(text_column).alias("_text_key"), F.col(text_column).alias("_text"))
+    texts = texts.filter("_text is not null").dropDuplicates(["_text_key"])
+    grams = texts.select("_text_key", F.explode(F.expr(T.place_candidates("_text", longest))).alias("g"))
+    grams = grams.filter("g.text <> ''").select("_text_key", "g", F.col("g.text").alias("gram"))
+    heads = known.select(F.substring_index("gram", " ", 1).alias("head")).distinct()
+    if fits(heads, broadcast_rows):
+        head = F.substring_index("gram", " ", 1)
+        grams = grams.withColumn("head", head).join(F.broadcast(heads), "head", "left_semi").drop("head")
+    if fits(known, broadcast_rows):
+        hits = grams.join(F.broadcast(known), "gram")
+    else:
+        # a phrase of every third text is one join key, so keys are salted
+        salts = F.array(*[F.lit(i) for i in range(SALTS)])
+        salted = grams.withColumn("salt", F.pmod(F.xxhash64("_text_key"), F.lit(SALTS)).cast("int"))
+        hits = salted.join(known.withColumn("salt", F.explode(salts)), ["gram", "salt"])
+    first = F.struct((-F.col("g.n")).alias("rank"), "g.pos", "g.n", "g.text")
+    return hits.groupBy("_text_key").agg(F.min(first).alias("hit"))
+
+
 def location_matches(
     df: DataFrame,
     id_column: str,
@@ -90,34 +127,25 @@ def location_matches(
 ) -> DataFrame:
     """Longest, then leftmost gazetteer name in each text.
 
-    Returns ``id, location, n_tokens, position`` for texts with a match. A
+    Returns ``id, location, n_tokens, position`` for rows whose text has a match;
+    the text alone decides, so rows with one id or none are told apart. A
     gazetteer of bounded size is tested inside the row; a larger one is joined
-    on the exploded n-grams, and only the matches are shuffled back per id.
+    on the n-grams of the distinct texts, and texts meet their match by digest.
     """
     names = inline_names(gazetteer, inline_limit)
     if names is not None:
         # the cheap test settles most texts; n-grams are built for the others only
         known = f"g.text in ({T.listed(names)})" if names else "false"
-        hit = f"get(filter({T.place_candidates(text_column)}, g -> {known}), 0)"
+        hit = f"get(filter({T.place_candidates(text_column, longest_name(names))}, g -> {known}), 0)"
         keep = [id_column, text_column]
         texts = df.select(*keep, F.expr(place_word_list(text_column)).alias("_place"))
         mentioned = mentions_location(text_column, "_place", names)
         texts = computed_once(texts.selectExpr(*keep, f"{mentioned} as _hit"), keep, ["_hit"])
         found = texts.filter("_hit").select(id_column, F.expr(hit).alias("hit"))
     else:
-        known = gazetteer.select(F.col("name_norm").alias("gram")).distinct()
-        grams = df.select(
-            id_column, F.explode(F.expr(T.place_candidates(text_column))).alias("g")
-        ).filter("g.text <> ''").select(id_column, "g", F.col("g.text").alias("gram"))
-        if fits(known, broadcast_rows):
-            hits = grams.join(F.broadcast(known), "gram")
-        else:
-            # a phrase of every third text is one join key, so keys are salted
-            salts = F.array(*[F.lit(i) for i in range(SALTS)])
-            salted = grams.withColumn("salt", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int"))
-            hits = salted.join(known.withColumn("salt", F.explode(salts)), ["gram", "salt"])
-        first = F.struct((-F.col("g.n")).alias("rank"), "g.pos", "g.n", "g.text")
-        found = hits.groupBy(id_column).agg(F.min(first).alias("hit"))
+        hits = matched_texts(df, text_column, gazetteer, broadcast_rows)
+        keyed = df.select(id_column, text_key(text_column).alias("_text_key"))
+        found = keyed.join(hits, "_text_key").select(id_column, "hit")
     return found.select(
         id_column,
         F.col("hit.text").alias("location"),
@@ -134,7 +162,7 @@ def map_labels_by_table(
     pairs = df.select(id_column, F.posexplode(labels_column).alias("pos", "label"))
     grouped = F.coalesce("group", "label").alias("label")
     mapped = (
-        pairs.join(with_size_check(mapping, rows), "label", "left")
+        pairs.join(with_size_check(mapping.select("label", "group"), rows), "label", "left")
         .select(id_column, "pos", grouped)
         .groupBy(id_column, "label").agg(F.min("pos").alias("pos"))
         .groupBy(id_column)
@@ -152,7 +180,7 @@ def remove_stop_words_exploded(
     """J4 over one token per row: anti-join on (language, lower-cased token)."""
     keyed = tokens.withColumn("word", F.lower("token"))
     return keyed.join(
-        with_size_check(stop_words, rows), ["language", "word"], "left_anti"
+        with_size_check(stop_words.select("language", "word"), rows), ["language", "word"], "left_anti"
     ).drop("word")
 
 

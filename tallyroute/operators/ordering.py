@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# ids per block: no window below ever sorts more than this many rows of a table
-# with unique ids, however the ids cluster
+# bits of an id per level: no window below ever sorts more than 2^16 rows of a
+# table with unique ids, however the ids cluster
 BLOCK_BITS = 16
 SALTS = 64
 
@@ -22,34 +22,34 @@ def top_counts(df: DataFrame, column: str, k: int) -> DataFrame:
 def with_positions(df: DataFrame, id_column: str = "query_id") -> DataFrame:
     """Add the 0-based ``position`` of each row in id order, without a global window.
 
-    Ids fall into blocks of 2^16. Rows per block are counted (map-side combined),
-    block offsets are running sums inside super-blocks of 2^16 blocks, and only
-    the few super-blocks share one window. Rows then number themselves within
-    their block. Everything is a function of the ids, so a lost executor's
-    tasks recompute to the same positions.
+    The 64 bits of an id are four levels of 16. Rows are counted per block of
+    each level (map-side combined); a block starts where its parent starts, plus
+    the rows of the parent's earlier blocks, so every window holds the children
+    of one block: 65,536 rows at most, also for hashed ids. Rows then number
+    themselves within their lowest block. Everything is a function of the ids,
+    so a lost executor's tasks recompute to the same positions.
     """
-    block = F.shiftright(F.col(id_column), BLOCK_BITS)
-    counts = df.select(block.alias("_block")).groupBy("_block").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_super", F.shiftright("_block", BLOCK_BITS))
-
-    def before(total: str, window: Window) -> Column:
-        earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(total).over(earlier), F.lit(0))
-
-    supers = counts.groupBy("_super").agg(F.sum("_n").alias("_sn"))
-    supers = supers.select(
-        "_super", before("_sn", Window.orderBy("_super")).alias("_super_offset")
-    )
-    within = before("_n", Window.partitionBy("_super").orderBy("_block"))
-    offsets = counts.join(supers, "_super").select(
-        "_block", (F.col("_super_offset") + within).alias("_offset")
-    )
+    counts = df.select(F.shiftright(F.col(id_column), BLOCK_BITS).alias("_block"))
+    counts = counts.groupBy("_block").agg(F.count("*").alias("_n"))
+    earlier = "coalesce(sum(_n) over ({} order by _block rows between unbounded preceding and 1 preceding), 0)"
+
+    def parents(blocks: DataFrame) -> DataFrame:
+        up = F.shiftright("_block", BLOCK_BITS).alias("_block")
+        return blocks.select(up, "_n").groupBy("_block").agg(F.sum("_n").alias("_n"))
+
+    levels = [counts, parents(counts), parents(parents(counts))]
+    starts = levels[2].select("_block", F.expr(earlier.format("")).alias("_start"))
+    for blocks in (levels[1], levels[0]):
+        own = blocks.withColumn("_parent", F.shiftright("_block", BLOCK_BITS))
+        own = own.select("_block", "_parent", F.expr(earlier.format("partition by _parent")).alias("_within"))
+        above = starts.select(F.col("_block").alias("_parent"), "_start")
+        starts = own.join(above, "_parent").select("_block", (F.col("_start") + F.col("_within")).alias("_start"))
     in_block = F.row_number().over(Window.partitionBy("_block").orderBy(id_column))
     return (
-        df.withColumn("_block", block)
-        .join(offsets, "_block")
-        .withColumn("position", F.col("_offset") + in_block - 1)
-        .drop("_block", "_offset")
+        df.withColumn("_block", F.shiftright(F.col(id_column), BLOCK_BITS))
+        .join(starts, "_block")
+        .withColumn("position", F.col("_start") + in_block - 1)
+        .drop("_block", "_start")
     )
 
 
@@ -69,8 +69,8 @@ def seeded_hash(id_column: str, seed: int) -> Column:
 
 
 def portable_hash(id_column: str, seed: int) -> Column:
-    """A multiplicative hash any SQL engine can repeat."""
-    return F.expr(f"({id_column} * 2654435761 + {seed}) % 4294967296")
+    """A multiplicative hash any SQL engine can repeat; ids of any size fit."""
+    return F.expr(f"(pmod({id_column}, 2147483648) * 2654435761 + {seed}) % 4294967296")
 
 
 def sample_rows(

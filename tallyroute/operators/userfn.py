@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as TY
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as T
-from .lookup import with_size_check
 
 Row = dict[str, Any]
 
@@ -31,12 +32,14 @@ def apply_rows(df: DataFrame, fn: Callable[[Row], Row], schema: str | TY.StructT
             kept = {n: row[n] for n in names if n in row}
             return {**kept, "error": str(error) or type(error).__name__}
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(out)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = [one(r) for r in part.to_dict("records")]
-            yield pd.DataFrame(rows, columns=[*names, "error"])
+            rows = [one(row) for row in part.to_pylist()]
+            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in rows], arrow)
 
-    return df.mapInPandas(batches, out)
+    return df.mapInArrow(batches, out)
 
 
 def apply_chunks(
@@ -48,28 +51,22 @@ def apply_chunks(
 
 
 def apply_groups(
-    df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-    merge: list[Column], salt_by: str = "query_id", rows_per_call: int = 50_000,
+    df: DataFrame, key: str, partial: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
+    merge: list[Column], salt_by: str = "query_id", slices: int = 16,
 ) -> DataFrame:
-    """``fn`` per group of a column, in bounded slices, then ``merge`` per group.
+    """``partial`` on slices of each group of a column, then ``merge`` per group.
 
-    A group of any size is cut into slices of about ``rows_per_call`` rows (one
-    slice for small groups), so no task ever holds a whole hot group. ``fn``
-    returns partial rows with the key; ``merge`` are the aggregates that
-    combine them. Only groups above ``rows_per_call`` are looked up, and there
-    are at most rows / rows_per_call of those.
+    Every group, small or large, is cut into ``slices`` by a hash of ``salt_by``, so
+    ``partial`` never sees a whole group and its meaning cannot depend on a
+    group's size: it returns partial rows with the key (sums, counts, extremes),
+    and ``merge`` are the aggregates that combine them.
     """
-    sizes = df.groupBy(key).agg(F.count("*").alias("_rows")).filter(f"_rows > {rows_per_call}")
-    hot = sizes.select(key, F.expr(f"ceil(_rows / {rows_per_call})").alias("_slices"))
-    sliced = df.join(with_size_check(hot), key, "left").withColumn(
-        "_slice", F.pmod(F.xxhash64(salt_by), F.coalesce("_slices", F.lit(1)))
-    )
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(salt_by), F.lit(slices)))
 
     def call(part: pd.DataFrame) -> pd.DataFrame:
-        return fn(part.drop(columns=["_slice", "_slices"]))
+        return partial(part.drop(columns=["_slice"]))
 
-    partial = sliced.groupBy(key, "_slice").applyInPandas(call, schema)
-    return partial.groupBy(key).agg(*merge)
+    return sliced.groupBy(key, "_slice").applyInPandas(call, schema).groupBy(key).agg(*merge)
 
 
 ANNOTATION = (
@@ -102,9 +99,9 @@ def annotate(
 
     added = TY.StructType.fromDDL(ANNOTATION + ", error string")
     out = TY.StructType([*df.schema.fields, *added.fields])
-    names = added.fieldNames()
+    arrow = to_arrow_schema(added)
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         annotator = make_annotator()
 
         def one(value: str | None) -> Row:
@@ -114,7 +111,9 @@ def annotate(
                 return {"error": str(error) or type(error).__name__}
 
         for part in parts:
-            rows = pd.DataFrame([one(v) for v in part[text]], columns=names, index=part.index)
-            yield pd.concat([part, rows.astype(object).where(rows.notna(), None)], axis=1)
+            # the other columns pass as they came
+            rows = [one(value) for value in part.column(text).to_pylist()]
+            new = pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in rows], arrow)
+            yield pa.RecordBatch.from_arrays([*part.columns, *new.columns], [*part.schema.names, *arrow.names])
 
-    return df.mapInPandas(batches, out)
+    return df.mapInArrow(batches, out)

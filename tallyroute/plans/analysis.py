@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text as T, vocab
+from ..functions import text as T
 from ..operators.ordering import sample_rows
 from ..operators import filters
 
@@ -48,15 +48,19 @@ def analyze(
 
 def process(
     df: DataFrame, techniques=DEFAULT_TECHNIQUES, text: str = "query",
-    max_length: int = vocab.MAX_TEXT_LENGTH,
+    max_length: int | None = None,
 ) -> DataFrame:
-    """Only the columns of the chosen techniques; the rest stay empty."""
+    """Only the columns of the chosen techniques; the rest stay empty.
+
+    Texts are taken whole unless ``max_length`` asks for a cut.
+    """
     unknown = [t for t in techniques if t not in TECHNIQUES]
     if unknown:
         raise ValueError(f"unknown techniques: {', '.join(unknown)}")
     df = df.withColumn("cleaned_text", F.expr(T.collapse_space(f"coalesce({text}, '')")))
     df = df.withColumn("lang", F.expr(T.language_of("cleaned_text")))
-    df = df.withColumn("cleaned_text", F.expr(T.clip("cleaned_text", max_length)))
+    if max_length is not None:
+        df = df.withColumn("cleaned_text", F.expr(T.clip("cleaned_text", max_length)))
     df = df.withColumn("_parts", F.expr(T.tokens("cleaned_text")))
 
     def chosen(technique: str, value: str, otherwise: str) -> Column:

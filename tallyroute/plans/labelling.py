@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vocab
 from ..functions.vectors import Vector, rank_labels, round6, sum_vectors
-from ..operators.detectors import Detector, TextViews, default_detectors
+from ..operators.detectors import Detector, TextViews
 from ..operators.lookup import (
-    INLINE_NAMES, computed_once, inline_names, location_matches, mentions_location,
-    place_word_list,
+    INLINE_NAMES, computed_once, inline_names, matched_texts, mentions_location, place_word_list,
+    text_key,
 )
 
 Reducer = Callable[[Sequence[Vector]], list[str]]
@@ -20,13 +20,13 @@ VOTES = [f"vote_{i}" for i in range(len(vocab.LABELS))]
 
 def text_views(
     df: DataFrame, text: str, entities: str | None = None,
-    gazetteer: DataFrame | None = None, id_column: str = "query_id",
-    inline_limit: int = INLINE_NAMES,
+    gazetteer: DataFrame | None = None, inline_limit: int = INLINE_NAMES,
 ) -> tuple[DataFrame, TextViews]:
     """Add the text forms the detectors share, computed once per row.
 
-    A bounded gazetteer is tested inside the row. A larger one needs
-    ``id_column``: matching ids are joined back to the table.
+    A bounded gazetteer is tested inside the row. A larger one is joined with the
+    distinct texts, which meet their rows by digest; the flag depends on the
+    text alone either way. A stream needs ``label_batches`` for a large one.
     """
     location = None
     views = TextViews.of(text)
@@ -41,19 +41,17 @@ def text_views(
             df = df.withColumn("_place", F.expr(place_word_list(text)))
             added["_location"] = mentions_location(text, "_place", names)
         else:
-            found = location_matches(df, id_column, text, gazetteer, inline_limit)
-            found = found.select(id_column, F.lit(True).alias("_location"))
-            df = df.join(found, id_column, "left")
+            found = matched_texts(df, text, gazetteer).select("_text_key", F.lit(True).alias("_location"))
+            df = df.withColumn("_text_key", text_key(text)).join(found, "_text_key", "left").drop("_text_key")
             df = df.withColumn("_location", F.coalesce("_location", F.lit(False)))
     df = df.withColumns({n: F.expr(e) for n, e in added.items()})
     return df, TextViews(text, "_lower", "_stripped", "_tidy", "_words", entities, location)
 
 
 def detector_flags(
-    df: DataFrame, text: str = "query", detectors: Sequence[Detector] | None = None, **views
+    df: DataFrame, detectors: Sequence[Detector], text: str = "query", **views
 ) -> DataFrame:
     """The input columns plus one boolean ``<detector>_<flag>`` per flag."""
-    detectors = default_detectors() if detectors is None else detectors
     keep = df.columns
     df, view = text_views(df, text, **views)
     flags = {
@@ -66,30 +64,31 @@ def detector_flags(
 
 def label_votes(
     df: DataFrame,
+    detectors: Sequence[Detector],
     text: str = "query",
-    detectors: Sequence[Detector] | None = None,
     reducer: Reducer = sum_vectors,
     **views,
 ) -> DataFrame:
     """The input columns plus ``vote_0`` .. ``vote_7``.
 
-    ``detectors`` may add to or replace the default set, and ``reducer`` may
-    replace the sum; both only compose expressions.
+    ``detectors`` are the default set, or any that adds to or replaces it, and
+    ``reducer`` may replace the sum; both only compose expressions.
     """
-    detectors = default_detectors() if detectors is None else detectors
     keep = df.columns
-    flagged = detector_flags(df, text, detectors, **views)
+    flagged = detector_flags(df, detectors, text, **views)
     vectors = [d.vector({f: f"{d.name}_{f}" for f in d.weights}) for d in detectors]
     votes = [f"{round6(v)} as {name}" for v, name in zip(reducer(vectors), VOTES)]
     return computed_once(flagged.selectExpr(*keep, *votes), keep, VOTES)
 
 
-def label_queries(df: DataFrame, text: str = "query", top: int | None = None, **options) -> DataFrame:
+def label_queries(
+    df: DataFrame, detectors: Sequence[Detector], text: str = "query", top: int | None = None, **options
+) -> DataFrame:
     """Ranked labels and votes of each text; ``top`` keeps the first few."""
     keep = df.columns
     ranked = rank_labels(VOTES)
     if top is not None:
         ranked = f"slice({ranked}, 1, {top})"
-    rows = label_votes(df, text, **options).selectExpr(*keep, f"{ranked} as _ranked")
+    rows = label_votes(df, detectors, text, **options).selectExpr(*keep, f"{ranked} as _ranked")
     votes = F.expr("transform(_ranked.rank, r -> 0D - r)").alias("votes")
     return computed_once(rows, keep, [F.col("_ranked.label").alias("labels"), votes])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as TY
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vocab
 
@@ -44,26 +44,26 @@ def rename(df: DataFrame, layout: TableLayout = TableLayout()) -> DataFrame:
 
 def read_requests(
     spark: SparkSession, path: str, fmt: str = "parquet",
-    layout: TableLayout = TableLayout(), id_column: str = "query_id",
+    layout: TableLayout = TableLayout(), id_column: str = "query_id", multi_line: bool = False,
 ) -> DataFrame:
-    """Read a labelled-request table with a pinned schema: an id and three strings."""
+    """Read a labelled-request table: an id and three strings.
+
+    Large CSV files are split among tasks; ``multi_line`` reads records that
+    span lines, one task per file. A required column that no record has is an
+    error in every format. Extra columns pass.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format: {fmt}")
-    schema = TY.StructType(
-        [TY.StructField(id_column, TY.LongType())]
-        + [TY.StructField(c, TY.StringType()) for c in layout.names]
-    )
-    reader = spark.read
-    if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"', emptyValue="")
-    if fmt in ("parquet", "orc"):
-        return rename(reader.format(fmt).load(path), layout)
-    # row formats: read by name so that a missing column is reported, not null
     if fmt == "csv":
-        return rename(reader.csv(path), layout).withColumn(
-            id_column, F.col(id_column).cast("bigint")
-        )
-    return rename(reader.schema(schema).json(path), layout)
+        reader = spark.read.options(header=True, multiLine=multi_line, escape='"', emptyValue="")
+        found = rename(reader.csv(path), layout)
+    elif fmt == "json":
+        # the columns are those that occur in the records, so a missing one is seen;
+        # values are read as text
+        found = rename(spark.read.options(primitivesAsString=True).json(path), layout)
+    else:
+        found = rename(spark.read.format(fmt).load(path), layout)
+    return found.withColumn(id_column, F.col(id_column).cast("bigint")) if id_column in found.columns else found
 
 
 def label_table(spark: SparkSession) -> DataFrame:

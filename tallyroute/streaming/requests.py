@@ -1,8 +1,9 @@
 """Structured Streaming over request files.
 
-The streaming plans are the batch functions applied to a stream. Batches are
-persisted by the file sink, whose commit log makes each micro-batch appear
-exactly once even when it is written again after a failure.
+The streaming plans are the batch functions applied to a stream. Narrow plans go to
+the file sink, whose commit log makes each micro-batch appear exactly once. Plans
+that join (a large gazetteer) and runs that are counted go batch by batch into
+numbered folders, where a batch that is delivered again replaces itself.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-PROGRESS = "progress"
-
 
 def read_stream(
     spark: SparkSession, folder: str, schema, fmt: str = "parquet",
@@ -28,15 +27,6 @@ def read_stream(
     return reader.load(folder)
 
 
-def with_progress(df: DataFrame, failed: str = "error is not null") -> DataFrame:
-    """Count processed, succeeded and failed rows of each micro-batch."""
-    bad = F.coalesce(F.expr(failed), F.lit(False))
-    return df.observe(
-        PROGRESS, F.count("*").alias("processed"),
-        F.count_if(~bad).alias("successful"), F.count_if(bad).alias("failed"),
-    )
-
-
 def skip_failed(df: DataFrame) -> DataFrame:
     """Drop rows whose processing failed and go on."""
     return df.filter("error is null")
@@ -58,12 +48,43 @@ def run_stream(
     return query
 
 
-def progress_totals(query: StreamingQuery) -> dict[str, int]:
-    """Sum of the observed counters over the recent micro-batches."""
-    totals = {"processed": 0, "successful": 0, "failed": 0}
-    for event in query.recentProgress:
-        row = event.observedMetrics.get(PROGRESS)
-        if row is not None:
-            for name in totals:
-                totals[name] += row[name] or 0
-    return totals
+def write_batch(
+    batch: DataFrame, batch_id: int, transform: Callable[[DataFrame], DataFrame], output: str,
+    counters: str | None = None, failed: str = "error is not null", fmt: str = "parquet",
+) -> None:
+    """One micro-batch in its own folder, and its counters in another.
+
+    The folder carries the batch's number and is replaced, so a batch that is
+    delivered again leaves one copy. ``transform`` sees a batch table, so joins
+    of any kind are allowed. Failed rows are counted and stay in the output.
+    """
+    path = f"{output}/batch_id={batch_id}"
+    done = transform(batch)
+    done.write.mode("overwrite").format(fmt).save(path)
+    if counters is not None:
+        bad = F.coalesce(F.expr(failed), F.lit(False))
+        batch.sparkSession.read.format(fmt).schema(done.schema).load(path).agg(
+            F.count("*").alias("processed"), F.count_if(~bad).alias("successful"), F.count_if(bad).alias("failed"),
+        ).write.mode("overwrite").parquet(f"{counters}/batch_id={batch_id}")
+
+
+def run_batches(
+    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], output: str, checkpoint: str,
+    counters: str | None = None, **options,
+) -> StreamingQuery:
+    """``write_batch`` for every micro-batch that is available, then stop."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, batch_id, transform, output, counters, **options)
+
+    query = (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return query
+
+
+def progress_totals(spark: SparkSession, counters: str) -> DataFrame:
+    """Processed, successful and failed rows over all micro-batches ever written."""
+    names = ("processed", "successful", "failed")
+    return spark.read.parquet(counters).agg(*[F.sum(n).alias(n) for n in names])

@@ -9,9 +9,10 @@ from tallyroute.operators import detectors as D, entities as N
 from tallyroute.plans.labelling import VOTES, label_queries, label_votes
 from tallyroute.sources.gazetteer import build_gazetteer
 
-NAME = "".join(vocab.ASSISTANT_NAME)
+DETECTORS = D.default_detectors("orbit desk")
 GOLDEN = [
-    (f"{NAME.capitalize()} là gì", {2: 1.0}),
+    ("Orbitdesk là gì", {2: 1.0}),
+    ("Orbit  desk là gì", {2: 1.0}),
     ("/remind me to call mom", {7: 1.0}),
     ("Số điện thoại của tôi là 0912345678", {7: 0.55, 6: 0.45}),
     ("Top 5 tỉnh có hiệu suất cao hơn 50%", {0: 0.8, 1: 0.2}),
@@ -41,13 +42,13 @@ def gazetteer(spark):
 @pytest.mark.parametrize("inline_limit", [100, 0])
 def test_votes(spark, gazetteer, inline_limit):
     df = frame(spark, [t for t, _ in GOLDEN])
-    rows = label_votes(df, gazetteer=gazetteer, inline_limit=inline_limit).collect()
+    rows = label_votes(df, DETECTORS, gazetteer=gazetteer, inline_limit=inline_limit).collect()
     got = {r.query_id: {i: r[v] for i, v in enumerate(VOTES) if r[v]} for r in rows}
     assert got == {i: votes for i, (_, votes) in enumerate(GOLDEN)}
 
 
 def test_ties_and_zero_votes_rank_by_name(spark):
-    row = label_queries(frame(spark, ["xyz view"])).first()
+    row = label_queries(frame(spark, ["xyz view"]), DETECTORS).first()
     assert row.labels == sorted(vocab.LABELS)
     assert set(row.votes) == {0.0}
 
@@ -55,7 +56,7 @@ def test_ties_and_zero_votes_rank_by_name(spark):
 def test_person_entity(spark):
     df = frame(spark, ["Đồng chí Đào Duy Tùng là ai"]).withColumn("entities", F.expr(
         "array(named_struct('text', 'Đào Duy Tùng', 'label', 'PER', 'start', 9, 'end', 21))"))
-    row = label_votes(df, entities="entities").first()
+    row = label_votes(df, DETECTORS, entities="entities").first()
     assert {i: row[v] for i, v in enumerate(VOTES) if row[v]} == {6: 0.5, 7: 0.5}
 
 
@@ -152,3 +153,69 @@ def test_entity_spans(spark):
     ents = df.selectExpr(N.fold_tags("k", "g", "q") + " as e").first().e
     assert [(e.text, e.label) for e in ents] == SPANS
     assert (ents[0].start, ents[0].end) == (2, 9)
+
+
+# --- detectors: texts that must hit and texts that must miss, patterns written out by hand ---------
+
+SUB_DETECTORS = {
+    "remind": (lambda v: D.command_flags(v)["remind"],
+               ["/remind me", "please /remind us", "\\remind now", "ok /remind", "/REMIND all"],
+               ["remind me", "/reminder", "a folder", "the/remindx", ""]),
+    "tasks": (lambda v: D.command_flags(v)["tasks"],
+              ["use /tasks to organize", "/tasks", "show /tasks now", "\\tasks", "/Tasks please"],
+              ["the folder contains /tasks for x", "/task", "tasks", "/tasksx", ""]),
+    "user_id": (D.user_id, ["123456", "id 000123 here", "(654321)", "a 111111", "999999."],
+                ["12345", "1234567", "a123456", "12 3456", ""]),
+    "phone": (D.phone, ["0912345678", "gọi 0912345678 nhé", "+84912345678", "09 1234 5678", "x0912345678y"],
+              ["091234567", "1912345678", "09123456789", "phone", ""]),
+    "name": (lambda v: D.names_assistant(v, "orbit desk"),
+             ["orbit desk", "Orbitdesk là gì", "hỏi ORBIT  DESK", "(orbitdesk)", "orbit desk?"],
+             ["orbit", "desk orbit", "orbitdesks", "xorbitdesk", ""]),
+}
+
+
+@pytest.mark.parametrize("name", SUB_DETECTORS)
+def test_sub_detector_hits_and_misses(spark, name):
+    flag, hits, misses = SUB_DETECTORS[name]
+    rows = frame(spark, hits + misses).selectExpr("query_id", f"{flag(D.TextViews.of('query'))} as hit").collect()
+    got = {r.query_id: r.hit for r in rows}
+    assert [got[i] for i in range(len(hits + misses))] == [True] * len(hits) + [False] * len(misses)
+
+
+def test_user_names_are_found_beyond_ten_keywords(spark):
+    text = " ".join(f"chủđề{i} chủđề{i}" for i in range(15)) + " tungdd12"
+    assert frame(spark, [text]).selectExpr(D.user_name(D.TextViews.of("query")) + " as hit").first().hit
+
+
+def test_evaluation_in_one_label_space(spark):
+    from tallyroute.operators import evaluation as E
+
+    rows = [
+        (["FUNCTION_CALLER_AGENT"], ["FUNCTION_CALLING"], True),
+        (["DOCS_SEARCHER_AGENT", "REMINDER_AGENT"], ["DOC_SEARCH"], True),
+        (["REMINDER_AGENT"], ["DOC_SEARCH"], True),
+        (["REMINDER_AGENT"], [], False),
+    ]
+    df = spark.createDataFrame(rows, "expected array<string>, predicted array<string>, success boolean")
+    matches = E.with_matches(df)
+    assert tuple(E.exact_set_accuracy(matches).first()) == (3, 1, 0.333333)
+    assert {tuple(r) for r in E.hit_rates(matches).collect()} == {
+        ("FUNCTION_CALLING", 1, 1, 1.0), ("DOC_SEARCH", 1, 1, 1.0), ("REMINDER", 2, 0, 0.0)}
+
+
+def test_response_shapes(spark):
+    from tallyroute.plans.evaluation import predictions_from_responses
+
+    cases = [
+        ('{"success": false, "labels": ["REMINDER_AGENT"]}', [], "failed response"),
+        ('{"workers": 5, "result": "REMINDER_AGENT"}', ["REMINDER"], None),
+        ('{"workers": ["[x]", 7, "MEETING_AGENT"]}', ["[x]", "MEETING_AGENT"], None),
+        ('{"predicted_workers": "[x"}', ["[x"], None),
+        ('{"labels": ["DOCS_SEARCHER_AGENT", "REMINDER_AGENT", "X"], "votes": [2, 1, 0]}', ["DOC_SEARCH", "REMINDER"], None),
+        ("not json", None, None),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "query_id bigint, response string")
+    got = {r.query_id: r for r in predictions_from_responses(df).collect()}
+    for i, (_, predicted, error) in enumerate(cases):
+        assert got[i].error == error and (got[i].predicted or []) == (predicted or [])

@@ -17,7 +17,10 @@ from tallyroute.plans.table_job import run_table_job
 from tallyroute.sources import sinks
 from tallyroute.sources.gazetteer import build_gazetteer
 from tallyroute.sources.tables import TableLayout, check_columns, read_requests
-from tallyroute.streaming.requests import progress_totals, read_stream, run_stream, with_progress
+from tallyroute.operators.detectors import default_detectors
+from tallyroute.streaming.requests import progress_totals, read_stream, run_batches, run_stream, write_batch
+
+DETECTORS = default_detectors("orbit desk")
 
 
 def plan(df):
@@ -34,9 +37,23 @@ def test_positions_for_clustered_and_negative_ids(spark):
     assert got == {i: n for n, i in enumerate(ids)}
 
 
-def test_positions_have_no_global_window(inputs):
+def test_positions_of_hashed_ids(spark):
+    rng = random.Random(4)
+    ids = sorted(rng.randrange(-2**63, 2**63) for _ in range(3000))
+    df = spark.createDataFrame([(i,) for i in rng.sample(ids, len(ids))], "query_id bigint")
+    got = {r.query_id: r.position for r in O.with_positions(df).collect()}
+    assert got == {i: n for n, i in enumerate(ids)}
+
+
+def test_portable_hash_takes_ids_of_any_size(spark):
+    df = spark.createDataFrame([(i,) for i in (0, 2**40, 2**62 + 5, 2**63 - 1, -3)], "query_id bigint")
+    got = {r.query_id: r.h for r in df.select("query_id", O.portable_hash("query_id", 7).alias("h")).collect()}
+    assert got == {i: ((i % 2**31) * 2654435761 + 7) % 2**32 for i in got}
+
+
+def test_positions_share_one_window_over_the_top_level_only(inputs):
     text = plan(O.with_positions(inputs.records))
-    assert "SinglePartition" not in text.split("_super")[0]
+    assert text.count("SinglePartition") <= 1
 
 
 def test_first_per_group_with_a_hot_group(spark):
@@ -137,6 +154,45 @@ def test_read_formats_with_other_names(spark, inputs, tmp_path):
         read_requests(spark, "x", "xlsx")
 
 
+def test_large_csv_files_are_split(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    spark.range(20_000).selectExpr("id as query_id", "'some text to fill the file' as query", "'D' as knowledge_domain", "'W' as worker").coalesce(1).write.csv(path, header=True)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        assert read_requests(spark, path, "csv").rdd.getNumPartitions() > 1
+        assert read_requests(spark, path, "csv", multi_line=True).rdd.getNumPartitions() == 1
+        assert read_requests(spark, path, "csv").count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_missing_json_columns_are_errors(spark, tmp_path):
+    path = str(tmp_path / "json")
+    spark.createDataFrame([(1, "a")], "query_id bigint, query string").write.json(path)
+    with pytest.raises(ValueError, match="knowledge_domain, worker"):
+        read_requests(spark, path, "json")
+
+
+def test_row_functions_keep_large_and_missing_integers(spark):
+    df = spark.createDataFrame([(2**53 + 1, "a"), (None, "b")], "query_id bigint, query string")
+    rows = U.apply_rows(df, lambda r: {"query_id": r["query_id"], "seen": str(r["query_id"])}, "query_id bigint, seen string").collect()
+    assert {(r.query_id, r.seen) for r in rows} == {(2**53 + 1, str(2**53 + 1)), (None, "None")}
+    noted = U.annotate(df, lambda: lambda text: {"tokens": [text]}).collect()
+    assert {(r.query_id, r.tokens[0]) for r in noted} == {(2**53 + 1, "a"), (None, "b")}
+
+
+def test_partial_functions_do_not_depend_on_group_size(spark):
+    df = spark.createDataFrame([(i, "g" if i else "h", float(i)) for i in range(500)], "query_id bigint, g string, x double")
+
+    def sums(part):
+        return part.groupby("g").agg(n=("x", "size"), s=("x", "sum")).reset_index()
+
+    for slices in (1, 7, 64):
+        got = U.apply_groups(df, "g", sums, "g string, n bigint, s double", [(F.sum("s") / F.sum("n")).alias("mean")], slices=slices)
+        assert {r.g: r["mean"] for r in got.collect()} == {"g": 250.0, "h": 0.0}
+
+
 def test_export_reports_errors_and_goes_on(spark, inputs, tmp_path):
     done = sinks.export(inputs.requests.drop("workers_list"), str(tmp_path), ("xlsx", "json", "csv"))
     assert done["xlsx_error"] == "Unsupported format: xlsx"
@@ -181,7 +237,7 @@ def test_hot_group_is_cut_into_slices(spark):
         assert len(part) <= largest
         return part.groupby("g").size().reset_index(name="n")
 
-    got = U.apply_groups(df, "g", count, "g string, n bigint", [F.sum("n").alias("n")], rows_per_call=50)
+    got = U.apply_groups(df, "g", count, "g string, n bigint", [F.sum("n").alias("n")], slices=8)
     assert {r.g: r.n for r in got.collect()} == {"hot": 400, "cold": 200}
 
 
@@ -193,36 +249,49 @@ def test_stream_equals_batch_and_resumes(spark, inputs, tmp_path):
     corpus.filter("query_id < 400").repartition(3).write.parquet(source)
 
     def label(df):
-        return label_queries(df, gazetteer=inputs.gazetteer, top=2).select("query_id", "labels", "votes")
+        return label_queries(df, DETECTORS, gazetteer=inputs.gazetteer, top=2).select("query_id", "labels", "votes")
 
     def go():
-        stream = read_stream(spark, source, corpus.schema, files_per_batch=1)
-        return run_stream(stream, lambda s: with_progress(label(s), "query_id % 10 = 0"), out, state)
+        run_stream(read_stream(spark, source, corpus.schema, files_per_batch=1), label, out, state)
 
-    totals = progress_totals(go())
-    assert totals == {"processed": 400, "successful": 360, "failed": 40}
+    go()
     corpus.filter("query_id >= 400").write.mode("append").parquet(source)
     go()
     go()
     assert sorted(spark.read.parquet(out).collect()) == sorted(label(corpus).collect())
 
 
+def test_counters_cover_every_batch(spark, inputs, tmp_path):
+    source, out, state, counters = (str(tmp_path / n) for n in ("in", "out", "state", "counters"))
+    inputs.corpus.filter("query_id < 500").repartition(110).write.parquet(source)
+    stream = read_stream(spark, source, inputs.corpus.schema, files_per_batch=1)
+    run_batches(stream, lambda s: s.selectExpr("query_id", "if(query_id % 10 = 0, 'bad', null) as error"), out, state, counters)
+    assert progress_totals(spark, counters).first().asDict() == {"processed": 500, "successful": 450, "failed": 50}
+
+
+def test_a_batch_delivered_again_replaces_itself(spark, inputs, tmp_path):
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        write_batch(inputs.corpus, 3, lambda s: s.select("query_id"), out)
+    assert spark.read.parquet(out).count() == inputs.corpus.count()
+
+
 # --- plan shape -------------------------------------------------------------------------------------
 
 def test_labelling_stays_in_the_jvm_without_joins_or_shuffles(spark, inputs, tmp_path):
     path = str(tmp_path / "c")
     inputs.corpus.write.parquet(path)
-    text = plan(label_queries(spark.read.parquet(path).select("query_id", "query"), gazetteer=inputs.gazetteer))
+    text = plan(label_queries(spark.read.parquet(path).select("query_id", "query"), DETECTORS, gazetteer=inputs.gazetteer))
     for word in ("Python", "Exchange", "Join", "Sort "):
         assert word not in text
     assert "ReadSchema: struct<query_id:bigint,query:string>" in text
 
 
 def test_filters_on_labels_do_not_repeat_the_work(spark, inputs):
-    df = label_queries(inputs.corpus, gazetteer=inputs.gazetteer).filter("labels[0] = 'REMINDER_AGENT'")
+    df = label_queries(inputs.corpus, DETECTORS, gazetteer=inputs.gazetteer).filter("labels[0] = 'REMINDER_AGENT'")
     optimized = df._jdf.queryExecution().optimizedPlan().toString()
     assert optimized.count("erinnern") == label_queries(
-        inputs.corpus, gazetteer=inputs.gazetteer)._jdf.queryExecution().optimizedPlan().toString().count("erinnern")
+        inputs.corpus, DETECTORS, gazetteer=inputs.gazetteer)._jdf.queryExecution().optimizedPlan().toString().count("erinnern")
 
 
 def test_domain_filter_reaches_the_scan(spark, inputs, tmp_path):
