@@ -22,10 +22,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, join_groups, map_batches, saved, text_of, without_ids
+from .common import components, join_groups, map_batches, saved, small_side, text_of, without_ids
 
 SHINGLE = 3
 MAX_DISTANCE = 3
+# marks that one task searches as one bucket; larger buckets are split
+BUCKET_ROWS = 65_536
 # (first bit, bits) of each segment, 23 at most
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 # generator polynomial of the binary Golay code: x^11+x^10+x^6+x^5+x^4+x^2+1
@@ -199,9 +201,27 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out
 
 
+def _split_hot(keys: DataFrame) -> DataFrame:
+    """Cut buckets of more than BUCKET_ROWS into blocks by a hash of the mark.
+
+    Every pair of blocks becomes a bucket of its own, so any two marks still meet
+    and no task holds more than about two blocks.
+    """
+    blocks = F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("blocks")
+    hot = saved(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS).select("key", blocks), "hot-buckets")
+    if not hot.take(1):
+        return keys
+    rows = keys.join(small_side(hot, BUCKET_ROWS), "key")
+    own, other = F.pmod(F.xxhash64("mark"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("key", "mark", own.alias("own"), other.alias("other"))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    cold = keys.join(small_side(hot.select("key"), BUCKET_ROWS), "key", "left_anti")
+    return cold.unionByName(rows.select(pair.alias("key"), "mark"))
+
+
 def near_edges(marks: DataFrame) -> DataFrame:
     """(a, b): links that connect all distinct ``mark`` values within the bound of one another."""
-    keys = map_batches(marks.select("mark"), _emit_keys, "key bigint, mark bigint")
+    keys = _split_hot(map_batches(marks.select("mark"), _emit_keys, "key bigint, mark bigint"))
     return map_batches(keys.repartition("key").sortWithinPartitions("key", "mark"), _bucket_edges, "a bigint, b bigint")
 
 

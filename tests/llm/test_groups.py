@@ -111,7 +111,9 @@ def test_golay_keys_meet_for_every_pattern_of_errors(spark):
     assert all(a & b for a, b in zip(keys([p[0] for p in pairs]), keys([p[1] for p in pairs])))
 
 
-def test_links_of_a_dense_cluster(spark):
+@pytest.mark.parametrize("rows", [simhash.BUCKET_ROWS, 40])
+def test_links_of_a_dense_cluster(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", rows)  # 40: hot buckets are split
     rng = random.Random(2)
     centre = rng.getrandbits(64)
     marks = {centre} | {centre ^ (1 << rng.randrange(8)) ^ (1 << rng.randrange(20, 24)) ^ (1 << rng.randrange(50, 60)) for _ in range(300)}
