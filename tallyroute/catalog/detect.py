@@ -180,7 +180,7 @@ for _route, _limit in (("", 20_000), ("_joined", 0)):
         lambda c, n=_limit: location_matches(
             c.corpus.selectExpr("query_id", "'to The far country that is called ' || split(query, ' ')[0] as query"), "query_id", "query",
             build_gazetteer(c.table("nation").selectExpr(f"{_LONG} as name")), inline_limit=n),
-        Q.sql(f"SELECT query_id, name AS location, 8 AS n_tokens, 1 AS position FROM corpus JOIN (SELECT {_LONG} AS name FROM nation)"
+        Q.sql(f"SELECT query_id, name AS location, 7 AS n_tokens, 1 AS position FROM corpus JOIN (SELECT {_LONG} AS name FROM nation)"
               " ON 'the far country that is called ' || replace(lower(string_split(query, ' ')[1]), '_', ' ') = name", "corpus"))
 
 # the label path over real texts

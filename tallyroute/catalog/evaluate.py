@@ -156,7 +156,7 @@ add("s15_evaluation_report",
 
 def _stream(c: Inputs) -> DataFrame:
     schema = c.table("events").schema
-    return C.request_corpus(read_stream(c.spark, c.sf_dir, schema, name_filter="events.parquet"))
+    return C.request_corpus(read_stream(c.spark, f"{c.sf_dir}/events.parquet*", schema))
 
 
 def r1_labelled(c: Inputs) -> DataFrame:

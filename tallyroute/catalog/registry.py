@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cleaning import clean_table, drop_null_rows, fill_and_trim, quarantine, typed_table
 from ..operators.ordering import with_batch_ids
-from ..session import spread
 from ..sources.gazetteer import build_gazetteer
 from . import corpus as C
 
@@ -29,7 +28,7 @@ class Inputs:
 
     @cached_property
     def events(self) -> DataFrame:
-        return spread(self.table("events"), "event_id")
+        return self.table("events")
 
     @cached_property
     def corpus(self) -> DataFrame:

@@ -9,7 +9,6 @@ from ..operators import entities as N, statistics as S
 from ..operators.keywords import document_keywords
 from ..operators.userfn import apply_rows
 from ..plans.analysis import analysis_table, analyze, process, sentence_report
-from ..session import spread
 from ..sources import sinks
 from . import oracle as Q
 from .registry import ORACLES, Inputs, add
@@ -17,7 +16,7 @@ from .tables import HASH, _hash
 
 
 def _docs(c: Inputs) -> DataFrame:
-    return spread(c.documents, "doc_id")
+    return c.documents
 
 
 def _expr(df: DataFrame, *expressions: str) -> DataFrame:

@@ -52,16 +52,35 @@ def domains_by_label(df: DataFrame) -> DataFrame:
     )
 
 
-def corpus_totals(df: DataFrame) -> DataFrame:
+def _values(df: DataFrame) -> DataFrame:
+    """One row per distinct domain and per distinct label, with the sums of its rows.
+
+    One scan and one shuffle: every row stands for its domain and for each of its
+    labels at once.
+    """
+    kind = "struct<kind:string,value:string,rows:bigint,characters:bigint,assignments:bigint>"
+    own = (
+        "named_struct('kind', 'domain', 'value', knowledge_domain, 'rows', 1L,"
+        " 'characters', cast(length(query) as bigint), 'assignments', cast(size(workers_list) as bigint))"
+    )
     labels = (
-        _one_per_label(df).select("label").distinct()
-        .agg(F.count("*").alias("unique_workers"))
+        "transform(array_distinct(workers_list), x ->"
+        f" cast(named_struct('kind', 'label', 'value', x, 'rows', 0L, 'characters', 0L, 'assignments', 0L) as {kind}))"
     )
-    totals = df.groupBy("knowledge_domain").agg(F.count("*").alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_queries"),
-        F.count("*").alias("unique_knowledge_domains"),
+    rows = df.select(F.inline(F.expr(f"concat(array({own}), coalesce({labels}, cast(array() as array<{kind}>)))")))
+    sums = [F.sum(n).alias(n) for n in ("rows", "characters", "assignments")]
+    return rows.groupBy("kind", "value").agg(*sums)
+
+
+def _count_of(kind: str) -> Column:
+    return F.count_if(F.col("kind") == kind)
+
+
+def corpus_totals(df: DataFrame) -> DataFrame:
+    return _values(df).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_queries"),
+        _count_of("domain").alias("unique_knowledge_domains"), _count_of("label").alias("unique_workers"),
     )
-    return totals.withColumn("unique_workers", labels.scalar())
 
 
 def domain_distribution(df: DataFrame) -> DataFrame:
@@ -126,17 +145,14 @@ def chunk_spread(df: DataFrame) -> DataFrame:
 
 
 def table_analysis(df: DataFrame) -> DataFrame:
-    """One row about the whole table."""
-    row = df.agg(
-        F.count("*").alias("row_count"),
-        rounded(F.avg(F.length("query"))).alias("avg_query_length"),
-        F.coalesce(F.sum(F.size("workers_list")), F.lit(0)).alias("label_assignments"),
-    )
-    domains = domain_distribution(df).agg(F.count("*").alias("n")).scalar()
-    labels = label_distribution(df).agg(F.count("*").alias("n")).scalar()
-    return (
-        row.withColumn("column_count", F.lit(len(df.columns)))
-        .withColumn("domain_count", domains).withColumn("label_count", labels)
+    """One row about the whole table (A12), in one scan."""
+    rows = F.coalesce(F.sum("rows"), F.lit(0))
+    return _values(df).agg(
+        rows.alias("row_count"),
+        rounded(F.try_divide(F.sum("characters"), F.sum("rows"))).alias("avg_query_length"),
+        F.coalesce(F.sum("assignments"), F.lit(0)).alias("label_assignments"),
+        F.lit(len(df.columns)).alias("column_count"),
+        _count_of("domain").alias("domain_count"), _count_of("label").alias("label_count"),
     )
 
 

@@ -1,11 +1,10 @@
-"""Session helpers: shared folder, task spread."""
+"""The shared folder of a session."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SHARED_FOLDER = "spark.checkpoint.dir"
 
@@ -13,29 +12,17 @@ SHARED_FOLDER = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where it is unset in local mode (tests) a temporary folder is made and
-    remembered in the session; executors on other machines could not read one.
+    Only where it is unset in local mode (tests) a folder beside the session's
+    warehouse takes its place and is remembered; on a cluster it must be set.
     """
     folder = spark.conf.get(SHARED_FOLDER, None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {SHARED_FOLDER} to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="tallyroute-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tallyroute-shared"
         spark.conf.set(SHARED_FOLDER, folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tallyroute/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame, id_column: str) -> DataFrame:
-    """Give heavy per-row work enough tasks when the input has too few splits.
-
-    Large tables arrive with plenty of splits and are left alone; a table in one
-    small file would otherwise run on one core.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, id_column)

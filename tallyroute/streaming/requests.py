@@ -16,14 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 def read_stream(
     spark: SparkSession, folder: str, schema, fmt: str = "parquet",
-    files_per_batch: int | None = None, name_filter: str | None = None,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
-    """New files of a folder as an unbounded table."""
+    """New files of a folder (or of a glob) as an unbounded table."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if name_filter:
-        reader = reader.option("pathGlobFilter", name_filter)
     return reader.load(folder)
 
 
