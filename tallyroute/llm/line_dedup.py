@@ -19,19 +19,24 @@ from .common import join_groups, key_bitmap, saved, text_of, with_maybe, without
 MIN_WORDS = 5
 
 
-def line_words(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \\t-\\r]+"), lambda w: w != "")
-
-
 def _without(words: Column, place: Column) -> Column:
     """The words but the one at ``place`` (from 1), joined."""
     return F.array_join(F.concat(F.slice(words, 1, place - 1), F.slice(words, place + 1, F.size(words))), " ")
 
 
 def document_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, number, line) of every line with a word; numbers count all lines from 0, spaces are normalised."""
-    lines = docs.select(F.col(id_column).alias("id"), F.posexplode(F.split(text_of(text_column), "\n")).alias("number", "raw"))
-    return lines.select("id", "number", F.array_join(line_words(F.col("raw")), " ").alias("line")).filter("line <> ''")
+    """(id, number, line, code, n_words) of every line with a word.
+
+    Numbers count all lines from 0. Each white space of the contract becomes one
+    space; ``code`` is the hash of the line.
+    """
+    text = text_of(text_column)
+    plain = F.when(F.regexp_like(text, F.lit("[\\t\\x0b-\\r]")), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    lines = docs.select(F.col(id_column).alias("id"), F.posexplode(F.split(plain, "\n")).alias("number", "raw"))
+    single = F.when(F.contains("raw", F.lit("  ")), F.regexp_replace("raw", " +", " ")).otherwise(F.col("raw"))
+    lines = lines.select("id", "number", F.trim(single).alias("line")).filter("line <> ''")
+    words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return lines.select("id", "number", "line", F.xxhash64("line").alias("code"), words.alias("n_words"))
 
 
 def duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -42,17 +47,17 @@ def duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     lines without words are never repeats, rows repeated with one id repeat each
     other's lines with the same number and are left alone, a null id stands last.
     """
-    lines = document_lines(docs, id_column, text_column).withColumn("code", F.xxhash64("line"))
+    lines = saved(document_lines(docs, id_column, text_column), "lines")
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("number"))
-    rows = saved(lines.select("id", "number", F.col("code"), F.size(F.split("line", " ")).alias("words")), "lines")
+    rows = lines.select("id", "number", "code")
     # equal lines first: one row per distinct line, the earliest
     distinct = saved(
-        rows.groupBy("code").agg(F.min(place).alias("first"), F.max("words").alias("words"), F.count("*").alias("n")), "distinct-lines"
+        rows.groupBy("code").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines"
     )
-    near = near_lines(docs, distinct, id_column, text_column)
+    near = near_lines(lines, distinct)
     better = distinct.filter("n > 1").select("code", "first", "n").join(near.select("code", F.col("earlier")), "code", "full")
     better = saved(better.select("code", F.coalesce("n", F.lit(1)).cast("long").alias("n"), "first", "earlier"), "repeats")
-    marked = with_maybe(rows, [F.col("code")], key_bitmap(better.select("code")), "maybe").filter("maybe").drop("maybe", "words")
+    marked = with_maybe(rows, [F.col("code")], key_bitmap(better.select("code")), "maybe").filter("maybe").drop("maybe")
     met = join_groups(saved(marked, "repeat-rows"), better, "code", "n")
     own = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("number"))
     equal = F.coalesce(F.col("first") < own, F.lit(False))
@@ -63,26 +68,21 @@ def duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """(code, earlier): distinct lines with an earlier line one edit away."""
-    lines = document_lines(docs, id_column, text_column).withColumn("code", F.xxhash64("line"))
-    # of each distinct line the earliest row brings the words
-    words = lines.withColumn("words", F.split("line", " ")).filter(F.size("words") >= MIN_WORDS)
+    words = lines.filter(F.col("n_words") >= MIN_WORDS).select("code", "line", "n_words")
     # pigeonhole: an edit leaves the first or the second half as it was, so only
     # lines that share a half with another line can have a partner
-    size = F.size("words")
-    half = lambda n: F.floor(n / 2).cast("int")
     keys = []
-    for least in (size - 1, size):  # the shorter line of a pair decides where the halves part
-        front = F.xxhash64(F.lit(0), least, F.array_join(F.slice("words", F.lit(1), half(least)), " "))
-        tail = least - half(least)
-        back = F.xxhash64(F.lit(1), least, F.array_join(F.slice("words", size - tail + 1, tail), " "))
-        keys += [front, back]
-    halves = words.select("code", F.explode(F.array_distinct(F.array(*keys))).alias("half"))
+    for least in ("n_words - 1", "n_words"):  # the shorter line of a pair decides where the halves part
+        front = f"cast(floor(({least}) / 2) as int)"
+        keys.append(F.expr(f"xxhash64(0, {least}, substring_index(line, ' ', {front}))"))
+        keys.append(F.expr(f"xxhash64(1, {least}, substring_index(line, ' ', {front} - ({least})))"))
+    halves = words.select("code", F.explode(F.array(*keys)).alias("half"))
     shared = halves.groupBy("half").agg(F.min("code").alias("low"), F.max("code").alias("high")).filter("low <> high")
     bitmap = saved(key_bitmap(shared.select("half")), "shared-halves")
     flag = None
-    likely = words.select("code", "line", "words")
+    likely = words
     for i, key in enumerate(keys):
         likely = with_maybe(likely, [key], bitmap, f"h{i}")
         flag = F.col(f"h{i}") if flag is None else flag | F.col(f"h{i}")
