@@ -88,23 +88,26 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
         flag = F.col(f"h{i}") if flag is None else flag | F.col(f"h{i}")
     likely = likely.filter(flag).select("code", "line").dropDuplicates(["code"])
     likely = saved(likely.join(distinct.select("code", "first"), "code"), "likely-lines").withColumn("words", F.split("line", " "))
-    variants = likely.select(
-        "code", "first", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("place"), "words"
-    ).select("code", "first", "place", F.xxhash64(_without(F.col("words"), F.col("place"))).alias("variant"))
+    variants = likely.select("code", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("place"), "words")
+    variants = variants.select("code", "place", F.xxhash64(_without(F.col("words"), F.col("place"))).alias("variant"))
+    keyed = saved(variants.withColumn("key", F.xxhash64("variant", "place")), "variants")
+    firsts = likely.select("code", "first")
     # changes: the same variant at the same place; every member meets the earliest
-    keyed = saved(variants, "variants")
-    changed = keyed.groupBy("variant", "place").agg(F.min(F.struct("first", "code")).alias("best"), F.count("*").alias("n"))
-    changed = changed.filter("n > 1").select(F.xxhash64("variant", "place").alias("key"), "best", "n")
-    members = keyed.select("code", "first", F.xxhash64("variant", "place").alias("key"))
-    pairs = join_groups(members, saved(changed, "changed"), "key", "n").filter("best.first < first").select(
+    twice = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    members = with_maybe(keyed.select("code", "key"), [F.col("key")], key_bitmap(twice), "maybe").filter("maybe")
+    members = saved(members.drop("maybe").join(firsts, "code"), "changed-lines")
+    changed = members.groupBy("key").agg(F.min(F.struct("first", "code")).alias("best"), F.count("*").alias("n"))
+    pairs = join_groups(members, saved(changed.filter("n > 1"), "changed"), "key", "n").filter("best.first < first").select(
         "code", "first", F.col("best.code").alias("other"), F.col("best.first").alias("earlier")
     )
     # insertions: a whole line equals a variant; each side meets the earliest of the other
-    longer = keyed.groupBy("variant").agg(F.min(F.struct("first", "code")).alias("best"))
-    shorter = likely.select("code", "first").join(longer, F.col("code") == F.col("variant")).filter("best.first < first")
+    inserted = with_maybe(keyed.select("code", "variant"), [F.col("variant")], key_bitmap(likely.select("code")), "maybe")
+    inserted = saved(inserted.filter("maybe").drop("maybe").join(firsts, "code"), "inserted-lines")
+    longer = inserted.groupBy("variant").agg(F.min(F.struct("first", "code")).alias("best"))
+    shorter = firsts.join(longer, F.col("code") == F.col("variant")).filter("best.first < first")
     pairs = pairs.union(shorter.select("code", "first", F.col("best.code"), F.col("best.first")))
-    whole = likely.select(F.col("code").alias("other"), F.col("first").alias("earlier"))
-    wider = keyed.select("code", "first", "variant").join(whole, F.col("variant") == F.col("other")).filter("earlier < first")
+    whole = firsts.select(F.col("code").alias("other"), F.col("first").alias("earlier"))
+    wider = inserted.join(whole, F.col("variant") == F.col("other")).filter("earlier < first")
     pairs = pairs.union(wider.select("code", "first", "other", "earlier")).distinct()
     # the hashes named the pairs; the words decide
     texts = likely.select("code", "words")
