@@ -13,6 +13,7 @@ from ..operators.lookup import pair_predictions
 from ..plans.evaluation import (
     balanced_sample, evaluate, evaluate_predictions, evaluation_job, predictions_from_responses,
 )
+from ..plans.analysis import analyze
 from ..plans.labelling import VOTES, label_queries, label_votes
 from ..session import new_path
 from ..streaming.requests import (
@@ -295,6 +296,24 @@ add("u4_annotator_default",
     Q.sql(f"SELECT query_id, array_to_string(list_transform({Q.tokens('query')}, lambda t: 'UNK'), ' ') AS tags, 1::DOUBLE AS neu FROM corpus", "corpus"))
 
 
+def _make_scorer():
+    """Numbers are entities, and a text with an opening slash is felt as positive."""
+    def annotate(text: str) -> dict:
+        found = [{"text": t, "label": "NUM", "start": 0, "end": len(t)} for t in text.split() if t.isdigit()]
+        compound = 0.5 if text.startswith("/") else -0.25 if text.startswith("xyz") else 0.0
+        return {"entities": found, "sentiment": {"compound": compound, "pos": 0.0, "neu": 1.0, "neg": 0.0}}
+
+    return annotate
+
+
+add("t22_annotated_analysis",
+    lambda c: analyze(U.annotate(c.records.select("query_id", "query"), _make_scorer), entities="entities", sentiment="sentiment").selectExpr(
+        "query_id", "size(entities) as n_entities", "sentiment_score", "word_count"),
+    Q.sql("SELECT query_id, CAST(len(list_filter(k, lambda t: regexp_matches(t, '^[0-9]+$'))) AS INTEGER) AS n_entities,"
+          " CASE WHEN query LIKE '/%' THEN 0.5::DOUBLE WHEN query LIKE 'xyz%' THEN -0.25::DOUBLE ELSE 0::DOUBLE END AS sentiment_score,"
+          f" CAST(len(k) AS INTEGER) AS word_count FROM (SELECT query_id, query, {Q.tokens('query')} AS k FROM records)", "records"))
+
+
 def u5_custom(c: Inputs) -> DataFrame:
     web = Detector("web", lambda v: {"url": matches(v.lower, "ip$|adsl")}, {"url": {4: 1.0}})
     return label_votes(c.corpus, detectors=[*DETECTORS, web], gazetteer=c.gazetteer).select("query_id", "vote_4")

@@ -17,10 +17,13 @@ DEFAULT_TECHNIQUES = ("tokenization", "pos_tagging")
 
 def analyze(
     df: DataFrame, text: str = "query", language: str | None = None, entities: str | None = None,
-    max_length: int | None = None,
+    max_length: int | None = None, sentiment: str | None = None,
 ) -> DataFrame:
     """Per-text analysis columns; a narrow projection without a shuffle.
 
+    ``entities`` and ``sentiment`` name columns of an annotator (``annotate``);
+    without them there are no entities and the sentiment is neutral.
+
     ``language`` names a column with an already detected language; otherwise
     it is detected from the text. Empty texts give an empty record.
     """
@@ -32,13 +35,14 @@ def analyze(
     if max_length is not None:
         df = df.withColumn("cleaned_text", F.expr(T.clip("cleaned_text", max_length)))
     df = df.withColumn("tokens", F.expr(T.tokens("cleaned_text")))
+    felt = T.neutral_sentiment() if sentiment is None else f"coalesce({sentiment}, {T.neutral_sentiment()})"
     found = T.empty(T.ENTITIES) if entities is None else f"coalesce({entities}, {T.empty(T.ENTITIES)})"
     return df.withColumns({
         "word_count": F.size("tokens"),
         "sentence_count": F.expr(f"case when {blank} then 0 else 1 end"),
         "avg_word_length": F.expr(T.mean_length("tokens")),
-        "sentiment": F.expr(T.neutral_sentiment()),
-        "sentiment_score": F.lit(0.0),
+        "sentiment": F.expr(felt),
+        "sentiment_score": F.expr(f"({felt}).compound"),
         "entities": F.expr(found),
         "keywords": F.expr(T.keywords("tokens", "lang")),
         "topics": F.expr(T.topics("lower(cleaned_text)")),

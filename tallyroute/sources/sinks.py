@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.ordering import with_batch_ids
+
 WRITABLE = ("csv", "json", "parquet")
 # files per key at most, when output is split by a column
 KEY_FILES = 8
 
 
-def _write(df: DataFrame, fmt: str, path: str, mode: str, keys: list[str], rows: int | None) -> None:
+def _write(
+    df: DataFrame, fmt: str, path: str, mode: str, keys: list[str], rows: int | None, files: int = KEY_FILES
+) -> None:
     if keys:
         # a task writes few folders: rows meet by key and, for hot keys, by one of a few salts
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(KEY_FILES))
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
         df = df.repartition(*[F.col(k) for k in keys], salt)
     writer = df.write.mode(mode)
     if keys:
@@ -50,6 +54,12 @@ def export(
     return results
 
 
+def export_batches(df: DataFrame, path: str, size: int, fmt: str = "parquet", id_column: str = "query_id") -> None:
+    """Batches of exactly ``size`` records in id order (the last may be short), one folder each."""
+    batches = with_batch_ids(df, size, id_column)
+    _write(batches, fmt, path, "overwrite", ["batch_id"], None, files=1)
+
+
 def append_batch(df: DataFrame, path: str, fmt: str = "json") -> None:
     _write(df, fmt, path, "append", [], None)
 
