@@ -40,6 +40,18 @@ def test_exact_groups(spark):
     check_exact(exact_dedup.duplicate_groups(awkward, digest_all=True).collect(), [(i, t) for i, t, _ in AWKWARD])
 
 
+def test_exact_groups_equal_their_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    cursor = con.execute(queries.ORACLES["op2_exact_dedup"])
+    names = [d[0] for d in cursor.description]
+    df = queries.op2_exact_dedup(spark, DATA)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(cursor.fetchall()) == sorted(tuple(r[n] for n in names) for r in df.collect())
+
+
 def test_texts_that_share_length_and_prefix_are_told_apart(spark):
     start = "p" * exact_dedup.PREFIX
     rows = exact_dedup.duplicate_groups(documents(spark, [start + "ab", start + "ba", start + " ab"])).collect()
