@@ -87,6 +87,25 @@ class Model:
     shared_down: list[np.ndarray]
     curve: np.ndarray | None = None         # logistic weights, the constant first
 
+    # only buckets in use are sent to the tasks
+    def __getstate__(self) -> dict:
+        sparse = lambda arrays, rest: [(i := np.flatnonzero(a != rest).astype(np.uint32), a[i]) for a in arrays]
+        return {
+            "top": sparse(self.top, 0), "top_down": sparse(self.top_down, 1), "shared": sparse(self.shared, 0),
+            "shared_down": sparse(self.shared_down, 1), "curve": self.curve,
+        }
+
+    def __setstate__(self, state: dict) -> None:
+        def full(pairs: list, rest: int) -> list[np.ndarray]:
+            arrays = [np.full(1 << BUCKET_BITS, rest, np.float32) for _ in pairs]
+            for array, (places, values) in zip(arrays, pairs):
+                array[places] = values
+            return arrays
+
+        self.top, self.top_down = full(state["top"], 0), full(state["top_down"], 1)
+        self.shared, self.shared_down = full(state["shared"], 0), full(state["shared_down"], 1)
+        self.curve = state["curve"]
+
     def word_ratios(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word under the toxic model less that under the ordinary one."""
         owner, sequence, context = _grams(words)

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -152,6 +153,8 @@ def test_shared_backoff_tells_unseen_forms_by_their_stem():
     model = toxicity.build_model({n: table.column(n).to_numpy() for n in table.schema.names})
     unseen, usual = model.word_ratios(["zorkelle", "plainb"])
     assert unseen > usual + 1
+    sent = pickle.dumps(model)
+    assert len(sent) < 1 << 20 and pickle.loads(sent).word_ratios(["zorkelle", "plainb"]).tolist() == [unseen, usual]
 
 
 def test_toxicity_of_awkward_rows(spark):
