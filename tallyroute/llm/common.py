@@ -107,7 +107,7 @@ def components(edges: DataFrame) -> DataFrame:
     ).distinct()
     current, state = saved(both, "edges"), None
     while True:
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
+        now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state or now[0] == 0:
             break
         state = now
