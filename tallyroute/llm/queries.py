@@ -92,4 +92,34 @@ ORACLES = {
             FROM t
         )
     """,
+    # edits are found by the same variants, but over whole strings and all lines
+    "op8_line_dedup": """
+        WITH raw AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
+                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS number
+            FROM documents
+        ), lines AS (
+            SELECT doc_id, number, w, array_to_string(w, ' ') AS line, doc_id * 1000000 + number AS place FROM (
+                SELECT doc_id, number, list_filter(string_split_regex(raw, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM raw
+            ) WHERE len(w) > 0
+        ), one AS (SELECT line, any_value(w) AS w, min(place) AS first FROM lines GROUP BY line),
+        variants AS (
+            SELECT line, first, p, array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ') AS v
+            FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM one WHERE len(w) >= 5)
+        ), near AS (
+            SELECT line, min(earlier) AS earlier FROM (
+                SELECT line, first, min(first) OVER (PARTITION BY v, p) AS earlier FROM variants
+                UNION ALL
+                SELECT one.line, one.first, variants.first FROM variants JOIN one ON one.line = v WHERE len(one.w) >= 5
+                UNION ALL
+                SELECT variants.line, variants.first, one.first FROM variants JOIN one ON one.line = v WHERE len(one.w) >= 5
+            ) WHERE earlier < first GROUP BY line
+        ), judged AS (
+            SELECT doc_id, number, place > first AS equal, place = first AND earlier IS NOT NULL AS near
+            FROM lines JOIN one USING (line) LEFT JOIN near USING (line)
+        )
+        SELECT documents.doc_id, count(number) AS n_lines, count(*) FILTER (equal) AS n_equal, count(*) FILTER (near) AS n_near,
+            coalesce(string_agg(CASE WHEN equal OR near THEN CAST(number AS VARCHAR) END, ',' ORDER BY number), '') AS dropped
+        FROM documents LEFT JOIN judged USING (doc_id) GROUP BY documents.doc_id
+    """,
 }

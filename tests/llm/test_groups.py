@@ -40,14 +40,15 @@ def test_exact_groups(spark):
     check_exact(exact_dedup.duplicate_groups(awkward, digest_all=True).collect(), [(i, t) for i, t, _ in AWKWARD])
 
 
-def test_exact_groups_equal_their_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
-    cursor = con.execute(queries.ORACLES["op2_exact_dedup"])
+    cursor = con.execute(queries.ORACLES[name])
     names = [d[0] for d in cursor.description]
-    df = queries.op2_exact_dedup(spark, DATA)
+    df = queries.QUERIES[name](spark, DATA)
     assert sorted(names) == sorted(df.columns)
     assert sorted(cursor.fetchall()) == sorted(tuple(r[n] for n in names) for r in df.collect())
 
