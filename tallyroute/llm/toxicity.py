@@ -30,7 +30,7 @@ CURVE_ROWS = 50_000
 FEATURES = ("mean", "second", "three", "length")
 HELD_OUT_FOLD, CURVE_FOLD = 0, 1
 # words whose ratio a task remembers before it starts afresh
-WORD_CACHE = 600_000
+WORD_CACHE = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _START, _END = "\x02", "\x03"
@@ -83,16 +83,16 @@ class Model:
 
     top: tuple[np.ndarray, np.ndarray]      # per class, of the top order
     top_down: tuple[np.ndarray, np.ndarray]
-    shared: list[np.ndarray]                # per lower order, both classes together
-    shared_down: list[np.ndarray]
+    shared: np.ndarray                      # of all lower orders, both classes together
+    shared_down: np.ndarray
     curve: np.ndarray | None = None         # logistic weights, the constant first
 
     # only buckets in use are sent to the tasks
     def __getstate__(self) -> dict:
         sparse = lambda arrays, rest: [(i := np.flatnonzero(a != rest).astype(np.uint32), a[i]) for a in arrays]
         return {
-            "top": sparse(self.top, 0), "top_down": sparse(self.top_down, 1), "shared": sparse(self.shared, 0),
-            "shared_down": sparse(self.shared_down, 1), "curve": self.curve,
+            "kept": sparse([*self.top, self.shared], 0), "down": sparse([*self.top_down, self.shared_down], 1),
+            "curve": self.curve,
         }
 
     def __setstate__(self, state: dict) -> None:
@@ -102,8 +102,8 @@ class Model:
                 array[places] = values
             return arrays
 
-        self.top, self.top_down = full(state["top"], 0), full(state["top_down"], 1)
-        self.shared, self.shared_down = full(state["shared"], 0), full(state["shared_down"], 1)
+        *self.top, self.shared = full(state["kept"], 0)
+        *self.top_down, self.shared_down = full(state["down"], 1)
         self.curve = state["curve"]
 
     def word_ratios(self, words: list[str]) -> np.ndarray:
@@ -111,7 +111,7 @@ class Model:
         owner, sequence, context = _grams(words)
         lower = np.full(len(owner), 1 / 512)
         for k in range(ORDER - 1):
-            lower = self.shared[k][sequence[k]] + self.shared_down[k][context[k]] * lower
+            lower = self.shared[sequence[k]] + self.shared_down[context[k]] * lower
         by_class = [
             self.top[x][sequence[-1]] + self.top_down[x][context[-1]] * lower for x in (0, 1)
         ]
@@ -134,16 +134,18 @@ def _level(sequence: np.ndarray, context: np.ndarray, counts: np.ndarray) -> tup
 def build_model(grams: dict[str, np.ndarray]) -> Model:
     """From one row per top sequence to the arrays; lower orders count distinct left extensions."""
     top = [_level(grams["gram"], grams[f"c{ORDER}"], grams[name].astype(float)) for name in ("ordinary", "toxic")]
-    shared = []
+    kept, down = np.zeros(1 << BUCKET_BITS, np.float32), np.ones(1 << BUCKET_BITS, np.float32)
     for k in range(ORDER - 1, 0, -1):
         # distinct sequences of order k+1 that end in each sequence of order k
         longer = grams["gram"] if k == ORDER - 1 else grams[f"s{k + 1}"]
         _, one = np.unique(longer, return_index=True)
         sequence, first, back = np.unique(grams[f"s{k}"][one], return_index=True, return_inverse=True)
         counts = np.bincount(back, minlength=len(sequence)).astype(float)
-        shared.append(_level(sequence, grams[f"c{k}"][one][first], counts))
-    shared.reverse()
-    return Model((top[0][0], top[1][0]), (top[0][1], top[1][1]), [s[0] for s in shared], [s[1] for s in shared])
+        own, own_down = _level(sequence, grams[f"c{k}"][one][first], counts)
+        # the orders' hashes differ, so one array holds them all
+        np.maximum(kept, own, out=kept)
+        np.minimum(down, own_down, out=down)
+    return Model((top[0][0], top[1][0]), (top[0][1], top[1][1]), kept, down)
 
 
 # ---- documents ------------------------------------------------------------------
@@ -235,7 +237,9 @@ def train(
     table = counted.toArrow()
     model = build_model({n: table.column(n).to_numpy() for n in table.column_names})
     sample = rows.filter(F.col("fold") == CURVE_FOLD).select("labelled", "toxic", "text")
-    features = saved(map_batches(sample, _feature_rows(docs.sparkSession.sparkContext.broadcast(model)), _FEATURE_ROWS), "curve")
+    counted_model = docs.sparkSession.sparkContext.broadcast(model)
+    features = saved(map_batches(sample, _feature_rows(counted_model), _FEATURE_ROWS), "curve")
+    counted_model.destroy()
     few = features.orderBy(F.xxhash64("id"), "id").limit(CURVE_ROWS).toArrow()
     x = np.column_stack([few.column(n).to_numpy() for n in FEATURES])
     model.curve = fit_curve(x, few.column("toxic").to_numpy().astype(float))
@@ -259,15 +263,16 @@ def _feature_rows(model):
     return run
 
 
-def _score_rows(model):
+def _score_rows(model, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model.value)
         for batch in batches:
-            for start, texts in text_runs(batch.column(0).to_pylist()):
+            texts_of = [(t or "").lower() for t in batch.column(place).to_pylist()]
+            for start, texts in text_runs(texts_of):
                 x = np.column_stack((np.ones(len(texts)), scorer.features(texts)))
                 score = 1 / (1 + np.exp(-np.clip(x @ model.value.curve, -30, 30)))
                 rest = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([*rest.columns[1:], pa.array(score)], [*rest.schema.names[1:], "__score"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(score)], [*rest.schema.names, "__score"])
     return run
 
 
@@ -279,10 +284,13 @@ def with_toxicity(docs: DataFrame, model: Model, text_column: str = "text", name
     ``name`` is replaced.
     """
     keep = docs.drop(name)
-    send = keep.select(F.lower(text_of(text_column)).alias("__text"), "*")
+    if text_column in keep.columns:  # lowered in the task, so the text is sent once
+        place, send = keep.columns.index(text_column), keep
+    else:
+        raise ValueError(f"no text column {text_column}")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = map_batches(send, _score_rows(shared), f"{fields}, __score double")
+    scored = map_batches(send, _score_rows(shared, place), f"{fields}, __score double")
     return scored.withColumnRenamed("__score", name)
 
 
