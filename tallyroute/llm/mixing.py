@@ -19,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 64
 # documents per shard, about; a hot source has more shards, not larger ones
-SHARD_ROWS = 65_536
+SHARD_ROWS = 16_384
 SOURCE_BOUND = 100_000
 
 
