@@ -9,6 +9,8 @@ are poured together, pieces cut freely, and the last one into powers of two.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,9 +44,10 @@ class Encoder:
     space, around a single line break, and between a letter and a comma or stop.
     Texts are cut there by Arrow, and each distinct piece is encoded once per
     batch and looked up per task. Texts with other white space are encoded whole.
+    The strings of ``added`` are cut out first and have the ids given there.
     """
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> None:
         import base64
 
         import tiktoken
@@ -55,20 +58,34 @@ class Encoder:
             "packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
         self._break = ranks[b"\n"]
+        self._added = added or {}
+        # the leftmost and then the longest, as tokenizers takes them
+        longest = sorted(self._added, key=len, reverse=True)
+        self._cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")")
         self._forget()
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         array = pa.array(texts, pa.large_string())
         hard = pc.match_substring_regex(array, _HARD).to_numpy(zero_copy_only=False)
+        for token in self._added:
+            hard = hard | pc.match_substring(array, token).to_numpy(zero_copy_only=False)
         out: list = [None] * len(texts)
         for row in np.flatnonzero(hard):
-            out[row] = np.array(self._encode(texts[row]), "<u4")
+            out[row] = np.array(self._whole(texts[row]), "<u4")
         easy = np.flatnonzero(~hard)
         if len(easy):
             for row, ids in zip(easy, self._pieces(array.take(pa.array(easy)))):
                 out[row] = ids
         return out
 
+    def _whole(self, text: str) -> list[int]:
+        if not self._added:
+            return self._encode(text)
+        ids: list[int] = []
+        for part in self._cut.split(text):
+            ids += [self._added[part]] if part in self._added else self._encode(part)
+        return ids
+
     def _pieces(self, array: pa.Array) -> list[np.ndarray]:
         cut = pc.replace_substring_regex(array, _LETTER_STOP, "\\1\x00\\2")
         cut = pc.replace_substring(cut, " ", "\x00 ")
@@ -176,9 +193,15 @@ class Packer:
                     out = []
 
 
-def _pack(ranks_path: str, pattern: str, window: int):
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """The strings that a tokenizer file lists beside its vocabulary, and their ids."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def _pack(ranks_path: str, pattern: str, window: int, added: dict[str, int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(ranks_path, pattern), Packer(window)
+        encoder, packer = Encoder(ranks_path, pattern, added), Packer(window)
         sequence = TaskContext.get().partitionId() << 40
         pending: list[tuple] = []
 
@@ -220,12 +243,13 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 def pack_documents(
     docs: DataFrame, window: int = WINDOW, ranks_path: str | None = None, pattern: str | None = None,
-    id_column: str = "doc_id", text_column: str = "text",
+    id_column: str = "doc_id", text_column: str = "text", added: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text and then END_ID; a null or empty text
-    has END_ID alone. Every id lies in one piece; sequences hold ``window`` ids,
+    has END_ID alone. A string of ``added`` (with the default vocabulary: of the
+    tokenizer's added tokens) is one id, as in ``tokenizers``. Every id lies in one piece; sequences hold ``window`` ids,
     but for at most a few per partition, whose lengths are powers of two. Sequence ids
     carry the partition's number. Repeated rows are packed as often as they
     occur; a null id is passed on.
@@ -234,8 +258,9 @@ def pack_documents(
         import public_tokenizers
 
         ranks_path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        added = added_tokens(public_tokenizers.path("byte_bpe_50k.json")) if added is None else added
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     fields = ", ".join(f"{n} bigint" for n in NAMES[1:])
-    packed = map_batches(rows, _pack(ranks_path, pattern, window), f"doc_id {kind}, {fields}")
+    packed = map_batches(rows, _pack(ranks_path, pattern, window, added), f"doc_id {kind}, {fields}")
     return packed.withColumnRenamed("doc_id", id_column)
