@@ -29,10 +29,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-# after a cue: at most a few joining characters, then the identifier and its boundary
-_IBAN = re.compile(r"[ :#=]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-_SSN = re.compile(r"[ :#=]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
-_ACCOUNT = re.compile(r"(?: (?:number|no|nr)\b)?[ .:#=]{1,4}([0-9]{6,17})(?![0-9])")
+# after a cue: "number", "no", "nr", "is" in any case, at most a few joining characters, then
+# the identifier and its boundary
+_WORDS = r"(?: (?i:number|no|nr|is)\b){0,2}"
+_IBAN = re.compile(_WORDS + r"[ .:#=]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_SSN = re.compile(_WORDS + r"[ .:#=]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+_ACCOUNT = re.compile(_WORDS + r"[ .:#=]{1,4}([0-9]{6,17})(?![0-9])")
 _LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^ \t-\r@/]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
@@ -127,9 +129,14 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         elif not (start and text[start - 1].isalnum()):
             shape = {"iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT}[kind]
             run = shape.match(text, last + 1)
-            if run and (kind != "iban" or _iban_holds(run[1])):
-                found.append((kind, run.start(1), run.end(1)))
-                done[kind] = run.end(1)
+            value = run[1] if run else ""
+            # capital words after an IBAN are taken in first: shorter ends at spaces are tried
+            while kind == "iban" and value and not _iban_holds(value):
+                value = value.rpartition(" ")[0]
+                value = value if len(value.replace(" ", "")) >= 15 else ""
+            if value:
+                found.append((kind, run.start(1), run.start(1) + len(value)))
+                done[kind] = run.start(1) + len(value)
     found.sort(key=lambda span: (span[1], _RANK[span[0]]))
     return found
 
