@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyroute.llm import exact_dedup, jaccard, mixing, packing, toxicity
+from tallyroute.llm import exact_dedup, mixing, packing, simhash, toxicity
 from tallyroute.llm.common import saved
 
 
@@ -19,8 +19,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of texts that share 0.8 of their five-word shingles stays."""
-    return jaccard.drop_near_duplicates(docs)
+    """The smallest id of each group of texts whose fingerprints link at three bits or fewer stays."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
