@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,6 +20,9 @@ HOT_SHARE = 500
 # bits of a broadcast bitmap: 2^25 bits are 4 MB whatever the table's size
 BITMAP_BITS = 1 << 25
 _BUCKET_BITS = 32_768
+# bytes of an Arrow batch between the JVM and Python, unless the session says otherwise
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -33,13 +38,31 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def give_back() -> None:
+    """Return freed memory of Arrow and of the C library to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """``mapInArrow``; a worker gives Arrow's spare memory back when its task ends."""
+    """``mapInArrow``; a worker gives its spare memory back when its task ends.
+
+    Batches are bounded by bytes as well as rows, so very long texts make small batches.
+    A bound that the session sets itself is left as it is.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) is None:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
