@@ -251,16 +251,16 @@ def _group(part: pd.DataFrame) -> pd.DataFrame:
                          "longest": [int(lengths.max())]})
 
 
-def _grouped(c: Inputs, slices: int) -> DataFrame:
+def _grouped(c: Inputs, rows: int) -> DataFrame:
     return U.apply_groups(
-        c.records.select("query_id", "query", "knowledge_domain"), "knowledge_domain", _group,
+        c.records.select("query", "knowledge_domain"), "knowledge_domain", _group,
         "knowledge_domain string, n bigint, longest bigint",
-        [F.sum("n").alias("n"), F.max("longest").alias("longest")], slices=slices)
+        [F.sum("n").alias("n"), F.max("longest").alias("longest")], rows=rows)
 
 
 _GROUPED = Q.sql("SELECT knowledge_domain, count(*) AS n, max(length(query)) AS longest FROM records GROUP BY 1", "records")
-add("u3_apply_groups", lambda c: _grouped(c, 16), _GROUPED)
-add("w4_group_batches", lambda c: _grouped(c, 64), _GROUPED)
+add("u3_apply_groups", lambda c: _grouped(c, 10_000), _GROUPED)
+add("w4_group_batches", lambda c: _grouped(c, 500), _GROUPED)
 
 
 def _sums(part: pd.DataFrame) -> pd.DataFrame:
@@ -269,11 +269,34 @@ def _sums(part: pd.DataFrame) -> pd.DataFrame:
 
 
 add("u3_group_means", lambda c: U.apply_groups(
-    c.records.select("query_id", "query", "knowledge_domain"), "knowledge_domain", _sums,
+    c.records.select("query", "knowledge_domain"), "knowledge_domain", _sums,
     "knowledge_domain string, n bigint, total bigint", [F.round(F.sum("total") / F.sum("n"), 6).alias("mean_length")]),
     Q.sql("SELECT knowledge_domain, round(avg(length(query)), 6) AS mean_length FROM records GROUP BY 1", "records"))
 
 
+_MOSTLY_ONE = "if(event_id % 2 = 0, 'all', concat('u', user_id % 40))"
+
+
+def _values(part: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"g": [part["g"].iloc[0]], "n": [len(part)], "total": [int(part["cents"].sum())],
+                         "batch": [len(part)]})
+
+
+def _joined(parts: pd.DataFrame) -> pd.DataFrame:
+    return parts.groupby("g", dropna=False, as_index=False).agg({"n": "sum", "total": "sum", "batch": "max"})
+
+
+# one group holds half of all rows; no call of the function sees more than 250 of them
+add("u3_hot_group",
+    lambda c: U.apply_groups(
+        c.events.select(F.expr(_MOSTLY_ONE).alias("g"), F.expr("cast(round(value * 100) as bigint)").alias("cents")), "g", _values,
+        "g string, n bigint, total bigint, batch bigint",
+        [F.sum("n").alias("n"), F.sum("total").alias("total"), (F.max("batch") <= 250).alias("bounded")],
+        rows=250, combine=_joined, held=200),
+    f"SELECT g, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total, true AS bounded FROM"
+    f" (SELECT value, CASE WHEN event_id % 2 = 0 THEN 'all' ELSE concat('u', user_id % 40) END AS g FROM events) GROUP BY g")
+
+
 def _make_annotator():
     def annotate(text: str) -> dict:
         parts = text.split()

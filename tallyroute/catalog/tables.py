@@ -435,12 +435,25 @@ add("w1_first_rows", lambda c: _rec(O.first_rows(c.records, 100)),
     Q.sql(f"SELECT {_REC} FROM records ORDER BY query_id LIMIT 100", "records"))
 add("w2_top_counts", lambda c: O.top_counts(c.records, "query", 10),
     Q.sql("SELECT query, count(*) AS \"count\" FROM records GROUP BY query ORDER BY 2 DESC, 1 LIMIT 10", "records"))
-add("w3_batch_ids", lambda c: c.batches.select("query_id", "batch_id"),
+add("w3_batch_ids", lambda c: O.with_batch_ids(c.records.select("query_id"), 100),
     Q.sql("SELECT query_id, CAST(batch_id AS BIGINT) AS batch_id FROM batches", "batches"))
+# ids that are null, that two or three rows share, and text; rows are numbered to the last
+_ODD_IDS = "case when event_id % 11 = 3 then null when event_id % 7 < 2 then event_id div 50 else event_id + 4611686018427387904 end"
+add("w3_null_and_repeated_ids",
+    lambda c: O.with_positions(c.events.select(F.expr(_ODD_IDS).alias("id")), "id"),
+    "SELECT id, row_number() OVER (ORDER BY id NULLS LAST) - 1 AS position FROM"
+    f" (SELECT {_ODD_IDS.replace(' div ', ' // ')} AS id FROM events)")
+add("w3_text_keys",
+    lambda c: O.with_positions(c.events.select("event_type", "event_id"), ["event_type", "event_id"]),
+    "SELECT event_type, event_id, row_number() OVER (ORDER BY event_type NULLS LAST, event_id) - 1 AS position FROM events")
 add("w3_batch_ids_dense", lambda c: O.with_batch_ids(c.corpus, 100, dense=True).select("query_id", "batch_id"),
     Q.sql("SELECT query_id, query_id // 100 AS batch_id FROM corpus", "corpus"))
 add("w5_sample", lambda c: _rec(O.sample_rows(c.records, 100, order=_hash())),
     Q.sql(f"SELECT {_REC} FROM records ORDER BY {HASH}, query_id LIMIT 100", "records"))
+# half of the rows: the n-th key is found by counting, not by a sort
+add("w5_large_sample",
+    lambda c: O.sample_rows(c.corpus, 15000, order=_hash()).select("query_id"),
+    Q.sql(f"SELECT query_id FROM corpus ORDER BY {HASH}, query_id LIMIT 15000", "corpus"))
 add("w6_sample_label", lambda c: _rec(O.sample_rows(filters.by_joined_labels(c.records, "DOC_SEARCH"), 50, order=_hash())),
     Q.sql(f"SELECT {_REC} FROM records WHERE workers = 'DOC_SEARCH' ORDER BY {HASH}, query_id LIMIT 50", "records"))
 QUOTAS = {"DOC_SEARCH": 400, "FUNCTION_CALLING": 300, "REMINDER": 100000}

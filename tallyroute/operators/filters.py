@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .selection import smallest_rows
+
 
 def by_domain(df: DataFrame, domain: str) -> DataFrame:
     return df.filter(F.col("knowledge_domain") == domain)
@@ -53,6 +55,6 @@ def prefer_language(
 ) -> DataFrame:
     """First ``wanted`` rows of a language topped up with others, by id."""
     is_language = F.col(column) == language
-    first = df.filter(is_language).orderBy(id_column).limit(wanted)
-    rest = df.filter(~F.coalesce(is_language, F.lit(False))).orderBy(id_column).limit(others)
+    first = smallest_rows(df.filter(is_language), wanted, [id_column])
+    rest = smallest_rows(df.filter(~F.coalesce(is_language, F.lit(False))), others, [id_column])
     return first.unionByName(rest)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as TY
 
-# bits of an id per level: no window below ever sorts more than 2^16 rows of a
-# table with unique ids, however the ids cluster
-BLOCK_BITS = 16
+from ..session import saved
+from .selection import smallest_rows
+
+# monotonically_increasing_id: the partition above these bits, the row's place in them
+_PLACE_BITS = 33
 SALTS = 64
 
 
 def first_rows(df: DataFrame, n: int, id_column: str = "query_id") -> DataFrame:
-    return df.orderBy(id_column).limit(n)
+    """The ``n`` rows of the smallest ids; null ids come last."""
+    return smallest_rows(df, n, [id_column])
 
 
 def top_counts(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -19,44 +22,74 @@ def top_counts(df: DataFrame, column: str, k: int) -> DataFrame:
     return counts.orderBy(F.desc("count"), column).limit(k)
 
 
-def with_positions(df: DataFrame, id_column: str = "query_id") -> DataFrame:
-    """Add the 0-based ``position`` of each row in id order, without a global window.
+def with_positions(df: DataFrame, by: str | list[str] = "query_id") -> DataFrame:
+    """Add the 0-based ``position`` of each row in the order of ``by``, without a global window.
 
-    The 64 bits of an id are four levels of 16. Rows are counted per block of
-    each level (map-side combined); a block starts where its parent starts, plus
-    the rows of the parent's earlier blocks, so every window holds the children
-    of one block: 65,536 rows at most, also for hashed ids. Rows then number
-    themselves within their lowest block. Everything is a function of the ids,
-    so a lost executor's tasks recompute to the same positions.
+    Keys may be of any type that sorts; nulls come last, and rows of equal keys
+    follow a hash of their content, so that the numbers do not depend on how the
+    table is partitioned. Rows are dealt into ranges by sampled boundaries and sorted
+    there; a row's place in its range is counted as it is written, and ranges
+    start where the sizes of those before them end. No window holds more than one
+    row per range. Equal rows are told apart by their place in their sorted input
+    partition, which a repeated task finds again, so a key or even a row that fills
+    a third of the table is spread over ranges like any other. The numbered rows
+    are a written table: what reads them sees the same positions each time.
     """
-    counts = df.select(F.shiftright(F.col(id_column), BLOCK_BITS).alias("_block"))
-    counts = counts.groupBy("_block").agg(F.count("*").alias("_n"))
-    earlier = "coalesce(sum(_n) over ({} order by _block rows between unbounded preceding and 1 preceding), 0)"
-
-    def parents(blocks: DataFrame) -> DataFrame:
-        up = F.shiftright("_block", BLOCK_BITS).alias("_block")
-        return blocks.select(up, "_n").groupBy("_block").agg(F.sum("_n").alias("_n"))
-
-    levels = [counts, parents(counts), parents(parents(counts))]
-    starts = levels[2].select("_block", F.expr(earlier.format("")).alias("_start"))
-    for blocks in (levels[1], levels[0]):
-        own = blocks.withColumn("_parent", F.shiftright("_block", BLOCK_BITS))
-        own = own.select("_block", "_parent", F.expr(earlier.format("partition by _parent")).alias("_within"))
-        above = starts.select(F.col("_block").alias("_parent"), "_start")
-        starts = own.join(above, "_parent").select("_block", (F.col("_start") + F.col("_within")).alias("_start"))
-    in_block = F.row_number().over(Window.partitionBy("_block").orderBy(id_column))
+    keys = [by] if isinstance(by, str) else list(by)
+    digest, tie, at, part, start = unused_names(df, "digest", "tie", "at", "part", "start")
+    order = [F.col(k).asc_nulls_last() for k in keys]
+    told = df.withColumn(digest, content_hash(df)).sortWithinPartitions(*order, digest)
+    told = told.withColumn(tie, F.monotonically_increasing_id())
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = told.repartitionByRange(ranges, *order, F.col(digest), F.col(tie))
+    ranged = ranged.sortWithinPartitions(*order, digest, tie).drop(digest, tie)
+    # the number of the range above the low bits, the place in it in them
+    numbered = saved(ranged.withColumn(at, F.monotonically_increasing_id()), "positions")
+    of_range = F.shiftright(at, _PLACE_BITS).alias(part)
+    sizes = numbered.select(of_range).groupBy(part).agg(F.count("*").alias(at))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum(at).over(before), F.lit(0)).alias(start))
+    place = F.col(at).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     return (
-        df.withColumn("_block", F.shiftright(F.col(id_column), BLOCK_BITS))
-        .join(starts, "_block")
-        .withColumn("position", F.col("_start") + in_block - 1)
-        .drop("_block", "_start")
+        numbered.withColumn(part, F.shiftright(at, _PLACE_BITS))
+        .join(F.broadcast(starts), part)
+        .withColumn("position", F.col(start) + place)
+        .drop(part, start, at)
     )
 
 
+def unused_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have, one for each of ``wanted``."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        names.append(name)
+    return names
+
+
+def content_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns; maps and variants are hashed as JSON."""
+    def hashable(kind: TY.DataType) -> bool:
+        if isinstance(kind, TY.ArrayType):
+            return hashable(kind.elementType)
+        if isinstance(kind, TY.StructType):
+            return all(hashable(f.dataType) for f in kind.fields)
+        return not isinstance(kind, (TY.MapType, TY.VariantType))
+
+    parts = [
+        F.col(f"`{f.name}`") if hashable(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`")))
+        for f in df.schema.fields
+    ]
+    return F.xxhash64(*parts) if parts else F.lit(0).cast("long")
+
+
 def with_batch_ids(
     df: DataFrame, size: int, id_column: str = "query_id", dense: bool = False
 ) -> DataFrame:
-    """Fixed-size batches in id order. Dense ids (0, 1, 2, ...) need no shuffle."""
+    """Fixed-size batches in id order, null ids last. Dense ids (0, 1, 2, ...) need no shuffle."""
     if dense:
         return df.withColumn("batch_id", F.expr(f"{id_column} div {size}"))
     return with_positions(df, id_column).withColumn(
@@ -77,8 +110,9 @@ def sample_rows(
     df: DataFrame, n: int, seed: int = 42, id_column: str = "query_id", order: Column | None = None
 ) -> DataFrame:
     """Uniform sample of ``min(n, rows)`` rows, repeatable for a seed."""
-    order = seeded_hash(id_column, seed) if order is None else order
-    return df.orderBy(order, id_column).limit(n)
+    (key,) = unused_names(df, "order")
+    keyed = df.withColumn(key, seeded_hash(id_column, seed) if order is None else order)
+    return smallest_rows(keyed, n, [key, id_column]).drop(key)
 
 
 def first_per_group(
@@ -112,15 +146,16 @@ def first_per_group(
 
 def stratified_sample(
     df: DataFrame, category: str, quotas: dict[str, int], seed: int = 42,
-    id_column: str = "query_id", order: Column | None = None, salts: int = SALTS,
+    id_column: str = "query_id", order: Column | None = None,
 ) -> DataFrame:
-    """Up to a quota per category (short ones whole), with a shuffled ``sample_order``."""
+    """Up to a quota per category (short ones whole), with a shuffled ``sample_order``.
+
+    The threshold of each category is found by counting digits of the order, so
+    no task ever holds a quota.
+    """
     order = seeded_hash(id_column, seed) if order is None else order
-    chosen = first_per_group(
-        df.withColumn("_order", order), category, [F.col("_order"), F.col(id_column)],
-        quotas, id_column, salts,
-    )
-    return chosen.withColumnRenamed("_order", "sample_order")
+    listed = df.filter(F.col(category).isin(*quotas)) if quotas else df.limit(0)
+    return smallest_rows(listed.withColumn("sample_order", order), quotas, ["sample_order", id_column], category)
 
 
 def until_critical(df: DataFrame, id_column: str = "query_id", word: str = "critical") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as TY
@@ -51,22 +52,57 @@ def apply_chunks(
 
 
 def apply_groups(
-    df: DataFrame, key: str, partial: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-    merge: list[Column], salt_by: str = "query_id", slices: int = 16,
+    df: DataFrame, key: str, partial: Callable[[pd.DataFrame], pd.DataFrame], schema: str | TY.StructType,
+    merge: list[Column], rows: int = 10_000, combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+    held: int = 50_000,
 ) -> DataFrame:
-    """``partial`` on slices of each group of a column, then ``merge`` per group.
-
-    Every group, small or large, is cut into ``slices`` by a hash of ``salt_by``, so
-    ``partial`` never sees a whole group and its meaning cannot depend on a
-    group's size: it returns partial rows with the key (sums, counts, extremes),
-    and ``merge`` are the aggregates that combine them.
+    """``partial`` on pieces of each group of a column, then ``merge`` per group.
+
+    The table streams through each task in Arrow batches. ``partial`` sees at most
+    ``rows`` rows of one key at a time and returns partial rows with the key (sums,
+    counts, extremes); ``merge`` are the aggregates that combine them, first in
+    the task and then, after the only shuffle, over all tasks. So neither a batch nor
+    a task's memory depends on the size of a group, and no row of the table is
+    shuffled. ``combine``, if given, joins partial rows of the same keys in
+    the task as soon as ``held`` of them wait; they are passed on when that leaves
+    more than half of them. A null key is a group like any other.
     """
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(salt_by), F.lit(slices)))
-
-    def call(part: pd.DataFrame) -> pd.DataFrame:
-        return partial(part.drop(columns=["_slice"]))
+    declared = TY.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(declared)
+
+    def called(batch: pa.RecordBatch) -> Iterator[pd.DataFrame]:
+        table = pa.Table.from_batches([batch])
+        codes = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        cuts = np.flatnonzero(np.diff(codes[order])) + 1
+        for place in np.split(order, cuts):
+            for at in range(0, len(place), rows):
+                part = table.take(pa.array(place[at : at + rows]))
+                yield partial(part.to_pandas(integer_object_nulls=True))
+
+    def rows_of(frames: list[pd.DataFrame]) -> pa.RecordBatch:
+        whole = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+        return pa.RecordBatch.from_pandas(whole[arrow.names], arrow, preserve_index=False)
 
-    return sliced.groupBy(key, "_slice").applyInPandas(call, schema).groupBy(key).agg(*merge)
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pd.DataFrame] = []
+        count = 0
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            for frame in called(batch):
+                waiting.append(frame)
+                count += len(frame)
+                if count > held and combine:
+                    waiting = [combine(pd.concat(waiting, ignore_index=True))]
+                    count = len(waiting[0])
+                if count > (held // 2 if combine and len(waiting) == 1 else held):
+                    yield rows_of(waiting)
+                    waiting, count = [], 0
+        if waiting:
+            yield rows_of([combine(pd.concat(waiting, ignore_index=True))] if combine else waiting)
+
+    return df.mapInArrow(batches, declared).groupBy(key).agg(*merge)
 
 
 ANNOTATION = (

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.errors import PySparkException
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyroute.functions import text as T, vocab
 from tallyroute.operators import (
-    cleaning, keywords, lookup, ordering as O, statistics as S, userfn as U, validation as K,
+    cleaning, keywords, lookup, ordering as O, selection, statistics as S, userfn as U, validation as K,
 )
 from tallyroute.plans.labelling import label_queries
 from tallyroute.plans.table_job import run_table_job
@@ -51,9 +53,84 @@ def test_portable_hash_takes_ids_of_any_size(spark):
     assert got == {i: ((i % 2**31) * 2654435761 + 7) % 2**32 for i in got}
 
 
-def test_positions_share_one_window_over_the_top_level_only(inputs):
+def test_positions_of_null_repeated_and_text_keys(spark):
+    rows = [(None, "a"), (1, "b"), (2**62, "c"), (None, "a"), (1, "b"), (-1, None), (1, "a"), (None, "z")] * 40
+    df = spark.createDataFrame(rows, "query_id bigint, t string")
+    got = O.with_positions(df).collect()
+    assert sorted(r.position for r in got) == list(range(len(rows)))
+    assert Counter((r.query_id, r.t) for r in got) == Counter(rows)
+    by_place = [r.query_id for r in sorted(got, key=lambda r: r.position)]
+    assert by_place == sorted((r[0] for r in rows), key=lambda i: (i is None, i))
+    text = [r.t for r in sorted(O.with_positions(df, ["t", "query_id"]).collect(), key=lambda r: r.position)]
+    assert text == sorted((r[1] for r in rows), key=lambda t: (t is None, t))
+    assert O.with_positions(df.limit(0)).collect() == []
+    named = df.withColumnRenamed("t", "_tie").withColumn("_at", F.lit(1)).withColumn("_part", F.lit(2))
+    assert O.with_positions(named).columns == ["query_id", "_tie", "_at", "_part", "position"]
+
+
+def test_positions_do_not_depend_on_the_partitions(spark):
+    df = spark.range(500).selectExpr("id % 7 as query_id", "id as x", "map('k', id) as m")
+    one = {(r.x, r.position) for r in O.with_positions(df.repartition(1)).collect()}
+    assert one == {(r.x, r.position) for r in O.with_positions(df.repartition(13)).collect()}
+
+
+def test_a_key_of_a_third_of_the_rows_is_spread_over_ranges(spark):
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, 5, id) as query_id", "'same' as t")
+    numbered = O.with_positions(df)
+    assert numbered.select("position").distinct().count() == 30_000
+    sizes = [pq.read_metadata(f.removeprefix("file://")).num_rows for f in numbered.inputFiles()]
+    assert sum(sizes) == 30_000 and max(sizes) < 10_000
+
+
+def test_positions_have_no_window_over_rows(inputs):
     text = plan(O.with_positions(inputs.records))
-    assert text.count("SinglePartition") <= 1
+    assert text.count("SinglePartition") <= 1 and "Python" not in text
+
+
+SELECT_ROWS = [(i * 7919 % 1000 - 500 if i % 9 else None, i % 5, f"s{i % 3}") for i in range(3000)]
+
+
+@pytest.mark.parametrize("n", [0, 41, 2999, 9999])
+@pytest.mark.parametrize("order", [["a", "b"], ["a"], ["s", "a", "b"]])
+def test_selection_equals_a_sort(spark, monkeypatch, n, order):
+    monkeypatch.setattr(selection, "FEW_ROWS", 0)
+    monkeypatch.setattr(selection, "BOUNDARY_ROWS", 50)
+    df = spark.createDataFrame(SELECT_ROWS, "a bigint, b int, s string")
+    got = [tuple(r[c] for c in order) for r in selection.smallest_rows(df, n, order).collect()]
+    key = lambda row: tuple((v is None, v) for v in row)
+    want = sorted((tuple(dict(zip("abs", r))[c] for c in order) for r in SELECT_ROWS), key=key)[:n]
+    assert sorted(got, key=key) == want
+
+
+def test_selection_takes_the_same_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(selection, "FEW_ROWS", 0)
+    monkeypatch.setattr(selection, "BOUNDARY_ROWS", 10)
+    df = spark.range(2000).selectExpr("id % 3 as k", "id as x")
+    one = {r.x for r in selection.smallest_rows(df.repartition(2), 100, ["k"]).collect()}
+    two = {r.x for r in selection.smallest_rows(df.repartition(9), 100, ["k"]).collect()}
+    assert one == two and len(one) == 100 and all(x % 3 == 0 for x in one)
+
+
+def test_large_selection_sorts_and_gathers_nothing(spark):
+    df = spark.range(200_000).selectExpr("xxhash64(id) as h", "id")
+    chosen = selection.smallest_rows(df, 100_000, ["h", "id"])
+    assert "Limit" not in plan(chosen) and "TakeOrdered" not in plan(chosen)
+    assert chosen.count() == 100_000
+    bound = chosen.agg(F.max("h")).first()[0]
+    assert df.filter(F.col("h") <= bound).count() == 100_000
+
+
+def test_quotas_with_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(selection, "BOUNDARY_ROWS", 20)
+    rows = [(i, "hot" if i % 3 else f"g{i % 7}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "query_id bigint, g string")
+    quotas = {"hot": 1500, "g0": 2, "g3": 10**6, "absent": 4, "g6": 0}
+    got = selection.smallest_rows(df, quotas, ["query_id"], "g")
+    want = []
+    for name, limit in quotas.items():
+        want += sorted(i for i, g in rows if g == name)[:limit]
+    assert sorted(r.query_id for r in got.collect()) == sorted(want) and got.columns == df.columns
+    assert selection.smallest_rows(df, {}, ["query_id"], "g").count() == 0
 
 
 def test_first_per_group_with_a_hot_group(spark):
@@ -188,8 +265,8 @@ def test_partial_functions_do_not_depend_on_group_size(spark):
     def sums(part):
         return part.groupby("g").agg(n=("x", "size"), s=("x", "sum")).reset_index()
 
-    for slices in (1, 7, 64):
-        got = U.apply_groups(df, "g", sums, "g string, n bigint, s double", [(F.sum("s") / F.sum("n")).alias("mean")], slices=slices)
+    for rows in (1, 7, 640):
+        got = U.apply_groups(df, "g", sums, "g string, n bigint, s double", [(F.sum("s") / F.sum("n")).alias("mean")], rows=rows)
         assert {r.g: r["mean"] for r in got.collect()} == {"g": 250.0, "h": 0.0}
 
 
@@ -228,17 +305,50 @@ def test_composite_success_threshold(spark):
 
 # --- user functions -----------------------------------------------------------------------
 
-def test_hot_group_is_cut_into_slices(spark):
-    rows = [(i, "hot" if i % 3 else "cold") for i in range(600)]
-    df = spark.createDataFrame(rows, "query_id bigint, g string")
-    largest = 120
+def test_no_batch_of_a_hot_group_is_above_the_bound(spark):
+    df = spark.range(30_000, numPartitions=2).selectExpr("id as query_id", "if(id % 3 = 0, 'cold', if(id = 1, null, 'hot')) as g")
 
     def count(part):
-        assert len(part) <= largest
-        return part.groupby("g").size().reset_index(name="n")
+        assert len(part) <= 1000 and part["g"].nunique(dropna=False) == 1
+        return pd.DataFrame({"g": [part["g"].iloc[0]], "n": [len(part)], "most": [len(part)]})
+
+    got = U.apply_groups(df, "g", count, "g string, n bigint, most bigint", [F.sum("n").alias("n"), F.max("most").alias("most")], rows=1000)
+    assert {r.g: r.n for r in got.collect()} == {"hot": 19_999, "cold": 10_000, None: 1}
+    text = plan(got).split("Initial Plan")[-1]
+    # partial rows are merged before they are shuffled, and rows of the table never are
+    assert "FlatMapGroups" not in text and text.count("Exchange hashpartitioning") == 1
+    assert text.index("MapInArrow") > text.index("partial_sum")
+
+
+def test_group_functions_with_rows_of_odd_types(spark):
+    rows = [(1, "a", [1, 2], 2**53 + 1), (2, "a", None, None), (3, None, [], 5)]
+    df = spark.createDataFrame(rows, "query_id bigint, g string, xs array<int>, big bigint")
+
+    def biggest(part):
+        values = [v for v in part["big"] if v is not None and v == v]
+        return pd.DataFrame({"g": [part["g"].iloc[0]], "big": pd.array([int(max(values))] if values else [None], "Int64")})
+
+    got = U.apply_groups(df, "g", biggest, "g string, big bigint", [F.max("big").alias("big")])
+    assert {r.g: r.big for r in got.collect()} == {"a": 2**53 + 1, None: 5}
+    assert U.apply_groups(df.limit(0), "g", biggest, "g string, big bigint", [F.max("big").alias("big")]).collect() == []
+
+
+def test_partial_rows_are_combined_in_the_task(spark):
+    df = spark.range(4000, numPartitions=1).selectExpr("id as query_id", "'g' as g")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(part):
+        return pd.DataFrame({"g": ["g"], "n": [len(part)], "calls": [1]})
+
+    def together(parts):
+        seen.add(1)
+        return parts.groupby("g", dropna=False, as_index=False).agg(n=("n", "sum"), calls=("calls", "sum"))
 
-    got = U.apply_groups(df, "g", count, "g string, n bigint", [F.sum("n").alias("n")], slices=8)
-    assert {r.g: r.n for r in got.collect()} == {"hot": 400, "cold": 200}
+    got = U.apply_groups(
+        df, "g", count, "g string, n bigint, calls bigint", [F.sum("n").alias("n"), F.sum("calls").alias("calls")],
+        rows=10, combine=together, held=50,
+    ).first()
+    assert (got.n, got.calls) == (4000, 400) and seen.value >= 7
 
 
 # --- streaming ----------------------------------------------------------------------------------
