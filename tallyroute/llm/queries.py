@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators, and their DuckDB twins."""
+"""The registered queries of the operators, and their DuckDB twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, pii, quality, sharding, simhash, toxicity, warc
+from . import exact_dedup, line_dedup, mixing, packing, pii, quality, sharding, simhash, spelling, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +70,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_exact_dedup, op3_warc, op4_quality, op5_simhash, op6_toxicity, op7_sharding, op8_line_dedup,
-        op9_packing, op10_mixing,
+        op9_packing, op10_mixing, op13_spelling,
     )
 }
 
