@@ -78,6 +78,9 @@ class Encoder:
                 out[row] = ids
         return out
 
+    def encode_text(self, text: str) -> list[int]:
+        return self._whole(text)
+
     def _whole(self, text: str) -> list[int]:
         if not self._added:
             return self._encode(text)
