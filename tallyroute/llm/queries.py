@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, exact_dedup, line_dedup, mixing, packing, pii, quality, sharding, simhash, spelling, toxicity, warc
+from . import alignment, exact_dedup, language_model, line_dedup, mixing, packing, pii, quality, sharding, simhash, spelling, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
 
@@ -82,7 +86,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_exact_dedup, op3_warc, op4_quality, op5_simhash, op6_toxicity, op7_sharding, op8_line_dedup,
-        op9_packing, op10_mixing, op12_alignment, op13_spelling,
+        op9_packing, op10_mixing, op11_language_model,
+        op12_alignment, op13_spelling,
     )
 }
 
