@@ -21,6 +21,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ CONTEXT = 5
 CLASSES = 32
 ENDINGS = 64
 # passes over all training documents
-ROUNDS = 2
+ROUNDS = 1
 BATCH = 4096
-RATE = 0.15
+RATE = 0.1
 # noise words to each token, and how many are drawn in a class that has more words
 NOISE = 64
 DRAWN = 64
@@ -135,23 +136,30 @@ class LogBilinear:
         out[own] = self.class_of[ids[own]]
         return out
 
-    def prediction(self, context: np.ndarray) -> np.ndarray:
-        inputs, places = self.tables["inputs"], self.tables["places"]
-        total = inputs[context[:, 0]] * places[0]
+    def predictions(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the CONTEXT tokens before each token from CONTEXT on add up to, and the vectors of all."""
+        vectors, places = self.tables["inputs"][stream], self.tables["places"]
+        count = len(stream) - CONTEXT
+        total = vectors[CONTEXT - 1 : CONTEXT - 1 + count] * places[0]
         for k in range(1, CONTEXT):
-            total += inputs[context[:, k]] * places[k]
-        return total
-
-    def log_probability(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each token, of an ending's class for rare words."""
-        out = np.empty(len(ids), np.float64)
-        for at in range(0, len(ids), 4 * BATCH):
-            part = ids[at : at + 4 * BATCH]
-            out[at : at + len(part)] = self._log_batch(part, context[at : at + len(part)])
+            total += vectors[CONTEXT - 1 - k : CONTEXT - 1 - k + count] * places[k]
+        return total, vectors
+
+    def log_probability(self, stream: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each token of a stream; zero where a text starts.
+
+        Before every text the stream holds the start CONTEXT times. A rare word's
+        is that of its ending's class.
+        """
+        out = np.zeros(len(stream), np.float64)
+        for at in range(CONTEXT, len(stream), BATCH):
+            stop = min(at + BATCH, len(stream))
+            own = np.flatnonzero(stream[at:stop] != self.start)
+            q, _ = self.predictions(stream[at - CONTEXT : stop])
+            out[at + own] = self._log_batch(stream[at + own], q[own])
         return out
 
-    def _log_batch(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
-        q = self.prediction(context)
+    def _log_batch(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
         own = self.classes_of(ids)
         out = _log_softmax_at(q, self.tables["classes"], own)
         order = np.argsort(own, kind="stable")
@@ -170,11 +178,15 @@ class LogBilinear:
 def _log_softmax_at(q: np.ndarray, table: np.ndarray, target: np.ndarray) -> np.ndarray:
     scores = q @ table[:, :-1].T
     scores += table[:, -1]
-    top = scores.max(axis=1)
     chosen = scores[np.arange(len(q)), target].astype(np.float64)
-    scores -= top[:, None]
+    top = float(scores.max())
+    if top - float(scores.min()) > 80:  # far apart: each row by its own largest
+        top = scores.max(axis=1)
+        scores -= top[:, None]
+    else:
+        scores -= top
     np.exp(scores, out=scores)
-    return chosen - top - np.log(scores.sum(axis=1, dtype=np.float64))
+    return chosen - top - np.log(scores @ np.ones(scores.shape[1], np.float32))
 
 
 class Trainer:
@@ -194,10 +206,16 @@ class Trainer:
         self.tables[name][rows] += gradient * size[:, None]
         self.weights[name][rows] += weight
 
-    def step(self, ids: np.ndarray, context: np.ndarray) -> None:
+    def step(self, stream: np.ndarray) -> None:
+        """Train on the tokens of a stretch of a stream; its first CONTEXT tokens are context only."""
         m, tables = self.m, self.tables
-        q = m.prediction(context)
-        one = np.hstack([q, np.ones((len(q), 1), np.float32)])
+        real = np.flatnonzero(stream[CONTEXT:] != m.start)
+        if not len(real):
+            return
+        q, vectors = m.predictions(stream)
+        ids = stream[CONTEXT:][real]
+        one = np.ones((len(ids), DIMENSIONS + 1), np.float32)
+        one[:, :-1] = q[real]
         own = m.classes_of(ids)
         # classes are few: their noise is not drawn, its expectation is taken
         slope = _slopes(one, tables["classes"], m.class_share, own)
@@ -205,56 +223,74 @@ class Trainer:
         moved = slope.T @ one
         order = np.argsort(own, kind="stable")
         bounds = np.searchsorted(own[order], np.arange(m.n_classes + 1))
+        late = []
         for c in range(m.n_classes):
             first, last = int(m.starts[c]), int(m.starts[c + 1])
             rows = order[bounds[c] : bounds[c + 1]]
             if last - first < 2 or not len(rows):
                 continue
-            target = ids[rows] - first
             if last - first <= DRAWN:
-                table = tables["outputs"][first:last]
-                part = _slopes(one[rows], table, m.word_share[first:last], target)
+                target = ids[rows] - first
+                table, x = tables["outputs"][first:last], one[rows]
+                part = _slopes(x, table, m.word_share[first:last], target)
                 to_q[rows] += part @ table[:, :-1]
-                counted = np.bincount(target, minlength=last - first)
-                self._move("outputs", slice(first, last), part.T @ one[rows], counted)
+                self._move("outputs", slice(first, last), part.T @ x, np.bincount(target, minlength=last - first))
             else:
-                self._drawn(c, first, rows, target, one, to_q)
+                self._noise(c, first, rows, one, to_q)
+                late.append(rows)
+        if late:  # the tokens themselves, of all classes whose noise was drawn
+            self._tokens(np.concatenate(late), ids, one, to_q)
         self._move("classes", slice(None), moved, np.bincount(own, minlength=len(moved)))
-        inputs, places = tables["inputs"], tables["places"]
-        to_places = np.stack([(to_q * inputs[context[:, k]]).sum(axis=0) for k in range(CONTEXT)])
-        flat = np.concatenate([to_q * places[k] for k in range(CONTEXT)])
-        rows, summed, counted = _sum_by(context.T.ravel(), flat)
+        places = tables["places"]
+        full = np.zeros((len(stream) - CONTEXT, DIMENSIONS), np.float32)
+        full[real] = to_q
+        to_inputs = np.zeros((len(stream), DIMENSIONS), np.float32)
+        to_places = np.empty_like(places)
+        for k in range(CONTEXT):
+            before = slice(CONTEXT - 1 - k, len(stream) - 1 - k)
+            to_inputs[before] += full * places[k]
+            to_places[k] = np.einsum("ij,ij->j", full, vectors[before])
+        rows, summed, counted = _sum_by(stream, to_inputs)
         self._move("inputs", rows, summed, counted)
         self._move("places", slice(None), to_places, len(ids))
 
-    def _drawn(self, c: int, first: int, rows: np.ndarray, target: np.ndarray, one: np.ndarray, to_q: np.ndarray) -> None:
-        """A class of many words: noise words drawn by their share, the same for all its tokens."""
-        table, share = self.tables["outputs"], self.m.word_share
-        drawn = first + np.minimum(np.searchsorted(self.upto[c], self.rng.random(DRAWN)), len(self.upto[c]) - 1)
-        own = first + target
-        noise = table[drawn]
-        x = one[rows]
-        away = -(NOISE / DRAWN) * _sigmoid(x @ noise.T - np.log(NOISE * share[drawn]).astype(np.float32))
-        mine = table[own]
-        near = 1 - _sigmoid((x * mine).sum(axis=1) - np.log(NOISE * share[own]).astype(np.float32))
-        to_q[rows] += away @ noise[:, :-1] + near[:, None] * mine[:, :-1]
-        words, summed, _ = _sum_by(np.concatenate((drawn, own)), np.concatenate((away.T @ x, near[:, None] * x)))
-        counted = np.bincount(np.searchsorted(words, own), minlength=len(words))
-        self._move("outputs", words, summed, counted)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    def _noise(self, c: int, first: int, rows: np.ndarray, one: np.ndarray, to_q: np.ndarray) -> None:
+        """Noise words of a class of many words, drawn by their share, the same for all its tokens."""
+        at = np.minimum(np.searchsorted(self.upto[c], self.rng.random(DRAWN)), len(self.upto[c]) - 1)
+        drawn, times = np.unique(first + at, return_counts=True)
+        noise, x = self.tables["outputs"][drawn], one[rows]
+        away = _odds(x @ noise.T, self.m.word_share[drawn])
+        away *= (-(NOISE / DRAWN) * times).astype(np.float32)
+        to_q[rows] += away @ noise[:, :-1]
+        self._move("outputs", drawn, away.T @ x, 0)
+
+    def _tokens(self, rows: np.ndarray, ids: np.ndarray, one: np.ndarray, to_q: np.ndarray) -> None:
+        own, x = ids[rows], one[rows]
+        mine = self.tables["outputs"][own]
+        near = 1 - _odds(np.einsum("ij,ij->i", x, mine), self.m.word_share[own])
+        to_q[rows] += near[:, None] * mine[:, :-1]
+        x *= near[:, None]
+        self._move("outputs", *_sum_by(own, x))
+
+
+def _odds(scores: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The chance that a word is a token and not one of NOISE noise words to each token; in place."""
+    scores -= np.log(NOISE * share).astype(np.float32)
+    np.negative(scores, out=scores)
+    np.minimum(scores, 80, out=scores)
+    np.exp(scores, out=scores)
+    scores += 1
+    return np.reciprocal(scores, out=scores)
 
 
 def _slopes(one: np.ndarray, table: np.ndarray, share: np.ndarray, target: np.ndarray) -> np.ndarray:
     """How the objective changes with each score: of tokens against NOISE times the expected noise."""
-    expected = (NOISE * share).astype(np.float32)
-    odds = _sigmoid(one @ table.T - np.log(expected))
-    slope = -expected * odds
+    odds = _odds(one @ table.T, share)
     at = np.arange(len(one))
-    slope[at, target] += 1 - odds[at, target]
-    return slope
+    own = odds[at, target]
+    odds *= (-NOISE * share).astype(np.float32)
+    odds[at, target] += 1 - own
+    return odds
 
 
 def _sum_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,17 +317,14 @@ class Reader:
         found.append(size + ending_of(b"") if end is None else end)
         return found
 
-    def batch(self, texts: list[str]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-        """(words, ids, context, row of each token)."""
+    def batch(self, texts: list[str]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+        """(words, stream, the row of each token): before each text the start stands CONTEXT times."""
         words = [words_of(t) for t in texts]
-        lists = [self.ids(w) for w in words]
+        lead = [self.size + ENDINGS] * CONTEXT
+        lists = [lead + self.ids(w) for w in words]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.concatenate([np.array(x, np.int64) for x in lists]) if lists else np.empty(0, np.int64)
-        within = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        context = np.full((len(ids), CONTEXT), self.size + ENDINGS, np.int64)
-        for k in range(CONTEXT):
-            context[k + 1 :, k] = np.where(within[k + 1 :] > k, ids[: max(len(ids) - k - 1, 0)], self.size + ENDINGS)
-        return words, ids, context, np.repeat(np.arange(len(lists)), sizes)
+        stream = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+        return words, stream, np.repeat(np.arange(len(lists)), sizes)
 
 
 # ---- training -------------------------------------------------------------------
@@ -303,28 +336,21 @@ def _train_part(shared, round_: int):
         model, reader = LogBilinear(counts), Reader(counts)
         model.tables = tables
         trainer = Trainer(model, seed=1000 * round_ + part)
-        held_ids, held_context = [], []
-        held = 0
-
-        def pieces(last: bool) -> None:
-            nonlocal held
-            ids, context = np.concatenate(held_ids), np.concatenate(held_context)
-            stop = len(ids) if last else len(ids) // BATCH * BATCH
-            for at in range(0, stop, BATCH):
-                trainer.step(ids[at : min(at + BATCH, stop)], context[at : min(at + BATCH, stop)])
-            held_ids[:], held_context[:] = [ids[stop:]], [context[stop:]]
-            held = len(ids) - stop
+        left = np.empty(0, np.int64)
+
+        def stretches(stream: np.ndarray, last: bool) -> np.ndarray:
+            """Train on whole batches; the rest waits, behind the tokens it follows."""
+            at = CONTEXT
+            while len(stream) - at >= (1 if last else BATCH):
+                stop = min(at + BATCH, len(stream))
+                trainer.step(stream[at - CONTEXT : stop])
+                at = stop
+            return stream[at - CONTEXT :]
 
         for batch in batches:
             for _, texts in text_runs(batch.column(0).to_pylist(), _RUN):
-                _, ids, context, _ = reader.batch(texts)
-                held_ids.append(ids)
-                held_context.append(context)
-                held += len(ids)
-                if held >= BATCH:
-                    pieces(False)
-        if held:
-            pieces(True)
+                left = stretches(np.concatenate((left, reader.batch(texts)[1])), False)
+        stretches(left, True)
         out = []
         for name, table in trainer.tables.items():
             weights = trainer.weights[name]
@@ -415,8 +441,11 @@ def _score_part(shared):
             ids_of = batch.column(0)
             for first, texts in text_runs(batch.column(1).to_pylist(), _RUN):
                 count = len(texts)
-                words, ids, context, rows = reader.batch(texts)
-                logs = model.log_probability(ids, context) / math.log(10) - rest_log[ids]
+                words, ids, rows = reader.batch(texts)
+                logs = model.log_probability(ids) / math.log(10)
+                own = ids != model.start
+                ids, rows = ids[own], rows[own]
+                logs = logs[own] - rest_log[ids]
                 sum_by = lambda x: np.bincount(rows, x, count)
                 base, score = sum_by(often_log[ids]), sum_by(logs)
                 out = ids >= size
@@ -424,11 +453,11 @@ def _score_part(shared):
                 often = np.bincount(rows[~out], minlength=count)
                 rare = []
                 at = 0
-                for k, own in enumerate(words):
+                for k, text in enumerate(words):
                     tail: dict[bytes, int] = {}
                     if n_rest[k]:
-                        place = np.flatnonzero(out[at : at + len(own)])
-                        for w in map(own.__getitem__, place.tolist()):
+                        place = np.flatnonzero(out[at : at + len(text)])
+                        for w in map(text.__getitem__, place.tolist()):
                             n = known(w)
                             if n is None:
                                 tail[w] = tail.get(w, 0) + 1
@@ -438,7 +467,7 @@ def _score_part(shared):
                                 score[k] += log
                                 often[k] += 1
                     rare.append([{"word": w.decode("utf-8", "surrogatepass"), "m": m} for w, m in tail.items()])
-                    at += len(own) + 1
+                    at += len(text) + 1
                 tokens = np.bincount(rows, minlength=count)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + count)), ids_of.slice(first, count),
