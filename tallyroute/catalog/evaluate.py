@@ -9,13 +9,14 @@ from ..functions.text import matches
 from ..operators import evaluation as E, ordering as O, userfn as U, validation as K
 from ..operators.cleaning import typed_table
 from ..operators.detectors import Detector, default_detectors
-from ..operators.lookup import pair_predictions
+from ..operators.lookup import clashing_predictions, pair_predictions
 from ..plans.evaluation import (
     balanced_sample, evaluate, evaluate_predictions, evaluation_job, predictions_from_responses,
 )
 from ..plans.analysis import analyze
 from ..plans.labelling import VOTES, label_queries, label_votes
 from ..session import new_path
+from ..sources.commits import committed
 from ..streaming.requests import (
     progress_totals, read_stream, run_batches, run_stream, skip_failed, write_batch,
 )
@@ -82,6 +83,32 @@ def _paired(c: Inputs) -> DataFrame:
 
 add("j5_pair_predictions", lambda c: _paired(c).selectExpr("query_id", "array_join(expected, '|') as expected", *_LISTS),
     Q.sql(f"SELECT query_id, {Q.joined('expected', '|')} AS expected, {_LISTS_SQL} FROM pairs", "pairs"))
+
+
+def _attempts(c: Inputs) -> DataFrame:
+    """Predictions with attempts before the last, repeated rows, and answers that name no request."""
+    last = predictions(c).withColumn("attempt", F.lit(2))
+    wrong = F.array(F.lit("MEETING_AGENT"))
+    first = last.filter("query_id % 5 = 0").withColumns({"predicted": wrong, "attempt": F.lit(1)})
+    lost = last.filter("query_id % 50 = 0").withColumns({"predicted": wrong, "query_id": F.lit(None).cast("bigint")})
+    return last.unionByName(first).unionByName(last.filter("query_id % 3 = 0")).unionByName(lost)
+
+
+def j5_repeated(c: Inputs) -> DataFrame:
+    expected = c.requests.select("query_id", "query", "knowledge_domain", F.col("workers_list").alias("expected"))
+    return pair_predictions(expected, _attempts(c), latest=["attempt"]).selectExpr("query_id", "array_join(expected, '|') as expected", *_LISTS)
+
+
+def j5_clashing(c: Inputs) -> DataFrame:
+    """Without the attempt's number, other answers of an id clash; repeated equal ones do not."""
+    return clashing_predictions(_attempts(c).drop("attempt")).filter("query_id is not null").select("query_id", "n_answers", "reason")
+
+
+add("j5_repeated_predictions", j5_repeated,
+    Q.sql(f"SELECT query_id, {Q.joined('expected', '|')} AS expected, {_LISTS_SQL} FROM pairs", "pairs"))
+add("j5_clashing_predictions", j5_clashing,
+    Q.sql("SELECT query_id, 2 + CASE WHEN query_id % 3 = 0 THEN 1 ELSE 0 END AS n_answers, 'different answers' AS reason FROM predictions"
+          " WHERE query_id % 5 = 0 AND predicted <> ['MEETING_AGENT']", "predictions"))
 add("j6_missing_predictions", lambda c: _paired(c).filter("not success").selectExpr("query_id", "error", "success", "size(predicted) as n"),
     Q.sql("SELECT query_id, error, success, 0 AS n FROM pairs WHERE NOT success", "pairs"))
 add("e1_category", lambda c: matches_of(c).select("query_id", "category"),
@@ -179,7 +206,7 @@ def r1_labelled_joined(c: Inputs) -> DataFrame:
     run_batches(_stream(c), lambda s: label_queries(
         s, DETECTORS, gazetteer=c.gazetteer, inline_limit=0, top=2
     ).selectExpr("query_id", "array_join(labels, '|') as labels"), out, state)
-    return c.spark.read.parquet(out).drop("batch_id")
+    return committed(c.spark, out, "query_id bigint, labels string")
 
 
 add("r1_stream_labels_joined", r1_labelled_joined, Q.sql(
@@ -196,7 +223,7 @@ def r2_persisted(c: Inputs) -> DataFrame:
     for _ in range(2):
         run_batches(_stream(c), checked, out, state)
     write_batch(c.corpus, 0, checked, out)
-    return c.spark.read.parquet(out).drop("batch_id")
+    return committed(c.spark, out, "query_id bigint, is_valid boolean, n_warnings int, n_labels int")
 
 
 add("r2_stream_persist", r2_persisted, Q.sql(
@@ -204,10 +231,10 @@ add("r2_stream_persist", r2_persisted, Q.sql(
 
 
 def r3_progress(c: Inputs) -> DataFrame:
-    out, state, counters = (new_path(c.spark, n) for n in ("stream", "state", "counters"))
+    out, state = new_path(c.spark, "stream"), new_path(c.spark, "state")
     run_batches(_stream(c), lambda s: s.selectExpr(
-        "query_id", "case when query like 'xyz%' then 'bad' end as error"), out, state, counters)
-    return progress_totals(c.spark, counters)
+        "query_id", "case when query like 'xyz%' then 'bad' end as error"), out, state, failed="error is not null")
+    return progress_totals(c.spark, out)
 
 
 add("r3_stream_progress", r3_progress, Q.sql(

@@ -12,7 +12,7 @@ from ..plans.evaluation import balanced_sample
 from ..plans.labelling import detector_flags
 from ..plans.table_job import run_table_job
 from ..session import new_path
-from ..sources import sinks
+from ..sources import commits, sinks
 from ..sources.gazetteer import count_locations, list_locations
 from ..sources.tables import TableLayout, domain_table, label_table, read_requests, rename
 from ..operators.detectors import default_detectors
@@ -183,6 +183,48 @@ add("s10_export_manifest", s10_manifest, Q.sql(
     " (VALUES ('csv'), ('json')) f(format) GROUP BY format", "records"))
 
 
+def s10_at_write(c: Inputs) -> DataFrame:
+    counted: dict[str, int] = {}
+    paths = sinks.export(_flat(c.records), new_path(c.spark, "export"), ("csv", "json", "parquet"), counted=counted)
+    return sinks.manifest_at_write(c.spark, paths, counted).select(
+        "format", "records", (F.col("size_bytes") > 0).alias("has_size"), (F.col("files") > 0).alias("has_files"))
+
+
+add("s10_manifest_at_write", s10_at_write, Q.sql(
+    "SELECT format, count(*) AS records, true AS has_size, true AS has_files FROM records,"
+    " (VALUES ('csv'), ('json'), ('parquet')) f(format) GROUP BY format", "records"))
+_NULL_IDS = "case when event_id % 13 = 5 then null else event_id end"
+
+
+def s9_null_ids(c: Inputs) -> DataFrame:
+    path = new_path(c.spark, "export")
+    sinks.export_batches(c.events.select(F.expr(_NULL_IDS).alias("query_id"), "event_type"), path, 250)
+    return c.spark.read.parquet(path).groupBy(F.col("batch_id").cast("bigint").alias("batch_id")).agg(
+        F.count("*").alias("records"), F.count("query_id").alias("ids"), F.min("query_id").alias("first_id"))
+
+
+add("s9_null_ids", s9_null_ids,
+    "SELECT (n - 1) // 250 AS batch_id, count(*) AS records, count(query_id) AS ids, min(query_id) AS first_id"
+    " FROM (SELECT query_id, row_number() OVER (ORDER BY query_id NULLS LAST) AS n FROM"
+    f" (SELECT {_NULL_IDS} AS query_id FROM events)) GROUP BY 1")
+
+
+def s11_commits(c: Inputs) -> DataFrame:
+    """A batch that is written again replaces itself; the entries know its rows and content."""
+    path = new_path(c.spark, "commits")
+    rows = c.events.select("event_id", "event_type")
+    for batch, part in (("even", rows.filter("event_id % 2 = 0")), ("odd", rows.filter("event_id % 7 = 0")),
+                        ("odd", rows.filter("event_id % 2 = 1"))):
+        commits.commit_batch(part, path, batch)
+    sound = not commits.damaged_batches(c.spark, path, rows.schema).take(1)
+    return commits.committed(c.spark, path, rows.schema).groupBy("event_type").agg(F.count("*").alias("records")).withColumns({
+        "sound": F.lit(sound), "processed": F.lit(commits.totals(c.spark, path).first().processed)})
+
+
+add("s11_committed_batches", s11_commits,
+    "SELECT event_type, count(*) AS records, true AS sound, (SELECT count(*) FROM events) AS processed FROM events GROUP BY event_type")
+
+
 def s11_append(c: Inputs) -> DataFrame:
     path = new_path(c.spark, "append")
     good, bad = filters.split_by_flag(c.typed.withColumn("sound", F.expr(f"not {cleaning.BROKEN}")), "sound")
@@ -326,6 +368,14 @@ def j3_table(c: Inputs) -> DataFrame:
         "query_id", "array_join(mapped, ', ') as mapped")
 
 
+# an id for every seventh row, none for the first of them
+_SHARED_IDS = "nullif(query_id div 7, 0)"
+add("j3_repeated_ids_joined",
+    lambda c: lookup.map_labels_by_table(
+        c.records.withColumn("query_id", F.expr(_SHARED_IDS)), "query_id", "workers_list",
+        c.spark.createDataFrame(list(vocab.LABEL_GROUPS.items()), "label string, group string"),
+    ).selectExpr("query_id", "array_join(mapped, ', ') as mapped"),
+    Q.sql(f"SELECT nullif(query_id // 7, 0) AS query_id, {Q.joined(Q.mapped('workers_list'))} AS mapped FROM records", "records"))
 add("j3_map_labels_joined", j3_table,
     Q.sql(f"SELECT query_id, {Q.joined(Q.mapped('workers_list'))} AS mapped FROM records", "records"))
 _STOPPED = Q.sql(

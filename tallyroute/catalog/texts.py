@@ -73,6 +73,12 @@ _KEYWORDS = (
     f" WHERE (lang <> 'en' OR lower(tok) NOT IN ({Q.items(vocab.STOP_WORDS['en'])})) AND length(lower(tok)) > 2"
     " GROUP BY doc_id, lower(tok))) WHERE r <= 10 GROUP BY doc_id")
 add("t10_keywords", t10_keywords, _KEYWORDS)
+# one id for three documents, none for some: the exploded form agrees with the one inside the row
+_SHARED = "nullif(doc_id div 3, 4)"
+add("t10_repeated_ids",
+    lambda c: document_keywords(c.documents.withColumn("doc_id", F.expr(_SHARED)), "doc_id", "text", "lang").selectExpr(
+        "doc_id", "array_join(keywords, ' ') as keywords"),
+    f"SELECT nullif(doc_id // 3, 4) AS doc_id, keywords FROM ({_KEYWORDS})")
 add("t10_keywords_in_row",
     lambda c: _docs(c).withColumn("k", F.expr(T.tokens("text"))).selectExpr(
         "doc_id", f"array_join({T.keywords('k', 'lang')}, ' ') as keywords").filter("keywords <> ''"), _KEYWORDS)

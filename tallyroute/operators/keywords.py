@@ -13,26 +13,29 @@ def document_keywords(
     """``id, keywords``: most frequent tokens, ties by first appearance.
 
     For texts of any length: one token per row, counted with compiled hash
-    aggregation. Repartitioning by id is the only shuffle; both aggregations
-    reuse it, and all of one text's tokens are at home in one task anyway.
-    Texts without a keyword have no row. ``functions.text.keywords`` does the
-    same inside one row for short texts.
+    aggregation, once per distinct text. Copies are dropped in each task before
+    texts are shuffled by their digest, and both aggregations reuse that
+    partitioning. Rows then meet the keywords of their text, so ids may be null or
+    repeated. Texts without a keyword have no row. ``functions.text.keywords`` does
+    the same inside one row for short texts.
     """
     stop = " ".join(
         f"when {T.quote(code)} then token not in ({T.listed(terms)})"
         for code, terms in vocab.STOP_WORDS.items()
     )
+    key = F.sha2(F.concat_ws("\0", F.coalesce(F.col(language), F.lit("")), text).cast("binary"), 256).alias("_key")
+    keyed = df.filter(F.col(text).isNotNull()).select(id_column, key, F.col(language).alias("_lang"), F.col(text).alias("_text"))
     rows = (
-        df.select(id_column, F.col(language).alias("_lang"), F.col(text).alias("_text"))
-        .repartition(id_column)
-        .select(id_column, "_lang", F.posexplode(F.split("_text", P.SPACES)).alias("pos", "token"))
+        keyed.groupBy("_key").agg(F.first("_lang").alias("_lang"), F.first("_text").alias("_text"))
+        .select("_key", "_lang", F.posexplode(F.split("_text", P.SPACES)).alias("pos", "token"))
         .withColumn("token", F.lower("token"))
         .filter(f"length(token) >= {vocab.KEYWORD_MIN_LENGTH} and case _lang {stop} else true end")
     )
-    counts = rows.groupBy(id_column, "token").agg(
+    counts = rows.groupBy("_key", "token").agg(
         F.count("*").alias("n"), F.min("pos").alias("pos")
     )
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), "pos", "token")))
-    return counts.groupBy(id_column).agg(F.slice(ranked, 1, limit).alias("_top")).select(
-        id_column, F.col("_top.token").alias("keywords")
+    found = counts.groupBy("_key").agg(F.slice(ranked, 1, limit).alias("_top")).select(
+        "_key", F.col("_top.token").alias("keywords")
     )
+    return keyed.select(id_column, "_key").join(found, "_key").select(id_column, "keywords")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, vocab
+from .ordering import content_hash
 
 # Rows up to which a lookup side is broadcast or written into the plan.
 BROADCAST_ROWS = 200_000
@@ -154,24 +155,46 @@ def location_matches(
     )
 
 
+def spread_join(
+    df: DataFrame, table: DataFrame, keys: list[str], salt_by: Column, how: str = "left", rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join a large side with a lookup table: broadcast up to ``rows`` rows, beyond that salted.
+
+    ``salt_by`` tells rows of one key apart, so a key of a third of all rows is met in
+    SALTS places.
+    """
+    if fits(table, rows):
+        return df.join(F.broadcast(table), keys, how)
+    salts = F.array(*[F.lit(i) for i in range(SALTS)])
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+    return salted.join(table.withColumn("_salt", F.explode(salts)), [*keys, "_salt"], how).drop("_salt")
+
+
 def map_labels_by_table(
     df: DataFrame, id_column: str, labels_column: str, mapping: DataFrame,
     rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """J3 for a mapping table (``label, group``) too large for a literal map."""
-    pairs = df.select(id_column, F.posexplode(labels_column).alias("pos", "label"))
-    grouped = F.coalesce("group", "label").alias("label")
+    """J3 for a mapping table (``label, group``) too large for a literal map.
+
+    The work is done once per distinct list, and rows meet the list that stands for
+    theirs by its digest, so ids may be null or repeated. A null list maps to an empty one.
+    """
+    key = F.sha2(F.to_json(F.struct(labels_column)), 256)
+    lists = df.filter(F.col(labels_column).isNotNull()).select(F.col(labels_column).alias("_labels")).distinct()
+    pairs = lists.select(
+        F.sha2(F.to_json(F.struct(F.col("_labels").alias(labels_column))), 256).alias("_list"),
+        F.posexplode("_labels").alias("pos", "label"),
+    )
+    met = spread_join(pairs, mapping.select("label", "group"), ["label"], F.col("_list"), "left", rows)
     mapped = (
-        pairs.join(with_size_check(mapping.select("label", "group"), rows), "label", "left")
-        .select(id_column, "pos", grouped)
-        .groupBy(id_column, "label").agg(F.min("pos").alias("pos"))
-        .groupBy(id_column)
+        met.select("_list", "pos", F.coalesce("group", "label").alias("label"))
+        .groupBy("_list", "label").agg(F.min("pos").alias("pos"))
+        .groupBy("_list")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "label"))).alias("kept"))
-        .select(id_column, F.col("kept.label").alias("mapped"))
-    )
-    return df.join(mapped, id_column, "left").withColumn(
-        "mapped", F.coalesce("mapped", F.expr(T.empty()))
+        .select("_list", F.col("kept.label").alias("mapped"))
     )
+    joined = spread_join(df.withColumn("_list", key), mapped, ["_list"], F.col(id_column), "left", rows)
+    return joined.drop("_list").withColumn("mapped", F.coalesce("mapped", F.expr(T.empty())))
 
 
 def remove_stop_words_exploded(
@@ -179,16 +202,52 @@ def remove_stop_words_exploded(
 ) -> DataFrame:
     """J4 over one token per row: anti-join on (language, lower-cased token)."""
     keyed = tokens.withColumn("word", F.lower("token"))
-    return keyed.join(
-        with_size_check(stop_words.select("language", "word"), rows), ["language", "word"], "left_anti"
+    return spread_join(
+        keyed, stop_words.select("language", "word"), ["language", "word"], F.struct(*tokens.columns), "left_anti", rows
     ).drop("word")
 
 
-def pair_predictions(expected: DataFrame, predicted: DataFrame, id_column: str = "query_id") -> DataFrame:
-    """Predictions by id; a missing one becomes an explicit failed row."""
-    paired = expected.join(
-        predicted.withColumn("_answered", F.lit(True)), id_column, "left"
+def settle_predictions(
+    predicted: DataFrame, id_column: str = "query_id", latest: Sequence[str] = (),
+) -> DataFrame:
+    """One prediction per id: the last by ``latest`` (attempt, time; nulls first).
+
+    Answers that ``latest`` does not tell apart are decided by a hash of their
+    content, so the choice is the same each time. A prediction without an id answers
+    nothing and is left out. Partial maxima are taken in each task, so an id with
+    many answers is no hot key.
+    """
+    columns = [F.col(c) for c in predicted.columns if c != id_column]
+    kept = F.max_by(F.struct(*columns), F.struct(*latest, content_hash(predicted)))
+    settled = predicted.filter(F.col(id_column).isNotNull()).groupBy(id_column).agg(kept.alias("_kept"))
+    return settled.select(id_column, "_kept.*")
+
+
+def clashing_predictions(
+    predicted: DataFrame, id_column: str = "query_id", latest: Sequence[str] = (),
+) -> DataFrame:
+    """Ids whose last answers differ, and predictions without an id: (id, n_answers, reason)."""
+    digest = content_hash(predicted)
+    last = F.struct(*latest) if latest else F.lit(0)
+    marked = predicted.select(id_column, last.alias("_last"), digest.alias("_digest"))
+    per_answer = marked.groupBy(id_column, "_last").agg(
+        F.count("*").alias("n"), F.min("_digest").alias("low"), F.max("_digest").alias("high")
     )
+    ends = per_answer.groupBy(id_column).agg(F.max_by(F.struct("n", "low", "high"), "_last").alias("end"))
+    reason = F.when(F.col(id_column).isNull(), "no id").when(F.col("end.low") != F.col("end.high"), "different answers")
+    return ends.select(id_column, F.col("end.n").alias("n_answers"), reason.alias("reason")).filter("reason is not null")
+
+
+def pair_predictions(
+    expected: DataFrame, predicted: DataFrame, id_column: str = "query_id", latest: Sequence[str] = (),
+) -> DataFrame:
+    """One prediction per id; a missing one becomes an explicit failed row.
+
+    Of several predictions of an id ``settle_predictions`` keeps the last, so
+    every expected row comes out once. A row without an id has no prediction.
+    """
+    settled = settle_predictions(predicted, id_column, latest).drop(*latest)
+    paired = expected.join(settled.withColumn("_answered", F.lit(True)), id_column, "left")
     missing = F.when(F.col("_answered").isNull(), F.lit("no prediction"))
     error = F.coalesce(F.col("error"), missing) if "error" in predicted.columns else missing
     scores = (

@@ -26,7 +26,7 @@ def text_views(
 
     A bounded gazetteer is tested inside the row. A larger one is joined with the
     distinct texts, which meet their rows by digest; the flag depends on the
-    text alone either way. A stream needs ``label_batches`` for a large one.
+    text alone either way. A stream takes a large one batch by batch (``run_batches``).
     """
     location = None
     views = TextViews.of(text)

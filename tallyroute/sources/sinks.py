@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.ordering import with_batch_ids
 
@@ -32,13 +32,14 @@ def _write(
 
 def export(
     df: DataFrame, folder: str, formats=("csv", "json"), mode: str = "overwrite",
-    batch_column: str | None = None, batch_size: int | None = None,
+    batch_column: str | None = None, batch_size: int | None = None, counted: dict[str, int] | None = None,
 ) -> dict[str, str]:
     """Write one table in several formats; returns format -> path.
 
     An unsupported format, or one that fails, is reported under
     ``<format>_error`` and the rest continue. Output may be split by a column
-    (one folder per value) or into files of at most ``batch_size`` records.
+    (one folder per value) or into files of at most ``batch_size`` records. The
+    records of each format are counted while they are written, into ``counted``.
     """
     results: dict[str, str] = {}
     for fmt in formats:
@@ -47,8 +48,12 @@ def export(
             continue
         path = f"{folder}/{fmt}"
         try:
-            _write(df, fmt, path, mode, [batch_column] if batch_column else [], batch_size)
+            seen = Observation()
+            watched = df if counted is None else df.observe(seen, F.count(F.lit(1)).alias("records"))
+            _write(watched, fmt, path, mode, [batch_column] if batch_column else [], batch_size)
             results[fmt] = path
+            if counted is not None:
+                counted[fmt] = seen.get["records"]
         except Exception as error:  # noqa: BLE001 - reported, as the other formats go on
             results[f"{fmt}_error"] = str(error)
     return results
@@ -90,6 +95,25 @@ def manifest(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return whole
 
 
+def manifest_at_write(spark: SparkSession, paths: dict[str, str], counted: dict[str, int]) -> DataFrame:
+    """``format, path, files, size_bytes, records`` of an export, without reading what it wrote.
+
+    Records are those ``export`` counted; files and sizes come from the listing
+    (``binaryFile`` opens no file for these columns).
+    """
+    schema = "format string, path string, files bigint, size_bytes bigint, records bigint"
+    whole = spark.createDataFrame([], schema)
+    for fmt, path in paths.items():
+        if fmt.endswith("_error"):
+            continue
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length")
+        whole = whole.unionByName(listed.agg(
+            F.lit(fmt).alias("format"), F.lit(path).alias("path"), F.count("*").alias("files"),
+            F.sum("length").alias("size_bytes"), F.lit(counted[fmt]).cast("bigint").alias("records"),
+        ))
+    return whole
+
+
 def write_envelope(results: DataFrame, folder: str, metadata: DataFrame) -> None:
     """Results as JSON lines beside a one-row metadata table."""
     results.write.mode("overwrite").json(f"{folder}/results")

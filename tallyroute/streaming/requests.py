@@ -2,17 +2,19 @@
 
 The streaming plans are the batch functions applied to a stream. Narrow plans go to
 the file sink, whose commit log makes each micro-batch appear exactly once. Plans
-that join (a large gazetteer) and runs that are counted go batch by batch into
-numbered folders, where a batch that is delivered again replaces itself.
+that join (a large gazetteer) and runs that are counted go batch by batch into a
+table with a log of its batches, where a batch that is delivered again replaces itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.commits import commit_batch, totals
+
 
 def read_stream(
     spark: SparkSession, folder: str, schema, fmt: str = "parquet",
@@ -48,31 +50,26 @@ def run_stream(
 
 def write_batch(
     batch: DataFrame, batch_id: int, transform: Callable[[DataFrame], DataFrame], output: str,
-    counters: str | None = None, failed: str = "error is not null", fmt: str = "parquet",
-) -> None:
-    """One micro-batch in its own folder, and its counters in another.
+    failed: str = "false", fmt: str = "parquet",
+) -> dict[str, int]:
+    """One micro-batch as a batch of the table at ``output``; returns its counters.
 
-    The folder carries the batch's number and is replaced, so a batch that is
-    delivered again leaves one copy. ``transform`` sees a batch table, so joins
-    of any kind are allowed. Failed rows are counted and stay in the output.
+    The batch carries its number, so one that is delivered again takes its own
+    place. ``transform`` sees a batch table, so joins of any kind are allowed. Rows
+    for which ``failed`` holds are counted while they are written, and stay.
     """
-    path = f"{output}/batch_id={batch_id}"
-    done = transform(batch)
-    done.write.mode("overwrite").format(fmt).save(path)
-    if counters is not None:
-        bad = F.coalesce(F.expr(failed), F.lit(False))
-        batch.sparkSession.read.format(fmt).schema(done.schema).load(path).agg(
-            F.count("*").alias("processed"), F.count_if(~bad).alias("successful"), F.count_if(bad).alias("failed"),
-        ).write.mode("overwrite").parquet(f"{counters}/batch_id={batch_id}")
+    return commit_batch(transform(batch), output, batch_id, fmt, failed)
 
 
 def run_batches(
-    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], output: str, checkpoint: str,
-    counters: str | None = None, **options,
+    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], output: str, checkpoint: str, **options,
 ) -> StreamingQuery:
-    """``write_batch`` for every micro-batch that is available, then stop."""
+    """``write_batch`` for every micro-batch that is available, then stop.
+
+    ``sources.commits.committed`` reads the output, also while it is written.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, batch_id, transform, output, counters, **options)
+        write_batch(batch, batch_id, transform, output, **options)
 
     query = (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -82,7 +79,6 @@ def run_batches(
     return query
 
 
-def progress_totals(spark: SparkSession, counters: str) -> DataFrame:
-    """Processed, successful and failed rows over all micro-batches ever written."""
-    names = ("processed", "successful", "failed")
-    return spark.read.parquet(counters).agg(*[F.sum(n).alias(n) for n in names])
+def progress_totals(spark: SparkSession, output: str) -> DataFrame:
+    """Processed, successful and failed rows over all micro-batches ever written; no data is read."""
+    return totals(spark, output)

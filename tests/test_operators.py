@@ -16,7 +16,8 @@ from tallyroute.operators import (
 )
 from tallyroute.plans.labelling import label_queries
 from tallyroute.plans.table_job import run_table_job
-from tallyroute.sources import sinks
+from tallyroute.sources import commits, sinks
+from tallyroute.sources.commits import committed
 from tallyroute.sources.gazetteer import build_gazetteer
 from tallyroute.sources.tables import TableLayout, check_columns, read_requests
 from tallyroute.operators.detectors import default_detectors
@@ -372,18 +373,88 @@ def test_stream_equals_batch_and_resumes(spark, inputs, tmp_path):
 
 
 def test_counters_cover_every_batch(spark, inputs, tmp_path):
-    source, out, state, counters = (str(tmp_path / n) for n in ("in", "out", "state", "counters"))
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     inputs.corpus.filter("query_id < 500").repartition(110).write.parquet(source)
     stream = read_stream(spark, source, inputs.corpus.schema, files_per_batch=1)
-    run_batches(stream, lambda s: s.selectExpr("query_id", "if(query_id % 10 = 0, 'bad', null) as error"), out, state, counters)
-    assert progress_totals(spark, counters).first().asDict() == {"processed": 500, "successful": 450, "failed": 50}
+    run_batches(stream, lambda s: s.selectExpr("query_id", "if(query_id % 10 = 0, 'bad', null) as error"), out, state, failed="error is not null")
+    assert progress_totals(spark, out).first().asDict() == {"processed": 500, "successful": 450, "failed": 50}
 
 
 def test_a_batch_delivered_again_replaces_itself(spark, inputs, tmp_path):
     out = str(tmp_path / "out")
     for _ in range(2):
-        write_batch(inputs.corpus, 3, lambda s: s.select("query_id"), out)
-    assert spark.read.parquet(out).count() == inputs.corpus.count()
+        found = write_batch(inputs.corpus, 3, lambda s: s.select("query_id"), out, failed="query_id < 10")
+    assert committed(spark, out, "query_id bigint").count() == inputs.corpus.count()
+    assert progress_totals(spark, out).first().asDict() == {
+        "processed": found["processed"], "successful": inputs.corpus.count() - 10, "failed": 10}
+
+
+def test_a_batch_that_dies_before_its_entry_is_not_seen(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "id bigint"
+    assert committed(spark, path, schema).count() == 0 and commits.totals(spark, path).first().processed == 0
+    commits.commit_batch(spark.range(10), path, "day")
+    commits.commit_batch(spark.range(100, 103), path, "other")
+
+    def die(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(commits, "_write_entry", die)
+        with pytest.raises(OSError):
+            commits.commit_batch(spark.range(50, 55), path, "day")
+    assert sorted(r.id for r in committed(spark, path, schema).collect()) == [*range(10), 100, 101, 102]
+    commits.commit_batch(spark.range(50, 55), path, "day")
+    assert sorted(r.id for r in committed(spark, path, schema).collect()) == [*range(50, 55), 100, 101, 102]
+    assert commits.totals(spark, path).first().processed == 8
+    assert commits.damaged_batches(spark, path, schema).count() == 0
+    # a folder that lost a file no longer fits its entry
+    entry = commits.entries(spark, path).filter("batch = 'other'").first()
+    spark.range(100, 102).write.mode("overwrite").parquet(f"{path}/data/batch_folder={entry.folder}")
+    assert [r.batch for r in commits.damaged_batches(spark, path, schema).collect()] == ["other"]
+    commits.commit_batch(spark.range(0), path, "other")
+    assert commits.damaged_batches(spark, path, schema).count() == 0
+
+
+def test_counts_of_an_export_are_taken_while_it_is_written(spark, inputs, tmp_path):
+    counted = {}
+    done = sinks.export(inputs.records.select("query_id", "query"), str(tmp_path), ("csv", "json", "parquet", "xml"), counted=counted)
+    rows = {r.format: r for r in sinks.manifest_at_write(spark, done, counted).collect()}
+    assert {r.records for r in rows.values()} == {inputs.records.count()} and set(rows) == {"csv", "json", "parquet"}
+    assert sum(r.size_bytes for r in sinks.manifest(spark, {"csv": done["csv"]}).collect()) == rows["csv"].size_bytes
+    text = plan(sinks.manifest_at_write(spark, done, counted))
+    assert "content" not in text.replace("contentFilter", "")
+
+
+# --- predictions, labels and keywords of repeated and null ids -------------------------------------
+
+def test_one_prediction_per_id(spark):
+    rows = [(1, ["a"], 1), (1, ["b"], 2), (2, ["c"], 1), (2, ["c"], 1), (3, ["x"], None), (3, ["y"], 0), (None, ["z"], 9), (4, ["p"], 5), (4, ["q"], 5)]
+    predicted = spark.createDataFrame(rows, "query_id bigint, predicted array<string>, attempt int")
+    expected = spark.createDataFrame([(i, ["e"]) for i in (1, 1, 2, 3, 5, None)], "query_id bigint, expected array<string>")
+    got = lookup.pair_predictions(expected, predicted, latest=["attempt"]).collect()
+    assert Counter((r.query_id, tuple(r.predicted), r.success) for r in got) == Counter({
+        (1, ("b",), True): 2, (2, ("c",), True): 1, (3, ("y",), True): 1, (5, (), False): 1, (None, (), False): 1})
+    clashes = lookup.clashing_predictions(predicted, latest=["attempt"]).collect()
+    assert {(r.query_id, r.n_answers, r.reason) for r in clashes} == {(4, 2, "different answers"), (None, 1, "no id")}
+    one = {r.query_id: r.predicted for r in lookup.settle_predictions(predicted.repartition(5)).collect()}
+    assert one == {r.query_id: r.predicted for r in lookup.settle_predictions(predicted.coalesce(1)).collect()}
+
+
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_joined_labels_of_repeated_and_null_ids(spark, rows):
+    df = spark.createDataFrame([(1, ["A", "B"]), (1, ["C"]), (None, ["A"]), (2, []), (3, None), (4, ["B", "Z", "B", None])], "id bigint, labels array<string>")
+    mapping = spark.createDataFrame([("A", "X"), ("B", "Y"), ("C", "Y")], "label string, group string")
+    got = lookup.map_labels_by_table(df, "id", "labels", mapping, rows=rows)
+    assert got.columns == ["id", "labels", "mapped"]
+    assert sorted(((r.id, r.mapped) for r in got.collect()), key=repr) == sorted(
+        [(1, ["X", "Y"]), (1, ["Y"]), (None, ["X"]), (2, []), (3, []), (4, ["Y", "Z", None])], key=repr)
+
+
+def test_keywords_of_repeated_and_null_ids(spark):
+    texts = [(1, "alpha beta beta"), (1, "gamma"), (None, "delta delta"), (1, "alpha beta beta"), (2, None), (3, "")]
+    df = spark.createDataFrame([(i, t, "en") for i, t in texts], "id bigint, text string, lang string")
+    got = Counter((r.id, tuple(r.keywords)) for r in keywords.document_keywords(df, "id", "text", "lang").collect())
+    assert got == Counter({(1, ("beta", "alpha")): 2, (1, ("gamma",)): 1, (None, ("delta",)): 1})
 
 
 # --- plan shape -------------------------------------------------------------------------------------
