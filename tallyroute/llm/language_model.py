@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -40,9 +41,9 @@ CONTEXT = 5
 CLASSES = 32
 ENDINGS = 64
 # passes over all training documents
-ROUNDS = 1
+ROUNDS = 2
 BATCH = 4096
-RATE = 0.1
+RATE = 0.15
 # noise words to each token, and how many are drawn in a class that has more words
 NOISE = 64
 DRAWN = 64
@@ -427,12 +428,23 @@ _RARE = pa.list_(pa.struct([("word", pa.string()), ("m", pa.int32())]))
 _SCORED = ["row", "doc_id", "n_tokens", "n_often", "n_rare", "base_log", "score_log", "rare"]
 
 
+def _by_row(rows: np.ndarray, out: np.ndarray, count: int) -> tuple[range, Iterator[list[int]]]:
+    """For each row its number and the places of its words outside the vocabulary."""
+    sizes = np.bincount(rows, minlength=count)
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rare = np.flatnonzero(out & (place < np.repeat(sizes, sizes) - 1))  # the end is no word
+    bounds = np.searchsorted(rows[rare], np.arange(count + 1)).tolist()
+    places = place[rare].tolist()
+    return range(count), (places[a:b] for a, b in zip(bounds, bounds[1:]))
+
+
 def _score_part(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, tables = shared.value
         model, reader = LogBilinear(counts), Reader(counts)
         model.tables = tables
-        size, known = len(counts.words), counts.known.get
+        size = len(counts.words)
+        known = {w: math.log10(n + 1) for w, n in counts.known.items()}.get
         # log10 of smoothed counts, and what a rare token loses to the others of its ending
         often_log = np.log10(np.append(counts.numbers, np.zeros(ENDINGS)) + 1.0)
         rest_log = np.concatenate((np.zeros(size), np.log10(counts.rest)))
@@ -451,28 +463,30 @@ def _score_part(shared):
                 out = ids >= size
                 n_rest = np.bincount(rows[out], minlength=count)
                 often = np.bincount(rows[~out], minlength=count)
-                rare = []
-                at = 0
-                for k, text in enumerate(words):
-                    tail: dict[bytes, int] = {}
-                    if n_rest[k]:
-                        place = np.flatnonzero(out[at : at + len(text)])
-                        for w in map(text.__getitem__, place.tolist()):
-                            n = known(w)
-                            if n is None:
-                                tail[w] = tail.get(w, 0) + 1
-                            else:
-                                log = math.log10(n + 1)
-                                base[k] += log
-                                score[k] += log
-                                often[k] += 1
-                    rare.append([{"word": w.decode("utf-8", "surrogatepass"), "m": m} for w, m in tail.items()])
-                    at += len(text) + 1
+                tail_words: list[str] = []
+                tail_times: list[int] = []
+                ends = [0]
+                for text, base_of, place in zip(words, *_by_row(rows, out, count)):
+                    found = [text[k] for k in place]
+                    logs_of = list(map(known, found))
+                    if None in logs_of:
+                        tail = Counter(w for w, log in zip(found, logs_of) if log is None)
+                        tail_words += [w.decode("utf-8", "surrogatepass") for w in tail]
+                        tail_times += tail.values()
+                        logs_of = [log for log in logs_of if log is not None]
+                    log = math.fsum(logs_of)
+                    base[base_of] += log
+                    score[base_of] += log
+                    often[base_of] += len(logs_of)
+                    ends.append(len(tail_words))
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                    [pa.array(tail_words, pa.string()), pa.array(tail_times, pa.int32())], fields=list(_RARE.value_type)
+                ))
                 tokens = np.bincount(rows, minlength=count)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + count)), ids_of.slice(first, count),
                     *(pa.array(x.astype(np.int64)) for x in (tokens, often, n_rest)), pa.array(base), pa.array(score),
-                    pa.array(rare, _RARE),
+                    rare,
                 ], _SCORED)
                 row += count
 
