@@ -180,7 +180,7 @@ def test_keywords_match_brute_force(spark, texts):
 
 def test_keyword_job_shuffles_once(inputs):
     text = plan(keywords.document_keywords(inputs.documents, "doc_id", "text", "lang"))
-    assert text.count("Exchange") == 1
+    assert text.count("Exchange hashpartitioning") == 1
 
 
 # --- gazetteer ------------------------------------------------------------------------
