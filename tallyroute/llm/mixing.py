@@ -129,19 +129,23 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """The mix itself, in the columns of ``docs``: each row as often as it is taken whole,
     and once more cut after its last taken word. Rows the mix takes nothing from go.
 
-    The counts meet the texts by id, in one shuffle of the texts; a row repeated
-    with one id takes the mean of what its copies take, rounded down.
+    The counts meet the texts by id and size, in one shuffle of the texts. Rows that
+    share both, as repeated rows do, take the mean of what the mix takes from them,
+    rounded down; null ids are ids like others.
     """
     counts = mix(docs, id_column=id_column, text_column=text_column, **options)
-    counts = counts.filter("taken > 0").groupBy(F.col(id_column).alias("__id")).agg(
-        F.sum("taken").alias("__taken"), F.count("*").alias("__rows"), F.max("size").alias("__size")
-    ).withColumn("__taken", F.expr("__taken div __rows"))
-    joined = docs.join(counts, F.col(id_column).eqNullSafe(F.col("__id")))
-    whole, part = F.expr("__taken div __size"), F.expr("__taken % __size")
-    text = F.col(text_column)
-    copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), whole + F.when(part > 0, 1).otherwise(0))))
+    counts = counts.groupBy(F.col(id_column).alias("of_id"), F.col("size").alias("of_size")).agg(
+        F.expr("sum(taken) div count(*)").alias("taken")
+    ).filter("taken > 0")
+    # all of a row in one column, so that no name of it can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("id"), word_count(F.col(text_column)).alias("size"))
+    joined = rows.join(counts, (F.col("size") == F.col("of_size")) & F.col("id").eqNullSafe(F.col("of_id")))
+    whole, part = F.expr("taken div size"), F.expr("taken % size")
+    text = F.col("row").getField(text_column)
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), whole + F.when(part > 0, 1).otherwise(0))))
     # pieces of a word and the space after it; leading space is a piece of its own
     pieces = F.split(text, "(?<=[ \\t-\\r])(?=[^ \\t-\\r])")
     lead = F.when(F.regexp_like(text, F.lit("^[ \\t-\\r]")), 1).otherwise(0)
     cut = F.array_join(F.slice(pieces, F.lit(1), part.cast("int") + lead), "")
-    return copies.withColumn(text_column, F.when(F.col("__copy") > whole, cut).otherwise(text)).select(*docs.columns)
+    kept = F.when(F.col("copy") > whole, cut).otherwise(text)
+    return copies.select(*[(kept if c == text_column else F.col("row").getField(c)).alias(c) for c in docs.columns])

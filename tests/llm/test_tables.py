@@ -350,6 +350,30 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert words == Counter({i: n for i, n in taken.items() if n})
 
 
+def test_mixed_documents_keep_rows_of_one_id_apart(spark):
+    """Null and repeated ids: rows of other sizes keep their own counts, equal rows share theirs."""
+    sizes = [1000, 10, 37, 37, 1, 0]
+    rows = [(None, " ".join(f"n{i}x{j}" for j in range(n)), "s") for i, n in enumerate(sizes)]
+    rows += [(7, "a b c", "s"), (7, "d e f g h", "t"), (7, None, "t"), (8, "same words here", "t"), (8, "same words here", "t")]
+    docs = documents(spark, rows).selectExpr("*", "1 as taken", "2 as copy", "3 as size", "4 as `row`")
+    taken = Counter()
+    held = Counter()
+    for r in mixing.mix(docs, block=4).collect():
+        taken[r.doc_id, r.size] += r.taken
+        held[r.doc_id, r.size] += 1
+    out = mixing.mixed_documents(docs, block=4)
+    assert out.columns == docs.columns
+    whole = {t: (i, len(t.split())) for i, t, _ in rows if t}
+    words = Counter()
+    for r in out.collect():
+        assert (r.taken, r.copy, r.size, r.row) == (1, 2, 3, 4)
+        key = next(k for t, k in whole.items() if t.startswith(r.text) and k[0] == r.doc_id)
+        words[key] += len(WORDS.findall(r.text))
+    assert any(taken.values())
+    for key, n in taken.items():
+        assert n - held[key] < words[key] <= n or not n
+
+
 # ---- pipeline -------------------------------------------------------------------
 
 def test_pipeline_stages(spark):
