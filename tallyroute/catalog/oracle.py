@@ -56,6 +56,17 @@ def tokens(column: str) -> str:
     return f"list_filter(string_split_regex({column}, {text(P.SPACES)}), lambda x: x <> '')"
 
 
+def sentences(column: str) -> str:
+    clean = f"translate(coalesce({column}, ''), {text(P.GUARD + P.END)}, '  ')"
+    before = f"right(p, {P.BEFORE_DOT})"
+    kept = f"{rx(before, P.UNENDED)} OR (i = 1 AND {rx(before, P.UNENDED_FIRST)}) OR (i > 1 AND {rx('p', P.UNENDED_LATER)})"
+    dots = f"CASE WHEN i = len(string_split({clean}, '.')) THEN '' WHEN {kept} THEN {text(P.GUARD)} ELSE '.' END"
+    marked = f"array_to_string(list_transform(string_split({clean}, '.'), lambda p, i: p || {dots}), '')"
+    ended = f"regexp_replace({marked}, {text(P.SENTENCE_END)}, {text(chr(92) + '1' + chr(92) + '3' + P.END)}, 'g')"
+    pieces = f"string_split(replace({ended}, {text(P.GUARD)}, '.'), {text(P.END)})"
+    return f"list_transform(list_filter({pieces}, lambda s: {rx('s', P.WORD)}), lambda s: {strip('s')})"
+
+
 def words(column: str) -> str:
     return f"regexp_extract_all(lower({column}), {text(P.WORD + '+')})"
 

@@ -54,6 +54,19 @@ add("t7_word_measures",
     f" round(list_sum(list_transform(k, lambda x: length(x)))::DOUBLE / len(k), 6) END AS avg_word_length FROM {_TOK}")
 add("t8_sentence_count", lambda c: analyze(c.records).select("query_id", "sentence_count"),
     Q.sql("SELECT query_id, 1 AS sentence_count FROM records", "records"))
+_SENTENCE_PARTS = (
+    "size(s) as sentence_count", "array_join(transform(s, x -> length(x)), ',') as lengths", "md5(array_join(s, '|')) as sentences_md5",
+)
+_SENTENCES_SQL = (
+    "CAST(len(s) AS INTEGER) AS sentence_count, coalesce(array_to_string(list_transform(s, lambda x: length(x)), ','), '') AS lengths,"
+    " md5(coalesce(array_to_string(s, '|'), '')) AS sentences_md5"
+)
+add("t8_sentences_documents",
+    lambda c: _docs(c).withColumn("s", F.expr(T.sentences("text"))).selectExpr("doc_id", *_SENTENCE_PARTS),
+    f"SELECT doc_id, {_SENTENCES_SQL} FROM (SELECT doc_id, {Q.sentences('text')} AS s FROM documents)")
+add("t8_sentences_turns",
+    lambda c: c.table("conversations").withColumn("s", F.expr(T.sentences("text"))).selectExpr("conv_id", "turn", *_SENTENCE_PARTS),
+    f"SELECT conv_id, turn, {_SENTENCES_SQL} FROM (SELECT conv_id, turn, {Q.sentences('text')} AS s FROM conversations)")
 add("t9_stop_words",
     lambda c: _docs(c).withColumn("k", F.expr(T.tokens("text"))).selectExpr(
         "doc_id", f"size({T.remove_stop_words('k', 'lang')}) as kept_tokens"),

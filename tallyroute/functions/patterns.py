@@ -184,3 +184,20 @@ def accent_map() -> tuple[str, str]:
             composed.append(char)
             base.append(plain)
     return "".join(composed), "".join(base)
+
+
+# sentences: a dot that ends none of them gives way to GUARD, the end of each is marked by END
+GUARD, END = "\x02", "\x01"
+SHORT_FORMS = (
+    "Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Jr", "Sr", "vs", "etc", "cf", "approx",
+    "TP", "Tp", "tp", "ThS", "TS", "GS", "PGS", "BS", "KS", "Tr", "tr",
+)
+# what stands before a dot that ends nothing, seen in the last BEFORE_DOT characters of the piece
+# before it: a short form or initial, a line's number; after another dot, a letter by itself
+BEFORE_DOT = 12
+UNENDED = f"(^|{NOT_WORD})({any_of(SHORT_FORMS)}|\\p{{Lu}})$|\n[ \t]{{0,4}}{DIGIT}{{1,3}}$"
+UNENDED_FIRST = f"^[ \t]{{0,4}}{DIGIT}{{1,3}}$"
+UNENDED_LATER = r"^\p{L}$"
+_CLOSING = r"[\"'”’»」』)\]）]*"
+# a stop before white space, a full-width stop anywhere, an empty line
+SENTENCE_END = f"([.!?…]+{_CLOSING})({SPACE}+|$)|([。！？]+{_CLOSING})|\n[ \t\r]*\n"

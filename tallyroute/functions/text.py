@@ -281,6 +281,34 @@ def has_vietnamese_words(text_lower: str) -> str:
     return contains_any(text_lower, vocab.VIETNAMESE_INDICATORS)
 
 
+# --- T8: sentences ----------------------------------------------------------------
+
+def sentences(text: str) -> str:
+    """The sentences of a text, in order and trimmed; none of a null or wordless text.
+
+    A run of stops ends a sentence where white space or the text's end follows, with
+    the quotes and brackets that close behind it; full-width stops end one anywhere, and
+    so does an empty line. Dots of short forms, initials, numbered lines, decimals and
+    addresses do not. A piece without a letter or digit is no sentence.
+    """
+    clean = f"replace(replace(coalesce({text}, ''), {quote(P.GUARD)}, ' '), {quote(P.END)}, ' ')"
+    before = f"right(p, {P.BEFORE_DOT})"
+    kept = (
+        f"{matches(before, P.UNENDED)} or (i = 0 and {matches(before, P.UNENDED_FIRST)})"
+        f" or (i > 0 and {matches('p', P.UNENDED_LATER)})"
+    )
+    # only what stands right before a dot is looked at, not every word
+    dots = f"if(i = size(k) - 1, '', if({kept}, {quote(P.GUARD)}, '.'))"
+    marked = let("k", f"split({clean}, {quote('[.]')})", f"array_join(transform(k, (p, i) -> concat(p, {dots})), '')")
+    ended = f"regexp_replace({marked}, {quote(P.SENTENCE_END)}, {quote('$1$3' + P.END)})"
+    pieces = f"split(replace({ended}, {quote(P.GUARD)}, '.'), {quote(P.END)})"
+    return f"transform(filter({pieces}, s -> {matches('s', P.WORD)}), s -> {trim_space('s')})"
+
+
+def sentence_count(text: str) -> str:
+    return f"size({sentences(text)})"
+
+
 # --- T16-T21, T28: annotator outputs ---------------------------------------------
 
 def scores(compound, pos, neu, neg) -> str:

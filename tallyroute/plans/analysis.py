@@ -17,10 +17,12 @@ DEFAULT_TECHNIQUES = ("tokenization", "pos_tagging")
 
 def analyze(
     df: DataFrame, text: str = "query", language: str | None = None, entities: str | None = None,
-    max_length: int | None = None, sentiment: str | None = None,
+    max_length: int | None = None, sentiment: str | None = None, segment: bool = False,
 ) -> DataFrame:
     """Per-text analysis columns; a narrow projection without a shuffle.
 
+    A text counts as one sentence unless ``segment`` asks for its sentences to be found.
+
     ``entities`` and ``sentiment`` name columns of an annotator (``annotate``);
     without them there are no entities and the sentiment is neutral.
 
@@ -39,7 +41,7 @@ def analyze(
     found = T.empty(T.ENTITIES) if entities is None else f"coalesce({entities}, {T.empty(T.ENTITIES)})"
     return df.withColumns({
         "word_count": F.size("tokens"),
-        "sentence_count": F.expr(f"case when {blank} then 0 else 1 end"),
+        "sentence_count": F.expr(T.sentence_count(text) if segment else f"case when {blank} then 0 else 1 end"),
         "avg_word_length": F.expr(T.mean_length("tokens")),
         "sentiment": F.expr(felt),
         "sentiment_score": F.expr(f"({felt}).compound"),

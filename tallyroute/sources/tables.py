@@ -50,12 +50,13 @@ def read_requests(
 
     Large CSV files are split among tasks; ``multi_line`` reads records that
     span lines, one task per file. A required column that no record has is an
-    error in every format. Extra columns pass.
+    error in every format. Extra columns pass. A CSV file whose own header puts other
+    names over the columns that are read is an error of the job, never read by position.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format: {fmt}")
     if fmt == "csv":
-        reader = spark.read.options(header=True, multiLine=multi_line, escape='"', emptyValue="")
+        reader = spark.read.options(header=True, enforceSchema=False, multiLine=multi_line, escape='"', emptyValue="")
         found = rename(reader.csv(path), layout)
     elif fmt == "json":
         # the columns are those that occur in the records, so a missing one is seen;

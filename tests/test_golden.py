@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tallyroute.functions import text as T, vocab
 from tallyroute.functions.labels import map_labels
 from tallyroute.operators import detectors as D, entities as N
+from tallyroute.plans.analysis import analyze
 from tallyroute.plans.labelling import VOTES, label_queries, label_votes
 from tallyroute.sources.gazetteer import build_gazetteer
 
@@ -219,3 +220,38 @@ def test_response_shapes(spark):
     got = {r.query_id: r for r in predictions_from_responses(df).collect()}
     for i, (_, predicted, error) in enumerate(cases):
         assert got[i].error == error and (got[i].predicted or []) == (predicted or [])
+
+
+SENTENCES = [
+    ("One. Two! Three?", ["One.", "Two!", "Three?"]),
+    ("Dr. Smith paid 3.50 to J. R. R. Doe. Then he left", ["Dr. Smith paid 3.50 to J. R. R. Doe.", "Then he left"]),
+    ("J.R.R. Doe wrote it, e.g. at www.site.org. Yes.", ["J.R.R. Doe wrote it, e.g. at www.site.org.", "Yes."]),
+    ('He said "Stop!" (Really?) Wait...  What?!', ['He said "Stop!"', "(Really?)", "Wait...", "What?!"]),
+    ("Xin chào. Tôi ở TP. Hồ Chí Minh! GS. TS. Nguyễn Văn A. đã đến… Ai vậy?",
+     ["Xin chào.", "Tôi ở TP. Hồ Chí Minh!", "GS. TS. Nguyễn Văn A. đã đến…", "Ai vậy?"]),
+    ("Giá là 1.200.000 đồng. Được không", ["Giá là 1.200.000 đồng.", "Được không"]),
+    ("1. first line\n2. second line.\n\nA title\n \nEnd", ["1. first line\n2. second line.", "A title", "End"]),
+    ("你好。「再见！」谢谢", ["你好。", "「再见！」", "谢谢"]),
+    ("kept\x01a\x02b. c", ["kept a b.", "c"]),
+    ("no stop at all\n", ["no stop at all"]),
+    (" ... ?! \n\n . ", []),
+    ("at 9 a.m. or so. Version 2.10. Next U.S. one", ["at 9 a.m. or so.", "Version 2.10.", "Next U.S. one"]),
+    ("", []),
+    (None, []),
+]
+
+
+def test_sentences(spark):
+    rows = frame(spark, [t for t, _ in SENTENCES]).selectExpr("query_id", f"{T.sentences('query')} as s").collect()
+    assert {r.query_id: r.s for r in rows} == {i: want for i, (_, want) in enumerate(SENTENCES)}
+
+
+def test_analysis_counts_sentences_when_asked(spark):
+    df = frame(spark, ["One. Two!", "", None])
+    assert [r.sentence_count for r in analyze(df).orderBy("query_id").collect()] == [1, 0, 0]
+    assert [r.sentence_count for r in analyze(df, segment=True).orderBy("query_id").collect()] == [2, 0, 0]
+
+
+def test_sentences_of_a_long_text(spark):
+    text = "a b c d. " * 200_000
+    assert frame(spark, [text]).selectExpr(f"{T.sentence_count('query')} as n").first().n == 200_000

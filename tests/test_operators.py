@@ -245,6 +245,23 @@ def test_large_csv_files_are_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_csv_files_with_other_headers_are_errors(spark, tmp_path):
+    good = "query_id,query,knowledge_domain,worker\n1,a,D,W\n"
+    folder = tmp_path / "same"
+    folder.mkdir()
+    (folder / "a.csv").write_text(good)
+    (folder / "b.csv").write_text(good.replace("1,a", "2,b"))
+    assert sorted(r.query for r in read_requests(spark, str(folder), "csv").collect()) == ["a", "b"]
+    for name, other in (("swapped", "query_id,worker,knowledge_domain,query\n2,W,D,b\n"), ("short", "query_id,query,worker\n2,b,W\n")):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.csv").write_text(good + "3,c,D,W\n")
+        (folder / "b.csv").write_text(other)
+        for columns in (["query_id", "query", "knowledge_domain", "worker"], ["query", "worker"]):
+            with pytest.raises(Exception, match="(?i)header"):
+                read_requests(spark, str(folder), "csv").select(*columns).collect()
+
+
 def test_missing_json_columns_are_errors(spark, tmp_path):
     path = str(tmp_path / "json")
     spark.createDataFrame([(1, "a")], "query_id bigint, query string").write.json(path)
