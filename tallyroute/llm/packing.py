@@ -25,9 +25,9 @@ from .common import map_batches, text_of, text_runs
 WINDOW = 2048
 END_ID = 1
 # a task remembers the ids of this many text pieces before it starts afresh
-PIECE_CACHE = 250_000
+PIECE_CACHE = 60_000
 # texts of a batch are encoded in runs of about this many characters
-_RUN = 2_000_000
+_RUN = 500_000
 # white space that is not one space or line break between other characters, and
 # characters that regular-expression engines class differently: encoded whole
 _HARD = (
