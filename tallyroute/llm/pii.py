@@ -8,8 +8,10 @@ anchor to the left and right and validate what they find.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from math import log2
 
 import ahocorasick
 import pyarrow as pa
@@ -19,7 +21,7 @@ from .common import map_batches, text_of
 
 # kinds of the base rules in their fixed order, then the kinds the cues add
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("iban", "ssn", "account", "login_url")
+MORE_KINDS = ("iban", "ssn", "account", "login_url", "secret")
 _RANK = {kind: rank for rank, kind in enumerate(BASE_KINDS + MORE_KINDS)}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,6 +37,11 @@ _WORDS = r"(?: (?i:number|no|nr|is)\b){0,2}"
 _IBAN = re.compile(_WORDS + r"[ .:#=]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _SSN = re.compile(_WORDS + r"[ .:#=]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _ACCOUNT = re.compile(_WORDS + r"[ .:#=]{1,4}([0-9]{6,17})(?![0-9])")
+# a secret is assigned to its cue: a long unbroken value, or a quoted password
+_SECRET = re.compile(r"""(?:[_-]?(?i:key|token|id|value))?["']? ?(?::|=>?) ?["']?([A-Za-z0-9+/_.~-]{15,}[A-Za-z0-9+/_~-]={0,2})(?![A-Za-z0-9+/_~=-])""")
+_PASSWORD = re.compile(r"""["']? ?(?::|=>?) ?(["'])([^\s"']{8,})\1""")
+_SECRET_CUES = ("token", "secret", "key", "password", "passwd", "pwd")
+_LEAST_ENTROPY = 3.0
 _LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^ \t-\r@/]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
@@ -52,6 +59,8 @@ def _automaton() -> ahocorasick.Automaton:
             anchors |= {f"{a}{b}": "card", f"{a} {b}": "card", f"{a}-{b}": "card"}
     for cue, kind in (("iban", "iban"), ("ssn", "ssn"), ("social security", "ssn"), ("account", "account"), ("acct", "account")):
         anchors |= {form: kind for form in (cue, cue.upper(), cue.capitalize(), cue.title())}
+    for cue in _SECRET_CUES:
+        anchors |= {form: "secret" for form in (cue, cue.upper(), cue.capitalize())}
     for anchor, kind in anchors.items():
         automaton.add_word(anchor, (kind, len(anchor)))
     automaton.make_automaton()
@@ -77,6 +86,23 @@ def _byte(part: str) -> bool:
     return len(part) < 3 or len(part) == 3 and part <= "255"
 
 
+def _is_random(value: str) -> bool:
+    """Letters and digits mixed, and no character so frequent that it could be a word or a rule."""
+    if not any(c in _DIGITS for c in value) or not any(c in _LETTERS for c in value):
+        return False
+    shares = [n / len(value) for n in Counter(value).values()]
+    return -sum(p * log2(p) for p in shares) >= _LEAST_ENTROPY
+
+
+def _secret(text: str, start: int, at: int) -> tuple[int, int] | None:
+    """The span of the value that is assigned to the cue from ``start`` to ``at``."""
+    if (run := _SECRET.match(text, at)) and _is_random(run[1]):
+        return run.span(1)
+    if text[start] in "pP" and (run := _PASSWORD.match(text, at)) and not run[2].isalpha():
+        return run.span(2)
+    return None
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind.
 
@@ -126,6 +152,10 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if left < start and (run := _LOGIN.match(text, last + 1)):
                 found.append(("login_url", left, run.end()))
                 done["login_url"] = run.end()
+        elif kind == "secret":
+            if span := _secret(text, start, last + 1):
+                found.append(("secret", *span))
+                done["secret"] = span[1]
         elif not (start and text[start - 1].isalnum()):
             shape = {"iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT}[kind]
             run = shape.match(text, last + 1)

@@ -17,6 +17,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(pii.count_of(spans, kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS),
         F.sha2(pii.span_list(spans, base_only=True), 256).alias("base_sha256"), pii.span_list(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"),
     )
 
 
