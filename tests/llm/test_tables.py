@@ -212,6 +212,27 @@ def test_shards(spark):
     assert sharding.shard_documents(awkward.filter(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("range_bits, hot, shards", [(16, 0, 16), (4, 0, 16), (4, 40, 16), (8, 700, 5), (0, 0, 3)])
+def test_capacity_is_the_smallest_over_groups(spark, monkeypatch, range_bits, hot, shards):
+    """Ranges of many groups, or a group of a third of all bytes: the cuts are those of a search over groups."""
+    from hashlib import md5
+
+    monkeypatch.setattr(sharding, "RANGE_BITS", range_bits)
+    texts = [f"text {n} " * (1 + n * n % 37) for n in range(1500)] + ["hot " * 30] * hot
+    groups = Counter()
+    for text in texts:
+        groups[md5(text.encode()).hexdigest()] += len(text) + 1
+    order = sorted(groups)
+    capacity, cuts = sharding.cuts_for([groups[h] for h in order], shards)
+    rows = spark.createDataFrame(
+        [(md5(t.encode()).hexdigest(), len(t) + 1) for t in texts], "hash string, size long"
+    ).coalesce(4).cache()
+    found, prefixes = sharding.group_cuts(rows, shards)
+    assert found == capacity
+    starts = [next(k for k, h in enumerate(order) if h >= p) for p in prefixes]
+    assert starts == cuts
+
+
 def test_shards_stay_native(spark):
     plan = sharding.shard_documents(documents(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -224,7 +245,6 @@ def tokens(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
