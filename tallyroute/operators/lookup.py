@@ -14,6 +14,8 @@ BROADCAST_ROWS = 200_000
 INLINE_NAMES = 20_000
 # Copies of a large lookup side, to spread its hot keys.
 SALTS = 16
+# Words of a text whose places are looked up from one row.
+PLACE_BLOCK = 32
 
 
 def fits(df: DataFrame, rows: int) -> bool:
@@ -21,11 +23,6 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def with_size_check(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only for a table proven small; otherwise a plain shuffle join."""
-    return F.broadcast(small) if fits(small, rows) else small
-
-
 def computed_once(
     df: DataFrame, keep: Sequence[str], computed: Sequence[str | Column]
 ) -> DataFrame:
@@ -45,7 +42,7 @@ def known_locations(
     names = gazetteer.select("name_norm").distinct()
     return (
         df.withColumn("name_norm", F.expr(T.normalize(column)))
-        .join(with_size_check(names, rows), "name_norm", "left_semi")
+        .transform(lambda keyed: spread_join(keyed, names, ["name_norm"], content_hash(df), "left_semi", rows))
         .drop("name_norm")
     )
 
@@ -91,31 +88,99 @@ def text_key(text: str) -> Column:
     return F.sha2(F.col(text).cast("binary"), 256)
 
 
+def name_levels(names: DataFrame, longest: int) -> list[tuple[int, DataFrame]]:
+    """Tables of the names' first 1, 2, 4, .. words: (``prefix``, ``sizes``, ``more``).
+
+    ``sizes`` are the word counts of the names that begin so and are shorter than the
+    next level's prefixes; ``more`` says that longer ones exist. ``names`` is (gram, size).
+    """
+    levels, width = [], 1
+    while width <= longest:
+        sizes = F.collect_set(F.when(F.col("size") < 2 * width, F.col("size")))
+        table = names.filter(F.col("size") >= width).groupBy(F.substring_index("gram", " ", width).alias("prefix"))
+        levels.append((width, table.agg(sizes.alias("sizes"), (F.max("size") >= 2 * width).alias("more"))))
+        width *= 2
+    return levels
+
+
+def _meet(rows: DataFrame, table: DataFrame, key: str, small: bool, how: str) -> DataFrame:
+    """Join with a lookup table: broadcast when ``small``, else salted by the text.
+
+    A phrase of every third text is one join key, so no key stays in one place.
+    """
+    if small:
+        return rows.join(F.broadcast(table), key, how)
+    salts = F.array(*[F.lit(i) for i in range(SALTS)])
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_text_key"), F.lit(SALTS)).cast("int"))
+    return salted.join(table.withColumn("_salt", F.explode(salts)), [key, "_salt"], how).drop("_salt")
+
+
+def name_places(texts: DataFrame, longest: int) -> DataFrame:
+    """(``_text_key``, ``pos``, ``prefix``, ``window``) of every word of ``texts`` (``_text_key``, ``_text``).
+
+    ``window`` holds the words from ``pos`` on, as many as the longest name has, and ``prefix``
+    is the first word a name could begin with. Long texts are cut into overlapping
+    blocks first, so no row carries a whole text once per word.
+    """
+    block = f"named_struct('base', b, 'words', slice(w, b + 1, {PLACE_BLOCK + longest - 1}))"
+    blocks = T.let(
+        "w", f"array_remove({place_word_list('_text')}, '')",
+        f"case when size(w) > 0 then transform(sequence(0, size(w) - 1, {PLACE_BLOCK}), b -> {block}) end",
+    )
+    places = texts.select("_text_key", F.explode(F.expr(blocks)).alias("block"))
+    starts = F.expr(f"sequence(0, least({PLACE_BLOCK}, size(block.words)) - 1)")
+    places = places.select("_text_key", "block", F.explode(starts).alias("i"))
+    places = places.selectExpr("_text_key", "block.base + i as pos", f"slice(block.words, i + 1, {longest}) as window")
+    # a word of underscores alone is none: the name begins behind it
+    opening = f"case when {T.matches('window[0]', '^_+$')} then array_join(window, ' ') else window[0] end"
+    return places.withColumn("prefix", F.substring_index(F.expr(T.collapse_space(f"translate({opening}, '_', ' ')")), " ", 1))
+
+
 def matched_texts(df: DataFrame, text_column: str, gazetteer: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(``_text_key``, ``hit``) of the distinct texts with a name of a large gazetteer.
 
-    Candidates are as long as the longest name. Where the first words of all
-    names are few enough to broadcast, other candidates go before any shuffle.
+    Candidates grow by prefixes: a place in a text is looked up by its first word, by its
+    first two words if names go on from there, then by four, eight and so on.
+    n-grams are formed only where prefixes have matched, and only as long as a
+    name with that prefix is, so a single long name adds next to none.
     """
     known = gazetteer.select(F.col("name_norm").alias("gram")).filter("gram <> ''").distinct()
-    longest = known.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
+    sized = known.withColumn("size", F.size(F.split("gram", " ")))
+    longest, names, heads = sized.agg(
+        F.max("size"), F.count("*"), F.count_distinct(F.substring_index("gram", " ", 1))
+    ).first()
+    longest = longest or 1
     texts = df.select(text_key(text_column).alias("_text_key"), F.col(text_column).alias("_text"))
     texts = texts.filter("_text is not null").dropDuplicates(["_text_key"])
-    grams = texts.select("_text_key", F.explode(F.expr(T.place_candidates("_text", longest))).alias("g"))
-    grams = grams.filter("g.text <> ''").select("_text_key", "g", F.col("g.text").alias("gram"))
-    heads = known.select(F.substring_index("gram", " ", 1).alias("head")).distinct()
-    if fits(heads, broadcast_rows):
-        head = F.substring_index("gram", " ", 1)
-        grams = grams.withColumn("head", head).join(F.broadcast(heads), "head", "left_semi").drop("head")
-    if fits(known, broadcast_rows):
-        hits = grams.join(F.broadcast(known), "gram")
-    else:
-        # a phrase of every third text is one join key, so keys are salted
-        salts = F.array(*[F.lit(i) for i in range(SALTS)])
-        salted = grams.withColumn("salt", F.pmod(F.xxhash64("_text_key"), F.lit(SALTS)).cast("int"))
-        hits = salted.join(known.withColumn("salt", F.explode(salts)), ["gram", "salt"])
-    first = F.struct((-F.col("g.n")).alias("rank"), "g.pos", "g.n", "g.text")
-    return hits.groupBy("_text_key").agg(F.min(first).alias("hit"))
+    span = T.collapse_space("translate(array_join(window, ' '), '_', ' ')")
+    (_, first), *later = name_levels(sized, longest)
+    places = _meet(name_places(texts, longest), first, "prefix", heads <= broadcast_rows, "inner").drop("prefix")
+    if later:
+        places = places.withColumn("span", F.expr(span))
+    for width, table in later:
+        table = table.select("prefix", F.col("sizes").alias("_sizes"), F.col("more").alias("_more"))
+        # places where no name goes on get a key of their own, so they are not all one null
+        done = F.concat(F.lit("_"), "_text_key")
+        places = places.withColumn("prefix", F.when(F.col("more"), F.substring_index("span", " ", width)).otherwise(done))
+        places = _meet(places, table, "prefix", names <= broadcast_rows, "left").select(
+            "_text_key", "pos", "window", "span", F.coalesce("_more", F.lit(False)).alias("more"),
+            F.when(F.col("_sizes").isNull(), F.col("sizes")).otherwise(F.concat("sizes", "_sizes")).alias("sizes"),
+        )
+    # words joined by underscores count one by one in a name
+    gram = T.collapse_space("translate(array_join(slice(window, 1, n), ' '), '_', ' ')")
+    grams = (
+        f"filter(transform(sequence(1, size(window)), n -> named_struct('n', n, 'pos', pos, 'text', {gram})),"
+        " g -> g.text <> '' and array_contains(sizes, size(split(g.text, ' '))))"
+    )
+    plain = (
+        "transform(filter(sizes, n -> n <= size(window)), n -> named_struct('n', n, 'pos', pos,"
+        " 'text', array_join(slice(window, 1, n), ' ')))"
+    )
+    grams = f"case when exists(window, x -> contains(x, '_')) then {grams} else {plain} end"
+    grams = places.select("_text_key", F.explode(F.expr(grams)).alias("g")).withColumn("gram", F.col("g.text"))
+    hits = _meet(grams, known, "gram", names <= broadcast_rows, "inner")
+    rank = F.struct((-F.col("g.n")).alias("rank"), "g.pos", "g.n", "g.text")
+    return hits.groupBy("_text_key").agg(F.min(rank).alias("hit"))
 
 
 def location_matches(

@@ -75,17 +75,16 @@ def balanced_sample(
     typed: DataFrame, quotas: dict[str, int] | None = None, seed: int = 42,
     order: Column | None = None,
 ) -> DataFrame:
-    """Quota sample over the evaluation categories (W7); ids are unique.
+    """Quota sample over the evaluation categories (W7), with its ``category`` and ``sample_order``.
 
-    Only ids, categories and hashes are ranked; the chosen rows are then looked
-    up in the table.
+    Thresholds are found on ids, categories and hashes; the chosen rows then pass by a
+    filter where they are, so rows that share an id or have none count one by one.
     """
     category = category_of(map_labels("workers_list"))
-    chosen = stratified_sample(
-        typed.select("query_id", F.expr(category).alias("category")), "category",
+    return stratified_sample(
+        typed.withColumn("category", F.expr(category)), "category",
         vocab.SAMPLE_QUOTAS if quotas is None else quotas, seed, order=order,
     )
-    return typed.join(chosen, "query_id")
 
 
 def evaluate(typed: DataFrame, detectors, **options) -> DataFrame:

@@ -203,6 +203,65 @@ def test_gazetteer_match_inline_equals_joined(spark):
     assert {r.query_id for r in test.collect() if r.hit} == flags
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_prefix_levels_equal_brute_force(spark, broadcast_rows):
+    """Names of up to 40 words that share prefixes; long texts, underscores, repeated and missing ids."""
+    rng = random.Random(11)
+    pool = ["old", "north", "bay", "of", "the", "hill", "x"]
+    long_name = " ".join(rng.choices(pool, k=40))
+    names = {" ".join(rng.choices(pool, k=k)) for k in (1, 2, 2, 3, 4, 5, 8, 9, 17)}
+    names |= {long_name, *(" ".join(long_name.split()[:k]) for k in (2, 3, 16))}
+    names -= {w for w in pool}  # else every text has a match of one word
+    texts = [" ".join(rng.choices([*pool, "old_north", "_", "bay__of"], k=rng.randrange(0, 90))) for _ in range(150)]
+    texts += [f"to the {long_name} and back", long_name.replace(" ", "_"), "x " * 300 + long_name, "", None, texts[0]]
+    df = spark.createDataFrame(
+        [(n % 9 or None, t) for n, t in enumerate(texts)], "query_id bigint, query string"
+    )
+    gaz = build_gazetteer(spark.createDataFrame([(n,) for n in names], "n string"))
+    found = lookup.location_matches(df, "query_id", "query", gaz, inline_limit=0, broadcast_rows=broadcast_rows)
+
+    def brute(text):
+        parts = text.split()
+        for n in range(min(40, len(parts)), 0, -1):
+            for at in range(len(parts) - n + 1):
+                gram = " ".join(" ".join(parts[at : at + n]).replace("_", " ").split())
+                if gram in names:
+                    return gram, n, at
+
+    want = [(n % 9 or None, *hit) for n, t in enumerate(texts) if t and (hit := brute(t))]
+    got = [(r.query_id, r.location, r.n_tokens, r.position) for r in found.collect()]
+    assert want and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_long_name_does_not_multiply_candidates(spark):
+    """A name of 40 words beside short ones: candidates are formed only behind matching prefixes."""
+    names = [("red house", 2), (" ".join(["red", "door"] * 20), 40)]
+    levels = lookup.name_levels(spark.createDataFrame(names, "gram string, size int"), 40)
+    assert [width for width, _ in levels] == [1, 2, 4, 8, 16, 32]
+    first = {r.prefix: (sorted(r.sizes), r.more) for r in levels[0][1].collect()}
+    second = {r.prefix: (sorted(r.sizes), r.more) for r in levels[1][1].collect()}
+    assert first == {"red": ([], True)}
+    assert second == {"red house": ([2], False), "red door": ([], True)}
+
+
+def test_known_locations_of_a_large_table_keep_every_row(spark):
+    df = spark.createDataFrame([(1, "Huế"), (1, "Huế"), (None, "hue"), (2, "x"), (3, None)], "query_id bigint, query string")
+    gaz = build_gazetteer(spark.createDataFrame([("Huế",), ("Hà Nội",)], "n string"))
+    rows = [lookup.known_locations(df, "query", gaz, rows=n).collect() for n in (0, 100)]
+    assert sorted(map(str, rows[0])) == sorted(map(str, rows[1])) and len(rows[0]) == 3
+    assert rows[0][0].asDict().keys() == {"query_id", "query"}
+
+
+def test_balanced_sample_counts_rows_not_ids(spark, inputs):
+    from tallyroute.plans.evaluation import balanced_sample
+
+    shared = inputs.typed.withColumn("query_id", F.expr("nullif(query_id div 50, 0)"))
+    categories = [r[0] for r in balanced_sample(shared).select("category").distinct().collect()]
+    sample = balanced_sample(shared, dict.fromkeys(categories, 3))
+    counts = {r.category: r["count"] for r in sample.groupBy("category").count().collect()}
+    assert counts and max(counts.values()) <= 3
+
+
 def test_size_check(spark):
     small, large = spark.range(5), spark.range(50)
     assert lookup.fits(small, 5) and not lookup.fits(large, 49)
