@@ -14,6 +14,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import text as T
 
 Row = dict[str, Any]
+# bytes of an Arrow batch between the JVM and Python, unless the session says otherwise
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def map_batches(
+    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | TY.StructType
+) -> DataFrame:
+    """``mapInArrow`` over batches bounded by bytes as well as rows, so long texts make small ones."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) is None:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
 
 
 def apply_rows(df: DataFrame, fn: Callable[[Row], Row], schema: str | TY.StructType) -> DataFrame:

@@ -183,6 +183,19 @@ def test_keyword_job_shuffles_once(inputs):
     assert text.count("Exchange hashpartitioning") == 1
 
 
+def test_keyword_job_shuffles_neither_texts_nor_tokens(inputs):
+    text = plan(keywords.document_keywords(inputs.documents, "doc_id", "text", "lang"))
+    assert "Generate" not in text and "first(_text" not in text
+
+
+def test_keywords_of_texts_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "PIECE", 7)
+    texts = ["Alpha beta  the\u3000beta\x1fGAMMA ΟΔΟΣ\u00a0ΟΔΟΣ. İstanbul abc\n", "x" * 50 + " ab", " " * 20, "\t\tthe abc"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "id bigint, text string, lang string")
+    got = {r.id: r.keywords for r in keywords.document_keywords(df, "id", "text", "lang").collect()}
+    assert got == {i: w for i, t in enumerate(texts) if (w := expected_keywords(t, "en"))}
+
+
 # --- gazetteer ------------------------------------------------------------------------
 
 def test_gazetteer_match_inline_equals_joined(spark):
