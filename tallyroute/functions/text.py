@@ -45,10 +45,23 @@ def matches(text: str, pattern: str) -> str:
 def contains_any(text: str, terms: Iterable[str]) -> str:
     """True when any term occurs as a substring.
 
-    When a few words cover all the terms they are tested first, so that most
+    Terms with letters that a text has none of are not looked for: a text in ASCII, or without
+    letters beyond Latin-1, is settled by one scan for most of the vocabularies.
+    """
+    plain, latin, wide, others = P.by_letters(P.distinct_needles(terms))
+    tests = [_covered(text, plain)] if plain else []
+    beyond = [_covered(text, group) for group in (latin, others) if group]
+    if wide:
+        beyond.append(f"({matches(text, P.WIDE)} and {_covered(text, wide)})")
+    if beyond:
+        tests.append(f"(octet_length({text}) <> length({text}) and {_either(beyond)})")
+    return _either(tests)
+
+
+def _covered(text: str, needles: list[str]) -> str:
+    """When a few words cover all the terms they are tested first, so that most
     texts are settled by those few scans.
     """
-    needles = P.distinct_needles(terms)
     cover = P.distinct_needles(P.shared_words(needles))
     found = _either(f"contains({text}, {quote(t)})" for t in needles)
     if 2 * len(cover) > len(needles):
@@ -94,7 +107,7 @@ def trim_space(text: str) -> str:
 
 
 def collapse_space(text: str) -> str:
-    return f"trim(regexp_replace({text}, {quote(P.SPACES)}, ' '))"
+    return f"trim(regexp_replace({text}, {quote(P.runs(P.SPACE))}, ' '))"
 
 
 def strip_accents(text: str) -> str:
@@ -140,22 +153,26 @@ def ngrams(parts: str, longest: int = vocab.MAX_NGRAM) -> str:
 
 def word_list(text_lower: str) -> str:
     """Runs of word characters, in order (with empty strings at odd ends)."""
-    return f"split({_spaced_words(text_lower)}, ' ')"
+    return f"split({spaced_words(text_lower)}, ' ')"
 
 
-def _spaced_words(text_lower: str) -> str:
-    return f"regexp_replace({text_lower}, {quote(P.NOT_WORD + '+')}, ' ')"
+def spaced_words(text_lower: str) -> str:
+    """A space for each run of other characters."""
+    return f"regexp_replace({text_lower}, {quote(P.runs(P.NOT_WORD.replace('[^', '[^a-z0-9')))}, ' ')"
 
 
-def place_words(text: str) -> str:
+def place_words(text: str, spaced: str | None = None) -> str:
     """The text's words without accents, separated by single spaces.
 
     Underscores stay: they belong to a word here and become spaces only inside
-    a candidate name.
+    a candidate name. ``spaced`` is ``spaced_words`` of the lower-cased text, where it is at hand.
     """
     composed, base = P.accent_map()
-    spaced = _spaced_words(f"lower({text})")
-    return f"trim(translate({spaced}, {quote(composed)}, {quote(base)}))"
+    unmarked = f"translate(sw, {quote(composed)}, {quote(base)})"
+    if spaced is None:
+        spaced = spaced_words(f"lower({text})")
+    # a text in ASCII has no accents
+    return let("sw", spaced, f"trim(if(octet_length(sw) = length(sw), sw, {unmarked}))")
 
 
 def place_candidates(text: str, longest: int) -> str:

@@ -81,10 +81,19 @@ def syntax_flags(v: TextViews) -> Flags:
 # --- D2: time -------------------------------------------------------------------
 
 def time_flags(v: TextViews, language: str = "vietnamese") -> Flags:
+    first, *others = P.time_patterns(language)
+    named = ("thứ",) if language == "vietnamese" else (*vocab.MONTHS_EN, *vocab.WEEKDAYS_EN)
+    hint = f"({T.matches(v.lower, P.CLOCK_HINT)} or {T.contains_any(v.lower, named)})"
+    forms = [f"({hint} and {T.matches(v.lower, first)})"]
+    forms += [f"({T.contains_any(v.lower, ['ngày'])} and {T.matches(v.lower, p)})" for p in others]
+    terms = vocab.TIME_INDICATORS[language]
+    # the words of a term are there however they are spaced
+    cover = T.contains_any(v.lower, P.shared_words(P.distinct_needles(terms)))
+    indicator = T.let("td", v.tidy, T.contains_any("td", terms))
     return {
-        "regex": _or(T.matches(v.lower, p) for p in P.time_patterns(language)),
+        "regex": _or(forms),
         "keyword": T.contains_any(v.lower, vocab.TIME_KEYWORDS[language]),
-        "indicator": T.contains_any(v.tidy, vocab.TIME_INDICATORS[language]),
+        "indicator": f"({cover} and {indicator})",
     }
 
 
@@ -169,24 +178,28 @@ def user_name(v: TextViews) -> str:
     check = f"exists({keys}, k -> {T.matches('k', P.USERNAME)})"
     check = T.let("lang", T.language_of("td"), check)
     found = T.let("td", v.tidy, T.let("tk", T.tokens("td"), check))
-    return f"case when {T.matches(v.lower, P.USERNAME_HINT)} then {found} else false end"
+    hint = f"{T.matches(v.lower, P.USERNAME_END)} and {T.matches(v.lower, P.USERNAME_HINT)}"
+    return f"case when {hint} then {found} else false end"
 
 
 def self_reference(v: TextViews) -> str:
     relation = T.matches(v.lower, P.SELF_RELATION)
+    # a pattern that begins with a letter is tried faster than one that begins with an edge
+    behind = f"{P.SPACE}+{P.any_of(vocab.RELATION_PRONOUNS)}"
+    hint = _or(f"({T.contains_any(v.lower, [r])} and {T.matches(v.lower, r + behind)})" for r in vocab.RELATIONS)
     return (
         f"({T.contains_any(v.lower, P.SELF_NEEDLES)}"
         f" or {T.has_word(v.words, P.SELF_WORDS)}"
-        f" or ({T.contains_any(v.lower, vocab.RELATIONS)} and {relation}))"
+        f" or ({hint} and {relation}))"
     )
 
 
 def user_id(v: TextViews) -> str:
-    return T.matches(v.raw, P.USER_ID)
+    return f"({T.matches(v.raw, P.USER_ID_DIGITS)} and {T.matches(v.raw, P.USER_ID)})"
 
 
 def phone(v: TextViews) -> str:
-    return T.matches(v.raw, P.PHONE)
+    return f"({T.matches(v.raw, P.PHONE_DIGITS)} and {T.matches(v.raw, P.PHONE)})"
 
 
 def person_flags(v: TextViews) -> Flags:
@@ -214,10 +227,15 @@ def quantity_flags(v: TextViews) -> Flags:
         single = T.has_word(v.words, [t for t in kept if " " not in t])
         return f"({single} or {T.has_phrase(v.lower, [t for t in kept if ' ' in t])})"
 
+    ranks = f"({T.contains_any(v.lower, vocab.RANK_WORDS)} and {T.matches(v.lower, P.RANK_HINT)})"
+    hints = (
+        f"({ranks} or {T.contains_any(v.lower, vocab.QUANTITY_PATTERN_TERMS)})",
+        f"(contains({v.lower}, '%') and {T.matches(v.lower, P.PERCENT_HINT)})",
+    )
     return {
         "keyword": term(vocab.QUANTITY_TERMS),
         "comparative": term(vocab.COMPARATIVES),
-        "regex": _or(T.matches(v.lower, p) for p in P.QUANTITY_FORMS),
+        "regex": _or(f"({h} and {T.matches(v.lower, p)})" for h, p in zip(hints, P.QUANTITY_FORMS)),
     }
 
 

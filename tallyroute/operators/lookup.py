@@ -12,6 +12,8 @@ from .ordering import content_hash
 # Rows up to which a lookup side is broadcast or written into the plan.
 BROADCAST_ROWS = 200_000
 INLINE_NAMES = 20_000
+# First words of names that are tested as one short list.
+FEW_HEADS = 64
 # Copies of a large lookup side, to spread its hot keys.
 SALTS = 16
 # Words of a text whose places are looked up from one row.
@@ -53,8 +55,8 @@ def inline_names(gazetteer: DataFrame, limit: int = INLINE_NAMES) -> list[str] |
     return None if len(names) > limit else sorted(r[0] for r in names)
 
 
-def place_word_list(text: str) -> str:
-    return f"split({T.place_words(text)}, ' ')"
+def place_word_list(text: str, spaced: str | None = None) -> str:
+    return f"split({T.place_words(text, spaced)}, ' ')"
 
 
 def mentions_location(text: str, words: str, names: list[str]) -> str:
@@ -68,13 +70,16 @@ def mentions_location(text: str, words: str, names: list[str]) -> str:
     if not names:
         return "false"
     known = T.listed(names)
-    heads = T.listed(sorted({n.split(" ")[0] for n in names}))
+    first = sorted({n.split(" ")[0] for n in names})
+    heads = T.listed(first)
+    # few words are compiled into a set test, many into one per word
+    some = T.has_word(words, first) if len(first) <= FEW_HEADS else f"exists({words}, w -> w in ({heads}))"
     longest = longest_name(names)
     named = (
         f"exists(sequence(1, {longest}),"
         f" n -> array_join(slice({words}, i + 1, n), ' ') in ({known}))"
     )
-    plain = f"exists({words}, w -> w in ({heads})) and exists(sequence(0, size({words}) - 1), i -> get({words}, i) in ({heads}) and {named})"
+    plain = f"{some} and exists(sequence(0, size({words}) - 1), i -> get({words}, i) in ({heads}) and {named})"
     general = f"exists({T.place_candidates(text, longest)}, g -> g.text in ({known}))"
     return f"coalesce(case when contains({text}, '_') then {general} else {plain} end, false)"
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import vocab
+from ..functions import text as T, vocab
 from ..functions.vectors import Vector, rank_labels, round6, sum_vectors
 from ..operators.detectors import Detector, TextViews
 from ..operators.lookup import (
@@ -29,23 +29,22 @@ def text_views(
     text alone either way. A stream takes a large one batch by batch (``run_batches``).
     """
     location = None
-    views = TextViews.of(text)
-    added = {
-        "_lower": views.lower, "_stripped": views.stripped, "_tidy": views.tidy,
-        "_words": views.words,
-    }
+    df = df.withColumn("_lower", F.expr(f"lower({text})"))
+    df = df.withColumn("_spaced", F.expr(T.spaced_words("_lower")))
+    added = {"_stripped": T.trim_space("_lower"), "_words": "split(_spaced, ' ')"}
     if gazetteer is not None:
         location = "_location"
         names = inline_names(gazetteer, inline_limit)
         if names is not None:
-            df = df.withColumn("_place", F.expr(place_word_list(text)))
+            df = df.withColumn("_place", F.expr(place_word_list(text, "_spaced")))
             added["_location"] = mentions_location(text, "_place", names)
         else:
             found = matched_texts(df, text, gazetteer).select("_text_key", F.lit(True).alias("_location"))
             df = df.withColumn("_text_key", text_key(text)).join(found, "_text_key", "left").drop("_text_key")
             df = df.withColumn("_location", F.coalesce("_location", F.lit(False)))
     df = df.withColumns({n: F.expr(e) for n, e in added.items()})
-    return df, TextViews(text, "_lower", "_stripped", "_tidy", "_words", entities, location)
+    # white space is collapsed where a test needs it only
+    return df, TextViews(text, "_lower", "_stripped", T.collapse_space("_lower"), "_words", entities, location)
 
 
 def detector_flags(

@@ -255,3 +255,38 @@ def test_analysis_counts_sentences_when_asked(spark):
 def test_sentences_of_a_long_text(spark):
     text = "a b c d. " * 200_000
     assert frame(spark, [text]).selectExpr(f"{T.sentence_count('query')} as n").first().n == 200_000
+
+
+def test_terms_are_looked_for_only_where_their_letters_can_be(spark):
+    from tallyroute.functions import patterns as P
+    terms = ["top", "lúc", "đặt", "năm", "nào để", "日本"]
+    test = T.contains_any("t", terms)
+    assert "octet_length(t) <> length(t)" in test and P.WIDE in test
+    texts = ["stop", "lúc", "luc", "é năm", "xđặt", "nào  để", "nào để", "đ", "日本語", "ā", "", "plain", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.f for r in df.selectExpr(f"{test} as f").collect()]
+    assert got == [None if t is None else any(x in t for x in terms) for t in texts]
+
+
+def test_white_space_and_words_as_by_replacing_every_run(spark):
+    from tallyroute.functions import patterns as P
+    texts = ["a b", "a  b", " a\tb ", "a  b", "a  b", "  ", "", "é_1, ơ!! x", "a-b c", ", a ,", "　x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.selectExpr(
+        f"{T.collapse_space('t')} as a", f"trim(regexp_replace(t, {T.quote(P.SPACES)}, ' ')) as b",
+        f"{T.word_list('t')} as c", f"split(regexp_replace(t, {T.quote(P.NOT_WORD + '+')}, ' '), ' ') as d").collect()
+    assert all(r.a == r.b and r.c == r.d for r in rows)
+
+
+def test_tests_before_a_pattern_lose_no_match(spark):
+    texts = ["x 1/2", "12-3-2020", "at 9:05", "in 1999", "in 2099x", "thứ  hai", "ngày 1  tháng 2", "top5", "hạng \t7", "stop a", "5 %x", "5 %",
+             "123456", "a123456", "0912 345 678", "+84 912345678", "09123456", "con  em", "cony em", "tung12", "x tung12 y", "mất  bao \t lâu"]
+    df = spark.createDataFrame([(t,) for t in texts], "query string")
+    v = D.TextViews.of("query")
+    flags = {**D.time_flags(v), **{f"q_{n}": e for n, e in D.quantity_flags(v).items()}, "id": D.user_id(v), "phone": D.phone(v), "self": D.self_reference(v)}
+    got = {n: [r.query for r in df.filter(e).collect()] for n, e in flags.items()}
+    assert got["regex"] == ["x 1/2", "12-3-2020", "at 9:05", "in 1999", "thứ  hai", "ngày 1  tháng 2"]
+    assert got["indicator"] == ["mất  bao \t lâu"]
+    assert got["q_regex"] == ["top5", "hạng \t7", "5 %x"]
+    assert got["id"] == ["123456"] and got["phone"] == ["0912 345 678", "+84 912345678"]
+    assert got["self"] == ["con  em", "cony em"]
