@@ -14,7 +14,7 @@ from ..plans.evaluation import (
     balanced_sample, evaluate, evaluate_predictions, evaluation_job, predictions_from_responses,
 )
 from ..plans.analysis import analyze
-from ..plans.labelling import VOTES, label_queries, label_votes
+from ..plans.labelling import VOTES, label_queries, label_votes, spread_rows
 from ..session import new_path
 from ..sources.commits import committed
 from ..streaming.requests import (
@@ -36,7 +36,7 @@ _RESPONSE = (
 
 def responses(c: Inputs) -> DataFrame:
     """Response records in every accepted shape; every fiftieth one is missing."""
-    votes = label_votes(c.corpus, DETECTORS, gazetteer=c.gazetteer)
+    votes = label_votes(spread_rows(c.corpus), DETECTORS, gazetteer=c.gazetteer)
     from ..functions.vectors import rank_labels
     ranked = votes.withColumn("r", F.expr(rank_labels(VOTES)))
     return ranked.selectExpr(

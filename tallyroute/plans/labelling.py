@@ -61,6 +61,15 @@ def detector_flags(
     return computed_once(flagged, keep, list(flags))
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """The same rows in as many tasks as a shuffle has, dealt one by one whatever their ids.
+
+    The row groups of a few files make few tasks, and a row takes far longer to
+    label than to move.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def label_votes(
     df: DataFrame,
     detectors: Sequence[Detector],
