@@ -17,7 +17,9 @@ def _write(
     if keys:
         # a task writes few folders: rows meet by key and, for hot keys, by one of a few salts
         salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
-        df = df.repartition(*[F.col(k) for k in keys], salt)
+        # a folder costs more than its bytes tell, so tasks are not merged by their bytes
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(tasks, *[F.col(k) for k in keys], salt)
     writer = df.write.mode(mode)
     if keys:
         writer = writer.partitionBy(*keys)
