@@ -26,7 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import crc_fold, map_batches, saved, text_of, text_runs
@@ -34,8 +34,8 @@ from .common import crc_fold, map_batches, saved, text_of, text_runs
 FOLDS, HELD_OUT = 7, 2
 # a word of the vocabulary is at least 1 / 2^15 of all training tokens, so there are 2^15 at most
 VOCABULARY_BITS = 15
-# words of at least 1 / 2^18 of all tokens have their counts broadcast, 2^18 at most
-COUNT_BITS = 18
+# words of at least 1 / 2^20 of all tokens have their counts broadcast, 2^20 at most
+COUNT_BITS = 20
 DIMENSIONS = 32
 CONTEXT = 5
 CLASSES = 32
@@ -48,8 +48,17 @@ RATE = 0.15
 NOISE = 64
 DRAWN = 64
 _RUN = 1_000_000
+# rows that numpy multiplies in one loop, and tokens whose scores of all classes are held at once
+_GROUP = 64
+_ROWS_AT_ONCE = 1024
+# tokens that are scored together, and how many scores are held at once
+_SCORED_AT_ONCE = 1 << 14
+_SCORES_AT_ONCE = 1 << 17
 _BLOCK = 512
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     "
+# words that a task counts, or characters that it reads, before it sends counts on; rows that it sends at once
+_COUNTED = 1 << 18
+_COUNTED_CHARS = 1 << 24
+_ROWS_OUT = 1 << 15
 
 
 # ---- counts ---------------------------------------------------------------------
@@ -63,12 +72,35 @@ def ending_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
+def _count_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a task's texts with their counts, sent on whenever many words or characters were counted."""
+    found, ends, chars = Counter(), 0, 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        words = pa.array(found.keys(), pa.binary()).cast(pa.string())
+        both = pa.RecordBatch.from_arrays([words, pa.array(found.values(), pa.int64())], ["word", "n"])
+        found.clear()
+        for at in range(0, len(both), _ROWS_OUT):
+            yield both.slice(at, _ROWS_OUT)
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            ends += 1
+            chars += len(text)
+            found.update(words_of(text))
+            if len(found) > _COUNTED or chars > _COUNTED_CHARS:
+                yield from rows()
+                chars = 0
+    if found:
+        yield from rows()
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([ends], pa.int64())], ["word", "n"])
+
+
 def token_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(word, n) of all texts; the token that ends each text is the empty word."""
-    words = F.explode(F.split(F.translate(text_of(text_column), _UPPER, _LOWER), " ")).alias("word")
-    counts = docs.select(words).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    ends = docs.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit("").alias("word"), "n")
-    return counts.unionByName(ends)
+    texts = docs.select(text_of(text_column).alias("text"))
+    return map_batches(texts, _count_part, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -130,20 +162,36 @@ class LogBilinear:
             "classes": biased(self.class_share), "outputs": biased(self.word_share),
         }
 
+    def sorted_tokens(self, ids: np.ndarray) -> np.ndarray:
+        """Where tokens that are not the start stand, by their ids and so by their classes."""
+        order = np.argsort(ids, kind="stable")
+        return order[: np.count_nonzero(ids != self.start)]
+
     def classes_of(self, ids: np.ndarray) -> np.ndarray:
         """The class of each token: of its word, or of its ending."""
-        out = ids - self.size + self.n_classes
+        out = ids.astype(np.int64) - self.size + self.n_classes
         own = ids < self.size
         out[own] = self.class_of[ids[own]]
         return out
 
     def predictions(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the CONTEXT tokens before each token from CONTEXT on add up to, and the vectors of all."""
-        vectors, places = self.tables["inputs"][stream], self.tables["places"]
-        count = len(stream) - CONTEXT
-        total = vectors[CONTEXT - 1 : CONTEXT - 1 + count] * places[0]
-        for k in range(1, CONTEXT):
-            total += vectors[CONTEXT - 1 - k : CONTEXT - 1 - k + count] * places[k]
+        """What the CONTEXT tokens before each token from CONTEXT on add up to, and the vectors of all.
+
+        After the stream's own rows follow some of the start, which fill the last group of _GROUP.
+        """
+        count = -(-(len(stream) - CONTEXT) // _GROUP) * _GROUP
+        filled = np.full(count + CONTEXT, self.start, stream.dtype)
+        filled[: len(stream)] = stream
+        vectors, tiles = self.tables["inputs"].take(filled, axis=0), _tiles(self.tables["places"])
+        total, part = np.empty((count, DIMENSIONS), np.float32), np.empty((min(count, _ROWS_AT_ONCE), DIMENSIONS), np.float32)
+        for at in range(0, count, _ROWS_AT_ONCE):
+            own = _wide(total[at : at + _ROWS_AT_ONCE])
+            more = _wide(part)[: len(own)]
+            for k, tile in enumerate(tiles):
+                first = at + CONTEXT - 1 - k
+                np.multiply(_wide(vectors[first : first + min(_ROWS_AT_ONCE, count - at)]), tile, out=more if k else own)
+                if k:
+                    own += more
         return total, vectors
 
     def log_probability(self, stream: np.ndarray) -> np.ndarray:
@@ -153,45 +201,78 @@ class LogBilinear:
         is that of its ending's class.
         """
         out = np.zeros(len(stream), np.float64)
-        for at in range(CONTEXT, len(stream), BATCH):
-            stop = min(at + BATCH, len(stream))
-            own = np.flatnonzero(stream[at:stop] != self.start)
+        for at in range(CONTEXT, len(stream), _SCORED_AT_ONCE):
+            stop = min(at + _SCORED_AT_ONCE, len(stream))
+            own = self.sorted_tokens(stream[at:stop])
             q, _ = self.predictions(stream[at - CONTEXT : stop])
-            out[at + own] = self._log_batch(stream[at + own], q[own])
+            out[at + own] = self._log_batch(stream[at + own].astype(np.int64), q.take(own, axis=0))
         return out
 
     def _log_batch(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Of tokens in the order of their ids, which is that of their classes."""
         own = self.classes_of(ids)
-        out = _log_softmax_at(q, self.tables["classes"], own)
-        order = np.argsort(own, kind="stable")
-        bounds = np.searchsorted(own[order], np.arange(self.n_classes + 1))
+        one = _with_one(q)
+        out = _log_softmax_at(one, self.tables["classes"], own)
+        bounds = np.searchsorted(own, np.arange(self.n_classes + 1)).tolist()
         for c in range(self.n_classes):
-            first, last = self.starts[c], self.starts[c + 1]
-            rows = order[bounds[c] : bounds[c + 1]]
-            # a class of many words is visited by few tokens; slices bound the matrix
-            step = max(1, (1 << 22) // max(int(last - first), 1))
-            for at in range(0, len(rows) if last - first > 1 else 0, step):
-                some = rows[at : at + step]
-                out[some] += _log_softmax_at(q[some], self.tables["outputs"][first:last], ids[some] - first)
+            words, rows = slice(self.starts[c], self.starts[c + 1]), slice(bounds[c], bounds[c + 1])
+            if words.stop - words.start > 1 and rows.stop > rows.start:
+                out[rows] += _log_softmax_at(one[rows], self.tables["outputs"][words], ids[rows] - words.start)
         return out
 
 
-def _log_softmax_at(q: np.ndarray, table: np.ndarray, target: np.ndarray) -> np.ndarray:
-    scores = q @ table[:, :-1].T
-    scores += table[:, -1]
-    chosen = scores[np.arange(len(q)), target].astype(np.float64)
-    top = float(scores.max())
-    if top - float(scores.min()) > 80:  # far apart: each row by its own largest
-        top = scores.max(axis=1)
-        scores -= top[:, None]
-    else:
-        scores -= top
-    np.exp(scores, out=scores)
-    return chosen - top - np.log(scores @ np.ones(scores.shape[1], np.float32))
+def _log_softmax_at(one: np.ndarray, table: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of the target's share in the exponentials of the scores of a table's rows."""
+    ones, out = np.ones(len(table), np.float32), np.empty(len(one), np.float64)
+    # a matrix that stays in a core's cache
+    step = max(1, _SCORES_AT_ONCE // len(table))
+    for at in range(0, len(one), step):
+        part = one[at : at + step]
+        scores = part @ table.T
+        chosen = scores.reshape(-1)[np.arange(0, scores.size, len(table)) + target[at : at + step]].astype(np.float64)
+        with np.errstate(over="ignore", under="ignore"):
+            total = np.exp(scores, out=scores) @ ones
+        far = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
+        if len(far):  # by its own largest score
+            scores = part[far] @ table.T
+            top = scores.max(axis=1)
+            chosen[far] -= top
+            total[far] = np.exp(scores - top[:, None]).sum(axis=1)
+        out[at : at + step] = chosen - np.log(total)
+    return out
+
+
+def _wide(rows: np.ndarray) -> np.ndarray:
+    """_GROUP rows as one, over which numpy loops faster than over short ones."""
+    return rows.reshape(-1, _GROUP * DIMENSIONS)
+
+
+def _tiles(places: np.ndarray) -> np.ndarray:
+    return np.tile(places, (1, _GROUP))
+
+
+def _total(rows: np.ndarray) -> np.ndarray:
+    """The sum of the rows, as a matrix product."""
+    return np.ones(len(rows), np.float32) @ rows
+
+
+def _with_one(q: np.ndarray) -> np.ndarray:
+    one = np.ones((len(q), DIMENSIONS + 1), np.float32)
+    one[:, :-1] = q
+    return one
+
+
+def _squares(rows: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", rows, rows)
 
 
 class Trainer:
-    """Noise-contrastive training of a copy of the model, with step sizes that fall row by row."""
+    """Noise-contrastive training of a copy of the model, with step sizes that fall row by row.
+
+    A row's chance to be a token and not noise is (1 + t) / 2, where t is the hyperbolic tangent of
+    half its score's distance from the noise's log share. So t alone is made for each token and row,
+    and all other factors are applied to the tables, which are small.
+    """
 
     def __init__(self, model: LogBilinear, seed: int) -> None:
         self.m, self.rng = model, np.random.default_rng(seed)
@@ -199,10 +280,14 @@ class Trainer:
         model.tables = self.tables
         self.squares = {n: np.full(len(t), 1e-6, np.float64) for n, t in self.tables.items()}
         self.weights = {n: np.zeros(len(t), np.float64) for n, t in self.tables.items()}
-        self.upto = [np.cumsum(model.word_share[a:b]) for a, b in zip(model.starts, model.starts[1:])]
+        sizes = np.diff(model.starts).tolist()
+        # classes whose noise is taken in expectation, and those whose noise is drawn
+        self.few = [c for c, n in enumerate(sizes) if 2 <= n <= DRAWN]
+        self.many = [c for c, n in enumerate(sizes) if n > DRAWN]
+        self.upto = {c: np.cumsum(model.word_share[model.starts[c] : model.starts[c + 1]]) for c in self.many}
 
     def _move(self, name: str, rows, gradient: np.ndarray, weight) -> None:
-        self.squares[name][rows] += (gradient * gradient).mean(axis=1, dtype=np.float64)
+        self.squares[name][rows] += _squares(gradient) / gradient.shape[1]
         size = (RATE / np.sqrt(self.squares[name][rows])).astype(np.float32)
         self.tables[name][rows] += gradient * size[:, None]
         self.weights[name][rows] += weight
@@ -210,95 +295,156 @@ class Trainer:
     def step(self, stream: np.ndarray) -> None:
         """Train on the tokens of a stretch of a stream; its first CONTEXT tokens are context only."""
         m, tables = self.m, self.tables
-        real = np.flatnonzero(stream[CONTEXT:] != m.start)
-        if not len(real):
+        order = m.sorted_tokens(stream[CONTEXT:])
+        if not len(order):
             return
         q, vectors = m.predictions(stream)
-        ids = stream[CONTEXT:][real]
-        one = np.ones((len(ids), DIMENSIONS + 1), np.float32)
-        one[:, :-1] = q[real]
+        ids = stream[CONTEXT:][order].astype(np.int64)
+        one = _with_one(q.take(order, axis=0))
         own = m.classes_of(ids)
         # classes are few: their noise is not drawn, its expectation is taken
-        slope = _slopes(one, tables["classes"], m.class_share, own)
-        to_q = slope @ tables["classes"][:, :-1]
-        moved = slope.T @ one
-        order = np.argsort(own, kind="stable")
-        bounds = np.searchsorted(own[order], np.arange(m.n_classes + 1))
-        late = []
-        for c in range(m.n_classes):
-            first, last = int(m.starts[c]), int(m.starts[c + 1])
-            rows = order[bounds[c] : bounds[c + 1]]
-            if last - first < 2 or not len(rows):
-                continue
-            if last - first <= DRAWN:
-                target = ids[rows] - first
-                table, x = tables["outputs"][first:last], one[rows]
-                part = _slopes(x, table, m.word_share[first:last], target)
-                to_q[rows] += part @ table[:, :-1]
-                self._move("outputs", slice(first, last), part.T @ x, np.bincount(target, minlength=last - first))
-            else:
-                self._noise(c, first, rows, one, to_q)
-                late.append(rows)
-        if late:  # the tokens themselves, of all classes whose noise was drawn
-            self._tokens(np.concatenate(late), ids, one, to_q)
+        moved = np.zeros_like(tables["classes"])
+        to_q = np.zeros((len(ids), DIMENSIONS), np.float32)
+        for at in range(0, len(ids), _ROWS_AT_ONCE):
+            some = slice(at, at + _ROWS_AT_ONCE)
+            _slopes(one[some], tables["classes"], m.class_share, own[some], to_q[some], moved)
+        bounds = np.searchsorted(own, np.arange(m.n_classes + 1)).tolist()
+        self._few(bounds, ids, one, to_q)
+        many = [c for c in self.many if bounds[c] < bounds[c + 1]]
+        if many:
+            self._noise(many, bounds, one, to_q)
+            # the tokens themselves, of all classes whose noise was drawn
+            self._tokens(np.concatenate([np.arange(bounds[c], bounds[c + 1]) for c in many]), ids, one, to_q)
         self._move("classes", slice(None), moved, np.bincount(own, minlength=len(moved)))
-        places = tables["places"]
-        full = np.zeros((len(stream) - CONTEXT, DIMENSIONS), np.float32)
-        full[real] = to_q
-        to_inputs = np.zeros((len(stream), DIMENSIONS), np.float32)
-        to_places = np.empty_like(places)
-        for k in range(CONTEXT):
-            before = slice(CONTEXT - 1 - k, len(stream) - 1 - k)
-            to_inputs[before] += full * places[k]
-            to_places[k] = np.einsum("ij,ij->j", full, vectors[before])
-        rows, summed, counted = _sum_by(stream, to_inputs)
+        full = np.zeros_like(q)
+        full[order] = to_q
+        to_inputs, to_places = self._backwards(full, vectors)
+        order = np.argsort(stream, kind="stable")
+        rows, summed, counted = _sum_sorted(stream[order], to_inputs.take(order, axis=0))
         self._move("inputs", rows, summed, counted)
         self._move("places", slice(None), to_places, len(ids))
 
-    def _noise(self, c: int, first: int, rows: np.ndarray, one: np.ndarray, to_q: np.ndarray) -> None:
-        """Noise words of a class of many words, drawn by their share, the same for all its tokens."""
-        at = np.minimum(np.searchsorted(self.upto[c], self.rng.random(DRAWN)), len(self.upto[c]) - 1)
-        drawn, times = np.unique(first + at, return_counts=True)
-        noise, x = self.tables["outputs"][drawn], one[rows]
-        away = _odds(x @ noise.T, self.m.word_share[drawn])
-        away *= (-(NOISE / DRAWN) * times).astype(np.float32)
-        to_q[rows] += away @ noise[:, :-1]
-        self._move("outputs", drawn, away.T @ x, 0)
+    def _backwards(self, full: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From the slopes of predictions to those of the vectors before them and of the places."""
+        tiles, count = _tiles(self.tables["places"]), len(full)
+        to_inputs, part = np.zeros_like(vectors), np.empty((min(count, _ROWS_AT_ONCE), DIMENSIONS), np.float32)
+        to_places = np.zeros_like(tiles)
+        for at in range(0, count, _ROWS_AT_ONCE):
+            own = _wide(full[at : at + _ROWS_AT_ONCE])
+            more = _wide(part)[: len(own)]
+            for k, tile in enumerate(tiles):
+                first = at + CONTEXT - 1 - k
+                before = slice(first, first + min(_ROWS_AT_ONCE, count - at))
+                np.multiply(own, tile, out=more)
+                there = _wide(to_inputs[before])
+                there += more
+                to_places[k] += np.einsum("ij,ij->j", own, _wide(vectors[before]))
+        return to_inputs, to_places.reshape(CONTEXT, _GROUP, DIMENSIONS).sum(axis=1)
+
+    def _few(self, bounds: list[int], ids: np.ndarray, one: np.ndarray, to_q: np.ndarray) -> None:
+        """Classes of few words, each by the expected noise of all its words."""
+        m, few = self.m, [c for c in self.few if bounds[c] < bounds[c + 1]]
+        if not few:
+            return
+        last = int(m.starts[few[-1] + 1])
+        outputs, share = self.tables["outputs"][:last], m.word_share[:last]
+        halved, scaled = _halved(outputs, share), _scaled(outputs, share)
+        sums = scaled[:, :-1]
+        base = np.add.reduceat(sums, m.starts[few[0] : few[-1] + 1], axis=0)
+        gradient, weight = np.zeros_like(outputs), np.zeros(last, np.int64)
+        stands, at = [], 0
+        for c in few:
+            a, b, n = bounds[c], bounds[c + 1], int(m.starts[c + 1] - m.starts[c])
+            stands.append((c, a, b, int(m.starts[c]), n, at))
+            at += (b - a) * n
+        flat = np.empty(at, np.float32)
+        for _, a, b, first, n, at in stands:
+            np.matmul(one[a:b], halved[first : first + n].T, out=flat[at : at + (b - a) * n].reshape(b - a, n))
+        np.tanh(flat, out=flat)
+        rows = np.concatenate([np.arange(a, b) for _, a, b, _, _, _ in stands])
+        mine = np.concatenate([np.arange(b - a) * n + at - first for _, a, b, first, n, at in stands]) + ids[rows]
+        flat[mine] -= (1 - flat[mine]) / (NOISE * share[ids[rows]]).astype(np.float32)
+        for c, a, b, first, n, at in stands:
+            part = flat[at : at + (b - a) * n].reshape(b - a, n)
+            to_q[a:b] += part @ sums[first : first + n]
+            to_q[a:b] += base[c - few[0]]
+            gradient[first : first + n] = part.T @ one[a:b]
+            gradient[first : first + n] += _total(one[a:b])
+        gradient *= (-0.5 * NOISE * share).astype(np.float32)[:, None]
+        np.add.at(weight, ids[rows], 1)
+        self._move("outputs", slice(0, last), gradient, weight)
+
+    def _noise(self, many: list[int], bounds: list[int], one: np.ndarray, to_q: np.ndarray) -> None:
+        """Noise words of classes of many words, drawn by their share, the same for all tokens of a class."""
+        m = self.m
+        draws = self.rng.random((len(many), DRAWN))
+        drawn = np.concatenate([
+            m.starts[c] + np.minimum(np.searchsorted(self.upto[c], draw), len(self.upto[c]) - 1) for c, draw in zip(many, draws)
+        ])
+        noise = self.tables["outputs"][drawn]
+        halved = _halved(noise, m.word_share[drawn])
+        noise *= -0.5 * NOISE / DRAWN
+        gradient, stands = np.empty_like(noise), np.cumsum([0] + [bounds[c + 1] - bounds[c] for c in many])
+        odds = np.empty((stands[-1], DRAWN), np.float32)
+        parts = [
+            (slice(k * DRAWN, (k + 1) * DRAWN), one[bounds[c] : bounds[c + 1]], to_q[bounds[c] : bounds[c + 1]], odds[a:b])
+            for k, (c, a, b) in enumerate(zip(many, stands, stands[1:]))
+        ]
+        for some, x, _, part in parts:
+            np.matmul(x, halved[some].T, out=part)
+        np.tanh(odds, out=odds)
+        odds += 1
+        for some, x, q, part in parts:
+            q += part @ noise[some, :-1]
+            np.matmul(part.T, x, out=gradient[some])
+        gradient *= -0.5 * NOISE / DRAWN
+        order = np.argsort(drawn, kind="stable")
+        rows, summed, _ = _sum_sorted(drawn[order], gradient[order])
+        self._move("outputs", rows, summed, 0)
 
     def _tokens(self, rows: np.ndarray, ids: np.ndarray, one: np.ndarray, to_q: np.ndarray) -> None:
         own, x = ids[rows], one[rows]
         mine = self.tables["outputs"][own]
-        near = 1 - _odds(np.einsum("ij,ij->i", x, mine), self.m.word_share[own])
+        scores = np.einsum("ij,ij->i", x, mine) - np.log(NOISE * self.m.word_share[own])
+        near = (0.5 - 0.5 * np.tanh(0.5 * scores)).astype(np.float32)
         to_q[rows] += near[:, None] * mine[:, :-1]
         x *= near[:, None]
-        self._move("outputs", *_sum_by(own, x))
+        self._move("outputs", *_sum_sorted(own, x))
+
 
+def _halved(table: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Rows whose product is half the distance of a score from the log share of the noise."""
+    out = 0.5 * table
+    out[:, -1] -= 0.5 * np.log(NOISE * share)
+    return out
 
-def _odds(scores: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """The chance that a word is a token and not one of NOISE noise words to each token; in place."""
-    scores -= np.log(NOISE * share).astype(np.float32)
-    np.negative(scores, out=scores)
-    np.minimum(scores, 80, out=scores)
-    np.exp(scores, out=scores)
-    scores += 1
-    return np.reciprocal(scores, out=scores)
 
+def _scaled(table: np.ndarray, share: np.ndarray) -> np.ndarray:
+    return table * (-0.5 * NOISE * share).astype(np.float32)[:, None]
 
-def _slopes(one: np.ndarray, table: np.ndarray, share: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """How the objective changes with each score: of tokens against NOISE times the expected noise."""
-    odds = _odds(one @ table.T, share)
-    at = np.arange(len(one))
-    own = odds[at, target]
-    odds *= (-NOISE * share).astype(np.float32)
-    odds[at, target] += 1 - own
-    return odds
 
+def _slopes(
+    one: np.ndarray, table: np.ndarray, share: np.ndarray, target: np.ndarray, to_q: np.ndarray, moved: np.ndarray
+) -> None:
+    """Adds how the objective changes with predictions and table: tokens against NOISE times the expected noise."""
+    odds = one @ _halved(table, share).T
+    np.tanh(odds, out=odds)
+    at = np.arange(0, odds.size, odds.shape[1]) + target
+    flat = odds.reshape(-1)
+    mine = flat[at]
+    # the token's own odds count as its gain and as noise
+    flat[at] = mine - (1 - mine) / (NOISE * share[target]).astype(np.float32)
+    scaled = _scaled(table, share)[:, :-1]
+    to_q += odds @ scaled
+    to_q += _total(scaled)
+    summed = odds.T @ one
+    summed += _total(one)
+    moved += _scaled(summed, share)
 
-def _sum_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+
+def _sum_sorted(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(rows[order], first, axis=0), np.diff(np.append(first, len(keys)))
+    return keys[first], np.add.reduceat(rows, first, axis=0), np.diff(np.append(first, len(keys)))
 
 
 # ---- texts to numbers -----------------------------------------------------------
@@ -307,6 +453,8 @@ class Reader:
     def __init__(self, counts: Counts) -> None:
         self.get = {w: i for i, w in enumerate(counts.words)}.get
         self.size = len(counts.words)
+        # numpy sorts 16-bit numbers by their digits
+        self.kind = np.dtype("<u2" if self.size + ENDINGS < 1 << 16 else "<i8")
 
     def ids(self, words: list[bytes]) -> list[int]:
         """Numbers of a text's words and its end; an ending's for words outside the vocabulary."""
@@ -324,20 +472,30 @@ class Reader:
         lead = [self.size + ENDINGS] * CONTEXT
         lists = [lead + self.ids(w) for w in words]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        stream = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+        stream = np.fromiter(chain.from_iterable(lists), self.kind, int(sizes.sum()))
         return words, stream, np.repeat(np.arange(len(lists)), sizes)
 
 
 # ---- training -------------------------------------------------------------------
 
+def _number_part(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value[0])
+        for batch in batches:
+            for _, texts in text_runs(batch.column(0).to_pylist(), _RUN):
+                yield pa.RecordBatch.from_arrays([pa.array([reader.batch(texts)[1].tobytes()], pa.binary())], ["stream"])
+
+    return run
+
+
 def _train_part(shared, round_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, tables = shared.value
         part = TaskContext.get().partitionId()
-        model, reader = LogBilinear(counts), Reader(counts)
+        model, kind = LogBilinear(counts), Reader(counts).kind
         model.tables = tables
         trainer = Trainer(model, seed=1000 * round_ + part)
-        left = np.empty(0, np.int64)
+        left = np.empty(0, kind)
 
         def stretches(stream: np.ndarray, last: bool) -> np.ndarray:
             """Train on whole batches; the rest waits, behind the tokens it follows."""
@@ -349,8 +507,8 @@ def _train_part(shared, round_: int):
             return stream[at - CONTEXT :]
 
         for batch in batches:
-            for _, texts in text_runs(batch.column(0).to_pylist(), _RUN):
-                left = stretches(np.concatenate((left, reader.batch(texts)[1])), False)
+            for stream in batch.column(0):
+                left = stretches(np.concatenate((left, np.frombuffer(stream.as_buffer(), kind))), False)
         stretches(left, True)
         out = []
         for name, table in trainer.tables.items():
@@ -399,6 +557,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, counts: Counts, text_column: str = "text", rounds: int = ROUNDS) -> LogBilinear:
     """The model after ``rounds`` passes over all rows of ``docs``.
 
+    The texts are read once: their numbers, two bytes a token, stay on the executors' disks.
     Of each round the driver sees the averaged tables only, whose size the
     vocabulary's share bounds; a lost task trains its partition again to the same result.
     """
@@ -406,10 +565,12 @@ def fit(docs: DataFrame, counts: Counts, text_column: str = "text", rounds: int
     model = LogBilinear(counts)
     if not counts.tokens:
         return model
+    known = spark.sparkContext.broadcast((counts,))
     texts = docs.select(text_of(text_column).alias("text"))
+    streams = map_batches(texts, _number_part(known), "stream binary").persist(StorageLevel.DISK_ONLY)
     for round_ in range(rounds):
         shared = spark.sparkContext.broadcast((counts, model.tables))
-        copies = map_batches(texts, _train_part(shared, round_), _ROWS)
+        copies = map_batches(streams, _train_part(shared, round_), _ROWS)
         # blocks of all copies meet in order, so sums do not depend on who ends first
         means = map_batches(copies.repartition("block").sortWithinPartitions("block", "part"), _average, _ROWS)
         for row in means.collect():
@@ -419,6 +580,8 @@ def fit(docs: DataFrame, counts: Counts, text_column: str = "text", rounds: int
             trained = np.flatnonzero(weight)
             model.tables[name][int(at) + trained] = data[trained]
         shared.unpersist()
+    streams.unpersist()
+    known.unpersist()
     return model
 
 
