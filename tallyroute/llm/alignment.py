@@ -121,7 +121,8 @@ class Tokenizers:
         with open(a_path, encoding="utf-8") as file:
             self.bytes_a = byte_level_bytes(json.load(file)["model"]["vocab"])
         # the strings of special tokens are plain text here
-        self._a = Encoder(a_ranks, a_pattern).encode_text
+        # strings of added tokens are plain text here
+        self._a = Encoder(a_ranks, a_pattern, {}).encode_text
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         size = self._b.get_piece_size()
         self.bytes_b = [

@@ -10,6 +10,7 @@ are poured together, pieces cut freely, and the last one into powers of two.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,7 +45,8 @@ class Encoder:
     space, around a single line break, and between a letter and a comma or stop.
     Texts are cut there by Arrow, and each distinct piece is encoded once per
     batch and looked up per task. Texts with other white space are encoded whole.
-    The strings of ``added`` are cut out first and have the ids given there.
+    The strings of ``added`` are cut out first and have the ids given there; None stands for
+    those of the tokenizer file beside the ranks, if there is one.
     """
 
     def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> None:
@@ -58,7 +60,10 @@ class Encoder:
             "packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
         self._break = ranks[b"\n"]
-        self._added = added or {}
+        if added is None:
+            beside = f"{os.path.splitext(ranks_path)[0]}.json"
+            added = added_tokens(beside) if os.path.exists(beside) else {}
+        self._added = added
         # the leftmost and then the longest, as tokenizers takes them
         longest = sorted(self._added, key=len, reverse=True)
         self._cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")")
