@@ -449,21 +449,33 @@ def _sum_sorted(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 # ---- texts to numbers -----------------------------------------------------------
 
+class _Endings(dict):
+    """Ids of endings by a word's last two bytes, of which there are few."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+
+    def __missing__(self, tail: bytes) -> int:
+        self[tail] = found = self.size + ending_of(tail)
+        return found
+
+
 class Reader:
     def __init__(self, counts: Counts) -> None:
         self.get = {w: i for i, w in enumerate(counts.words)}.get
         self.size = len(counts.words)
+        self.endings = _Endings(self.size)
         # numpy sorts 16-bit numbers by their digits
         self.kind = np.dtype("<u2" if self.size + ENDINGS < 1 << 16 else "<i8")
 
     def ids(self, words: list[bytes]) -> list[int]:
         """Numbers of a text's words and its end; an ending's for words outside the vocabulary."""
-        size, get = self.size, self.get
+        get, endings = self.get, self.endings
         found = list(map(get, words))
         if None in found:
-            found = [size + ending_of(w) if i is None else i for i, w in zip(found, words)]
+            found = [endings[w[-2:]] if i is None else i for i, w in zip(found, words)]
         end = get(b"")
-        found.append(size + ending_of(b"") if end is None else end)
+        found.append(endings[b""] if end is None else end)
         return found
 
     def batch(self, texts: list[str]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
